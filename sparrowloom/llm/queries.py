@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .chat_events import OP4_SQL, op4_chat_events
+from .context_pii import op7_context_pii
+from .fair_mix import OP8_SQL, op8_fair_mix
 from .license_scan import op1_license_scan
 from .line_crf import op3_line_crf
 from .simhash_join import op5_simhash
 from .site_quality import op6_site_quality
 from .token_lengths import op10_token_lengths
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_line_crf, op5_simhash, op6_site_quality, op10_token_lengths)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_line_crf, op4_chat_events, op5_simhash, op6_site_quality, op7_context_pii, op8_fair_mix, op10_token_lengths)}
+SQL: dict[str, str] = {"op4_chat_events": OP4_SQL, "op8_fair_mix": OP8_SQL}
