@@ -1 +1,4 @@
-"""sparrowloom.plans"""
+"""Queries over the test tables, one module for each group of operators."""
+
+from . import registry  # noqa: F401
+from . import annotation, trajectory  # noqa: F401  isort: skip
