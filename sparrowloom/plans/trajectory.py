@@ -76,7 +76,7 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     return T.resample_lookahead(e, e.where("idx % 20 = 0").select("user_id", F.col("sec").alias("anchor")), KEY, "sec", "value", 86400, 10)
 
 
-@query(_GRID + "SELECT user_id, round(anchor, 3) AS anchor, k, round(at, 3) AS at, round(value, 6) AS value FROM r")
+@query(_GRID + "SELECT user_id, round(anchor, 3) AS anchor, k, round(\"at\", 3) AS \"at\", round(value, 6) AS value FROM r")
 def traj_resample_lookahead(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).select("user_id", F.round("anchor", 3).alias("anchor"), "k", F.round("at", 3).alias("at"), F.round("value", 6).alias("value"))
 
