@@ -34,8 +34,9 @@ def merge(base, override):
 
 def resolve(value, settings, most: int = 8):
     """value with each ${key} replaced by its setting; unknown ones stay. A few rounds, for settings that name others."""
-    for _ in range(most):
-        name = F.regexp_extract(value, r"\$\{([^{}]+)\}", 1)
+    def once(text, _):
+        name = F.regexp_extract(text, r"\$\{([^{}]+)\}", 1)
         found = F.element_at(settings, name)
-        value = F.when((name != "") & found.isNotNull(), F.replace(value, F.concat(F.lit("${"), name, F.lit("}")), found)).otherwise(value)
-    return value
+        return F.when((name != "") & found.isNotNull(), F.replace(text, F.concat(F.lit("${"), name, F.lit("}")), found)).otherwise(text)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), value, once)
