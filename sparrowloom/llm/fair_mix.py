@@ -112,20 +112,24 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix: a row of docs with a further column epoch for each time that a document is taken.
+    """The mix: a row of docs with a further column epoch (in place of one of that name) for each time that a document is taken.
 
     Documents taken on some pass are looked up by id, once, with all their
     passes; rows that repeat an id are told apart by their sizes and counted
     off in order.
     """
-    of = ["doc_id", "source", "size"]
-    wins = cut(mixed(docs).where("taken"), "mix")
+    wins = cut(mixed(docs).where("taken").select("doc_id", "source", "size", "pass", "finish"), "mix")
     order = Window.partitionBy("doc_id", "source", "size", "pass").orderBy("finish")
-    numbered = wins.withColumn("copy", F.row_number().over(order)).groupBy(*of, "copy").agg(F.sort_array(F.collect_list("pass")).alias("epochs"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("d_id"), F.col("source").alias("d_source"), n_words(F.col("text")).alias("d_size"))
-    packed = packed.withColumn("d_copy", F.row_number().over(Window.partitionBy("d_id", "d_source", "d_size").orderBy(F.xxhash64("row.text"))))
-    found = packed.join(numbered, F.expr("d_id <=> doc_id and d_source <=> source and d_size = size and d_copy = copy"))
-    return found.select("row.*", F.explode("epochs").alias("epoch"))
+    numbered = wins.withColumn("copy", F.row_number().over(order)).groupBy("doc_id", "source", "size", "copy").agg(F.sort_array(F.collect_list("pass")).alias("epochs"))
+    # Plain keys without nulls, so that texts are shuffled once for both the counting off and the join.
+    key = lambda i, source, size: (F.xxhash64(i, source, size), F.coalesce(i, F.lit(0)))
+    k1, k2 = key(F.col("doc_id"), F.col("source"), F.col("size"))
+    lists = numbered.groupBy(k1.alias("k1"), k2.alias("k2")).agg(F.array_sort(F.collect_list(F.struct("copy", "epochs"))).alias("copies"))
+    d1, d2 = key(F.col("doc_id").cast("bigint"), F.col("source"), n_words(F.col("text")))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), d1.alias("k1"), d2.alias("k2"))
+    packed = packed.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.xxhash64("row.text"))))
+    found = packed.join(lists, ["k1", "k2"])
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "epoch"], F.explode(F.get("copies", F.col("copy") - 1)["epochs"]).alias("epoch"))
 
 
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
