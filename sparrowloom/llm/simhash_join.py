@@ -16,6 +16,9 @@ through that form, at most 65 fingerprints a form; the join then leaves out
 pairs already united, so dense groups of near copies do not emit all pairs.
 Components come from alternating star steps, in the shared folder.
 
+keep_one() goes on from there with 256-bit fingerprints in the same grid, block by
+block, since it is to catch copies of 0.8 similarity on five-word shingles too.
+
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; a null doc_id is in a component like any other but never names one where
 another id is; repeated rows give a row each; an empty table gives an empty one;
@@ -37,6 +40,8 @@ SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
 HOT_SHARE = 0.001
+#: For keep_one(): shingles and differing bits of the 256-bit fingerprint; random texts differ in 128 of its bits, give or take 8.
+WIDE_SHINGLE, WIDE_BITS = 3, 38
 
 _UPPER_TO_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _ODD = np.uint64(0x5555555555555555)
@@ -169,10 +174,77 @@ def components(docs: DataFrame) -> DataFrame:
     return large.unionByName(small).select("doc_id", "fp", "component_id")
 
 
+def wide_fingerprint(text: str | None) -> bytes:
+    """The 256 bits of a SimHash over WIDE_SHINGLE-word shingles; zero for no words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER_TO_LOWER).split()
+    if not words:
+        return bytes(32)
+    join, digest = b" ".join, xxhash.xxh3_128_digest
+    shingles = [join(x) for x in zip(*(words[i:] for i in range(WIDE_SHINGLE)), strict=False)] if len(words) >= WIDE_SHINGLE else [join(words)]
+    counts = np.zeros(256, np.int64)
+    for a in range(0, len(shingles), 16384):
+        part = shingles[a : a + 16384]
+        raw = np.frombuffer(b"".join([digest(x, 1) + digest(x, 2) for x in part]), np.uint8).reshape(-1, 32)
+        counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").tobytes()
+
+
+def both_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, w0, w1, w2, w3) in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            own = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+            wide = np.frombuffer(b"".join(map(wide_fingerprint, texts)), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(4))], names=["doc_id", "fp", "w0", "w1", "w2", "w3"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, fp bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+
+
+def wide_links(nodes: DataFrame, most: int = WIDE_BITS) -> DataFrame:
+    """(a, b): components of nodes (comp, w0 to w3) that a grid cell of one of eight 32-bit blocks brings together, `most` bits apart or less.
+
+    A block brings two nodes together if its vectors are at distance 2 or less;
+    near copies have eight chances.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 4096):
+                part = batch.slice(a, 4096)
+                comp, *wide = (c.to_numpy() for c in part.columns)
+                for k, w in enumerate(wide):
+                    rows, cells = cells_of(w.view(np.uint64))
+                    cells = cells | np.uint64(k << 34)  # which word of the four; bit 32 tells the half
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(comp[rows]), *(pa.array(v[rows]) for v in wide)], names=["cell", "comp", "w0", "w1", "w2", "w3"])
+
+    cells = nodes.select("comp", "w0", "w1", "w2", "w3").mapInArrow(run, "cell bigint, comp bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+    x, y = cells.alias("x"), cells.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+    return x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.comp") < F.col("y.comp")) & (apart <= most)).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row with the smallest doc_id (of rows repeating it the one with the least text hash)."""
-    found = components(docs)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
+    """One document of each group of near copies: the row with the smallest doc_id (of rows repeating it the one with the least text hash).
+
+    Groups are the components of the 64-bit fingerprints, and beyond them of
+    256-bit ones: four differing bits of 64 miss most copies that share 0.8 of
+    their five-word shingles, which differ in about an eighth of the bits.
+    """
+    fps = cut(both_fingerprints(docs), "fingerprints")
+    distinct, comps = fingerprint_components(fps.select("doc_id", "fp"))
+    named = distinct.join(comps.select("fp", F.col("component_id").alias("known")), "fp", "left").select("fp", "known")
+    # A component's number is a fingerprint of it: its own where it is alone.
+    least = named.where("known is not null").groupBy("known").agg(F.min("fp").alias("comp"))
+    label = cut(named.join(least, "known", "left").select("fp", F.coalesce("comp", "fp").alias("comp")), "labels")
+    wide = fps.groupBy("fp", "w0", "w1", "w2", "w3").agg(F.min("doc_id").alias("first_id"))
+    nodes = cut(wide.join(label, "fp").drop("fp"), "nodes")
+    links = cut(wide_links(nodes), "wide-links")
+    groups = connected_components(links)
+    kept = nodes.join(groups, nodes.comp == groups.node, "left").select("first_id", F.coalesce(groups.comp, nodes.comp).alias("group")).groupBy("group").agg(F.min("first_id").alias("kept_id")).select("kept_id").distinct()
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("row_id"))
     rows = packed.join(kept, packed.row_id.eqNullSafe(kept.kept_id), "left_semi")
     first = Window.partitionBy("row_id").orderBy(F.xxhash64("row.text"))
