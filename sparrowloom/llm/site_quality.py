@@ -155,3 +155,60 @@ def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("posterior", 6).alias("posterior"),
         (F.col("posterior") >= MIN_POSTERIOR).alias("kept"),
     )
+
+
+def _bins_sql(value: str, edges: tuple[float, ...]) -> str:
+    return "CASE WHEN n = 0 THEN 0 ELSE 1" + "".join(f" + ({value} > {e}::DOUBLE)::INT" for e in edges) + " END"
+
+
+#: The same classifier in SQL, for tables of unique ids with labels of both kinds and at most TRAIN_DOCS of them.
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), twice AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM windows
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + o) AS repeated FROM twice, (SELECT unnest([0, 1, 2]) AS o) WHERE k > 1 GROUP BY doc_id
+), f AS (
+  SELECT d.doc_id, source, lang, len(w) AS n, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS symbols,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS letters,
+    coalesce(repeated, 0) AS repeated, coalesce(list_sum([(w[i] = w[i + 1])::INT FOR i IN range(1, len(w))]), 0) AS doubled
+  FROM d LEFT JOIN covered USING (doc_id)
+), b AS (
+  SELECT doc_id, source, lang, unnest(range(0, 4)) AS feature, unnest([
+    {_bins_sql("symbols / n::DOUBLE", EDGES["symbols"])}, {_bins_sql("CASE WHEN letters > 0 THEN capitals / letters::DOUBLE ELSE 0 END", EDGES["capitals"])},
+    {_bins_sql("repeated / n::DOUBLE", EDGES["repeated"])}, {_bins_sql("doubled / n::DOUBLE", EDGES["doubled"])}]) AS bin FROM f
+), l AS (
+  SELECT DISTINCT doc_id, quality FROM labels WHERE quality IN (0, 1) AND doc_id IN (SELECT doc_id FROM documents)
+), total AS (
+  SELECT count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad FROM l
+), counted AS (
+  SELECT feature, bin, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad FROM b JOIN l USING (doc_id) GROUP BY ALL
+), e AS (
+  SELECT b.doc_id, source, lang, sum(ln((coalesce(c.good, 0) + 1) / (total.good + 5)::DOUBLE) - ln((coalesce(c.bad, 0) + 1) / (total.bad + 5)::DOUBLE)) AS evidence
+  FROM b CROSS JOIN total LEFT JOIN counted c USING (feature, bin) GROUP BY ALL
+), p AS (
+  SELECT *, 1 / (1 + exp(-evidence)) AS p FROM e
+), path AS (
+  SELECT source, lang, count(*) AS n, sum(p) AS s FROM p GROUP BY ALL
+), host AS (
+  SELECT source, sum(n) AS hn, sum(s) AS hs FROM path GROUP BY ALL
+), world AS (
+  SELECT sum(hs) / sum(hn) AS mean, sum(hs * hs / hn) / sum(hn) - (sum(hs) / sum(hn)) ** 2 AS spread FROM host
+), inner_spread AS (
+  SELECT sum(n * (s / n - hs / hn) ** 2) / sum(n) AS spread FROM path JOIN host ON path.source IS NOT DISTINCT FROM host.source
+), m AS (
+  SELECT mean, CASE WHEN w.spread <= 0 THEN {MAX_STRENGTH} ELSE greatest({MIN_STRENGTH}, least({MAX_STRENGTH}, mean * (1 - mean) / w.spread - 1)) END::DOUBLE AS hm,
+    CASE WHEN i.spread <= 0 THEN {MAX_STRENGTH} ELSE greatest({MIN_STRENGTH}, least({MAX_STRENGTH}, mean * (1 - mean) / i.spread - 1)) END::DOUBLE AS pm FROM world w, inner_spread i
+), h AS (
+  SELECT p.*, n, s, pm, (hs - p + hm * mean) / (hn - 1 + hm) AS host_p
+  FROM p JOIN path ON p.source IS NOT DISTINCT FROM path.source AND p.lang IS NOT DISTINCT FROM path.lang JOIN host ON p.source IS NOT DISTINCT FROM host.source, m
+), q AS (
+  SELECT *, (s - p + pm * host_p) / (n - 1 + pm) AS path_p FROM h
+), o AS (
+  SELECT *, 1 / (1 + exp(-(evidence + ln(greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, path_p)) / (1 - greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, path_p))))))) AS posterior FROM q
+)
+SELECT doc_id, source, lang, round(evidence, 6) AS evidence, round(host_p, 6) AS host_quality, round(path_p, 6) AS path_quality, round(posterior, 6) AS posterior, posterior >= {MIN_POSTERIOR} AS kept FROM o
+"""

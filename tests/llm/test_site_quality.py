@@ -2,11 +2,16 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from oracle import same
 from pyspark.sql import functions as F
 
 from sparrowloom.llm import site_quality as Q
 
 
+def test_query_equals_sql(spark, sf_dir, duck):
+    same(Q.op6_site_quality(spark, sf_dir), duck, Q.OP6_SQL)
+
+
 def shares(text):
     text = text or ""
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
