@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_dir.get() if set_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparrowloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -68,16 +70,25 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether no leaf u has two centres v, and no centre is a leaf."""
+    leaves = edges.groupBy("u").agg(F.count("*").alias("n"))
+    bad = leaves.where("n > 1").select("u").unionByName(edges.select(F.col("v").alias("u")).distinct().join(leaves.select("u"), "u", "left_semi"))
+    return not bad.limit(1).count()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the smallest node reachable.
 
-    Alternating large-star and small-star steps. Each round is a few grouped
-    aggregations over the edges, written to the shared folder, so neither the
-    edges nor the labels ever meet in one task or on the driver; a group only
-    passes its minimum on.
+    Alternating large-star and small-star steps until stars are left. Each round
+    is a few grouped aggregations over the edges, written to the shared folder,
+    so neither the edges nor the labels ever meet in one task or on the driver;
+    a group only passes its minimum on.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     for _ in range(rounds):
+        if _is_stars(e):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         # Large star: every larger neighbour of u is linked to the least of u's neighbours and u.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -86,11 +97,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_min.select("u", F.col("m").alias("v"))).distinct()
         new = cut(small, "cc")
-        # A fixed point is a set of stars: no node is both a leaf and a centre, and no leaf has two centres.
-        leaves = new.groupBy("u").agg(F.count("*").alias("n"))
-        bad = leaves.where("n > 1").select("u").unionByName(new.select(F.col("v").alias("u")).distinct().join(leaves.select("u"), "u", "left_semi")).limit(1).count()
         drop_cut(e)
         e = new
-        if not bad:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
