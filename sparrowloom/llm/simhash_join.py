@@ -16,7 +16,7 @@ through that form, at most 65 fingerprints a form; the join then leaves out
 pairs already united, so dense groups of near copies do not emit all pairs.
 Components come from alternating star steps, in the shared folder.
 
-keep_one() goes on from there with 256-bit fingerprints in the same grid, block by
+keep_one() goes on from there with 192-bit fingerprints in the same grid, block by
 block, since it is to catch copies of 0.8 similarity on five-word shingles too.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, table
@@ -40,8 +40,9 @@ SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
 HOT_SHARE = 0.001
-#: For keep_one(): shingles and differing bits of the 256-bit fingerprint; random texts differ in 128 of its bits, give or take 8.
-WIDE_SHINGLE, WIDE_BITS = 3, 38
+#: For keep_one(): shingles of the 192-bit fingerprint, and differing bits of all and of one of its three words; random texts differ in half, 96 and 32.
+WIDE_SHINGLE, WIDE_BITS, WORD_BITS = 3, 30, 12
+WORDS = 3
 
 _UPPER_TO_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _ODD = np.uint64(0x5555555555555555)
@@ -84,6 +85,13 @@ def unary(bits: np.ndarray) -> np.ndarray:
     return (low | high) | ((low & high) << np.uint64(1))
 
 
+def vector(fp: Column) -> Column:
+    """unary() as a column expression."""
+    odd = F.lit(int(_ODD))
+    high = F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(odd), 1))
+
+
 def cells_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell): for each half the vector's own lattice point and those at distance 1; bit 32 of a cell tells the half."""
     vector = unary(bits)
@@ -105,7 +113,7 @@ def cells_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lattice_cells(fps: DataFrame) -> DataFrame:
-    """(cell, fp, vec, comp) from (fp, comp): a row for each cell that a fingerprint is dealt to."""
+    """(cell, fp, comp) from (fp, comp): a row for each cell that a fingerprint is dealt to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,10 +121,9 @@ def lattice_cells(fps: DataFrame) -> DataFrame:
                 part = batch.slice(a, 8192)
                 fp, comp = part.column(0).to_numpy(), part.column(1).to_numpy()
                 rows, cells = cells_of(fp.view(np.uint64))
-                vec = unary(fp.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells.view(np.int64), fp[rows], vec[rows], comp[rows])], names=["cell", "fp", "vec", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells.view(np.int64), fp[rows], comp[rows])], names=["cell", "fp", "comp"])
 
-    return fps.select("fp", "comp").mapInArrow(run, "cell bigint, fp bigint, vec bigint, comp bigint")
+    return fps.select("fp", "comp").mapInArrow(run, "cell bigint, fp bigint, comp bigint")
 
 
 def cleared_forms(fps: DataFrame) -> DataFrame:
@@ -143,7 +150,7 @@ def near_links(fps: DataFrame, united: DataFrame, most: int = MAX_BITS) -> DataF
     labelled = fps.join(united, fps.fp == united.node, "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
     cells = lattice_cells(labelled)
     x, y = cells.alias("x"), cells.alias("y")
-    bound = F.bit_count(F.col("x.vec").bitwiseXOR(F.col("y.vec"))) <= most
+    bound = F.bit_count(vector(F.col("x.fp")).bitwiseXOR(vector(F.col("y.fp")))) <= most
     exact = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= most
     return x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.comp") != F.col("y.comp")) & bound & exact).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
@@ -175,63 +182,72 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def wide_fingerprint(text: str | None) -> bytes:
-    """The 256 bits of a SimHash over WIDE_SHINGLE-word shingles; zero for no words."""
+    """The 64 * WORDS bits of a SimHash over WIDE_SHINGLE-word shingles; zero for no words."""
     import xxhash
 
+    size = 8 * WORDS
     words = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER_TO_LOWER).split()
     if not words:
-        return bytes(32)
+        return bytes(size)
     join, digest = b" ".join, xxhash.xxh3_128_digest
     shingles = [join(x) for x in zip(*(words[i:] for i in range(WIDE_SHINGLE)), strict=False)] if len(words) >= WIDE_SHINGLE else [join(words)]
-    counts = np.zeros(256, np.int64)
+    counts = np.zeros(8 * size, np.int64)
     for a in range(0, len(shingles), 16384):
         part = shingles[a : a + 16384]
-        raw = np.frombuffer(b"".join([digest(x, 1) + digest(x, 2) for x in part]), np.uint8).reshape(-1, 32)
+        raw = np.frombuffer(b"".join([(digest(x, 1) + digest(x, 2))[:size] for x in part]), np.uint8).reshape(-1, size)
         counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > len(shingles), bitorder="little").tobytes()
 
 
 def both_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, w0, w1, w2, w3) in one pass over the texts."""
+    """(doc_id, fp, w0, w1, w2) in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
             own = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-            wide = np.frombuffer(b"".join(map(wide_fingerprint, texts)), "<i8").reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(4))], names=["doc_id", "fp", "w0", "w1", "w2", "w3"])
+            wide = np.frombuffer(b"".join(map(wide_fingerprint, texts)), "<i8").reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WORDS))], names=["doc_id", "fp", "w0", "w1", "w2"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, fp bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, fp bigint, w0 bigint, w1 bigint, w2 bigint")
 
 
-def wide_links(nodes: DataFrame, most: int = WIDE_BITS) -> DataFrame:
-    """(a, b): components of nodes (comp, w0 to w3) that a grid cell of one of eight 32-bit blocks brings together, `most` bits apart or less.
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): components of nodes (comp, w0, w1, w2) that a grid cell of one of six 32-bit blocks brings together and that are near.
 
     A block brings two nodes together if its vectors are at distance 2 or less;
-    near copies have eight chances.
+    near copies have six chances. In the cell the next word's bits decide who is
+    a candidate, so that rows stay slim; candidates then get all their words
+    back by a join and are compared whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 4096):
-                part = batch.slice(a, 4096)
-                comp, *wide = (c.to_numpy() for c in part.columns)
+                comp, *wide = (c.to_numpy() for c in batch.slice(a, 4096).columns)
                 for k, w in enumerate(wide):
                     rows, cells = cells_of(w.view(np.uint64))
-                    cells = cells | np.uint64(k << 34)  # which word of the four; bit 32 tells the half
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(comp[rows]), *(pa.array(v[rows]) for v in wide)], names=["cell", "comp", "w0", "w1", "w2", "w3"])
+                    cells = cells | np.uint64(k << 34)  # bits 34 and up tell the word, bit 32 the half
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(comp[rows]), pa.array(wide[(k + 1) % WORDS][rows])], names=["cell", "comp", "next"])
 
-    cells = nodes.select("comp", "w0", "w1", "w2", "w3").mapInArrow(run, "cell bigint, comp bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+    words = ["w0", "w1", "w2"]
+    cells = nodes.select("comp", *words).mapInArrow(run, "cell bigint, comp bigint, next bigint")
     x, y = cells.alias("x"), cells.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
-    return x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.comp") < F.col("y.comp")) & (apart <= most)).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct()
+    near = F.bit_count(F.col("x.next").bitwiseXOR(F.col("y.next"))) <= WORD_BITS
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.comp") < F.col("y.comp")) & near)
+    pairs = met.select(F.shiftright("x.cell", 34).alias("k"), F.col("x.comp").alias("a"), F.col("x.next").alias("a_next"), F.col("y.comp").alias("b"), F.col("y.next").alias("b_next")).distinct()
+    every = nodes.select("comp", *words, F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(words[(k + 1) % WORDS]).alias("next")) for k in range(WORDS)])).alias("s")).select("comp", *words, "s.*").distinct()
+    side = lambda name: every.select("k", F.col("comp").alias(name), F.col("next").alias(f"{name}_next"), F.array(*words).alias(f"{name}_words"))
+    whole = pairs.join(side("a"), ["k", "a", "a_next"]).join(side("b"), ["k", "b", "b_next"])
+    apart = F.aggregate(F.zip_with("a_words", "b_words", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return whole.where(apart <= WIDE_BITS).select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the row with the smallest doc_id (of rows repeating it the one with the least text hash).
 
     Groups are the components of the 64-bit fingerprints, and beyond them of
-    256-bit ones: four differing bits of 64 miss most copies that share 0.8 of
+    192-bit ones: four differing bits of 64 miss most copies that share 0.8 of
     their five-word shingles, which differ in about an eighth of the bits.
     """
     fps = cut(both_fingerprints(docs), "fingerprints")
@@ -240,7 +256,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # A component's number is a fingerprint of it: its own where it is alone.
     least = named.where("known is not null").groupBy("known").agg(F.min("fp").alias("comp"))
     label = cut(named.join(least, "known", "left").select("fp", F.coalesce("comp", "fp").alias("comp")), "labels")
-    wide = fps.groupBy("fp", "w0", "w1", "w2", "w3").agg(F.min("doc_id").alias("first_id"))
+    wide = fps.groupBy("fp", "w0", "w1", "w2").agg(F.min("doc_id").alias("first_id"))
     nodes = cut(wide.join(label, "fp").drop("fp"), "nodes")
     links = cut(wide_links(nodes), "wide-links")
     groups = connected_components(links)

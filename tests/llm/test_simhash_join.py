@@ -42,14 +42,14 @@ def wide(text):
     if not words:
         return 0
     shingles = [" ".join(words[i : i + S.WIDE_SHINGLE]).encode() for i in range(max(1, len(words) - S.WIDE_SHINGLE + 1))]
-    values = [int.from_bytes(xxhash.xxh3_128_digest(s, 1) + xxhash.xxh3_128_digest(s, 2), "little") for s in shingles]
-    return sum(1 << b for b in range(256) if 2 * sum(v >> b & 1 for v in values) > len(values))
+    values = [int.from_bytes((xxhash.xxh3_128_digest(s, 1) + xxhash.xxh3_128_digest(s, 2))[:24], "little") for s in shingles]
+    return sum(1 << b for b in range(192) if 2 * sum(v >> b & 1 for v in values) > len(values))
 
 
 def one_of_each(rows):
     """rows: (id, text). The smallest id of every group by comparing all pairs with both fingerprints."""
     fps = [(fingerprint(t), wide(t)) for _, t in rows]
-    counts = [[(w >> 2 * i & 3).bit_count() for i in range(128)] for _, w in fps]
+    counts = [[(w >> 2 * i & 3).bit_count() for i in range(96)] for _, w in fps]
     up = list(range(len(rows)))
 
     def root(i):
@@ -61,7 +61,8 @@ def one_of_each(rows):
         for j in range(i):
             near = (fps[i][0] ^ fps[j][0]).bit_count() <= S.MAX_BITS
             if not near and (fps[i][1] ^ fps[j][1]).bit_count() <= S.WIDE_BITS:
-                near = any(sum(abs(x - y) for x, y in zip(counts[i][k : k + 16], counts[j][k : k + 16], strict=True)) <= 2 for k in range(0, 128, 16))
+                gap = fps[i][1] ^ fps[j][1]
+                near = any(sum(abs(x - y) for x, y in zip(counts[i][k : k + 16], counts[j][k : k + 16], strict=True)) <= 2 and (gap >> (k // 32 + 1) % 3 * 64 & (1 << 64) - 1).bit_count() <= S.WORD_BITS for k in range(0, 96, 16))
             if near:
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
@@ -115,13 +116,15 @@ def test_dense_and_chained_groups(spark):
         assert got.get(f - (1 << 64) if f >> 63 else f, doc) == least
 
 
-def test_bound_never_exceeds_the_distance():
+def test_bound_never_exceeds_the_distance(spark):
     import numpy as np
 
     rng = np.random.default_rng(2)
     a, b = (rng.integers(0, 1 << 64, 2000, dtype=np.uint64) for _ in range(2))
     bound = np.bitwise_count(S.unary(a) ^ S.unary(b))
     counts = lambda x: np.stack([np.bitwise_count(x >> np.uint64(2 * i) & np.uint64(3)) for i in range(32)]).astype(int)
+    shifted = spark.createDataFrame([(int(x),) for x in a.view(np.int64)], "fp bigint").select(S.vector(F.col("fp"))).collect()
+    assert [r[0] for r in shifted] == S.unary(a).view(np.int64).tolist()
     assert (bound == abs(counts(a) - counts(b)).sum(0)).all() and (bound <= np.bitwise_count(a ^ b)).all()
 
 
