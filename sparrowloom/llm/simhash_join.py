@@ -92,7 +92,12 @@ def vector(fp: Column) -> Column:
     return fp.bitwiseOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(odd), 1))
 
 
-def cells_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: A count in unary, and the bits in which the next count differs: 0 to 1, 1 to 2, 2 to 1, 1 to 0.
+NEIGHBOURS = ((0, 1), (1, 2), (3, 2), (1, 1))
+LOWER = NEIGHBOURS[2:]
+
+
+def cells_of(bits: np.ndarray, steps: tuple = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell): for each half the vector's own lattice point and those at distance 1; bit 32 of a cell tells the half."""
     vector = unary(bits)
     rows, cells = [], []
@@ -104,8 +109,7 @@ def cells_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cells.append(own | mark)
         for i in range(16):
             count = (own >> np.uint64(2 * i)) & np.uint64(3)
-            # A count in unary, and the bits in which the next count differs: 0 to 1, 1 to 2, 2 to 1, 1 to 0.
-            for at, flip in ((0, 1), (1, 2), (3, 2), (1, 1)):
+            for at, flip in steps:
                 hit = count == at
                 rows.append(every[hit])
                 cells.append((own[hit] ^ np.uint64(flip << (2 * i))) | mark)
@@ -212,30 +216,25 @@ def both_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, fp bigint, w0 bigint, w1 bigint, w2 bigint")
 
 
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): components of nodes (comp, w0, w1, w2) that a grid cell of one of six 32-bit blocks brings together and that are near.
-
-    A block brings two nodes together if its vectors are at distance 2 or less;
-    near copies have six chances. In the cell the next word's bits decide who is
-    a candidate, so that rows stay slim; candidates then get all their words
-    back by a join and are compared whole.
-    """
+def wide_cells(nodes: DataFrame, steps: tuple = NEIGHBOURS) -> DataFrame:
+    """(cell, comp, next) from nodes (comp, w0, w1, w2): the cells of the six 32-bit blocks, each with the word after the block's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 4096):
                 comp, *wide = (c.to_numpy() for c in batch.slice(a, 4096).columns)
                 for k, w in enumerate(wide):
-                    rows, cells = cells_of(w.view(np.uint64))
+                    rows, cells = cells_of(w.view(np.uint64), steps)
                     cells = cells | np.uint64(k << 34)  # bits 34 and up tell the word, bit 32 the half
                     yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(comp[rows]), pa.array(wide[(k + 1) % WORDS][rows])], names=["cell", "comp", "next"])
 
+    return nodes.select("comp", "w0", "w1", "w2").mapInArrow(run, "cell bigint, comp bigint, next bigint")
+
+
+def near_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): those of met (cell, a, a_next, b, b_next) whose words, brought back by a join, are near as a whole."""
     words = ["w0", "w1", "w2"]
-    cells = nodes.select("comp", *words).mapInArrow(run, "cell bigint, comp bigint, next bigint")
-    x, y = cells.alias("x"), cells.alias("y")
-    near = F.bit_count(F.col("x.next").bitwiseXOR(F.col("y.next"))) <= WORD_BITS
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.comp") < F.col("y.comp")) & near)
-    pairs = met.select(F.shiftright("x.cell", 34).alias("k"), F.col("x.comp").alias("a"), F.col("x.next").alias("a_next"), F.col("y.comp").alias("b"), F.col("y.next").alias("b_next")).distinct()
+    pairs = met.select(F.shiftright("cell", 34).alias("k"), "a", "a_next", "b", "b_next").distinct()
     every = nodes.select("comp", *words, F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(words[(k + 1) % WORDS]).alias("next")) for k in range(WORDS)])).alias("s")).select("comp", *words, "s.*").distinct()
     side = lambda name: every.select("k", F.col("comp").alias(name), F.col("next").alias(f"{name}_next"), F.array(*words).alias(f"{name}_words"))
     whole = pairs.join(side("a"), ["k", "a", "a_next"]).join(side("b"), ["k", "b", "b_next"])
@@ -243,6 +242,31 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     return whole.where(apart <= WIDE_BITS).select("a", "b").distinct()
 
 
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of nodes (comp, w0, w1, w2) as those of all near pairs would.
+
+    A block brings two nodes together if its vectors are at distance 2 or less;
+    near copies have six chances. In the cell the next word's bits decide who is
+    a candidate, so that rows stay slim.
+
+    First a cell's nodes are only compared with its least one, a row for each;
+    that unites most of every dense group. The join then leaves out pairs
+    already united, so that a group does not emit all its pairs.
+    """
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= WORD_BITS
+    low = wide_cells(nodes, LOWER)
+    least = low.groupBy("cell").agg(F.min(F.struct("comp", "next")).alias("least"))
+    starred = low.join(least, "cell").select("cell", F.col("least.comp").alias("a"), F.col("least.next").alias("a_next"), F.col("comp").alias("b"), F.col("next").alias("b_next"))
+    stars = cut(near_pairs(starred.where((F.col("a") != F.col("b")) & near("a_next", "b_next")), nodes), "stars")
+    united = connected_components(stars).withColumnRenamed("comp", "united")
+    merged = cut(nodes.join(united, nodes.comp == united.node, "left").select(F.coalesce("united", "comp").alias("comp"), "w0", "w1", "w2"), "merged")
+    cells = wide_cells(merged)
+    x, y = cells.alias("x"), cells.alias("y")
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.comp") < F.col("y.comp")) & near("x.next", "y.next"))
+    met = met.select("x.cell", F.col("x.comp").alias("a"), F.col("x.next").alias("a_next"), F.col("y.comp").alias("b"), F.col("y.next").alias("b_next"))
+    return stars.unionByName(near_pairs(met, merged))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the row with the smallest doc_id (of rows repeating it the one with the least text hash).
 
