@@ -204,16 +204,16 @@ def wide_fingerprint(text: str | None) -> bytes:
 
 
 def both_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, w0, w1, w2) in one pass over the texts."""
+    """(doc_id, body, fp, w0, w1, w2) in one pass over the texts; body is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
+            texts = [t.as_py() for t in batch.column(2)]
             own = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
             wide = np.frombuffer(b"".join(map(wide_fingerprint, texts)), "<i8").reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WORDS))], names=["doc_id", "fp", "w0", "w1", "w2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WORDS))], names=["doc_id", "body", "fp", "w0", "w1", "w2"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, fp bigint, w0 bigint, w1 bigint, w2 bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text")).mapInArrow(run, "doc_id bigint, body bigint, fp bigint, w0 bigint, w1 bigint, w2 bigint")
 
 
 def wide_cells(nodes: DataFrame, steps: tuple = NEIGHBOURS) -> DataFrame:
@@ -268,7 +268,7 @@ def wide_links(nodes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: the row with the smallest doc_id (of rows repeating it the one with the least text hash).
+    """One document of each group of near copies: the row with the smallest doc_id (of rows repeating it the one with the least text hash, once).
 
     Groups are the components of the 64-bit fingerprints, and beyond them of
     192-bit ones: four differing bits of 64 miss most copies that share 0.8 of
@@ -280,15 +280,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # A component's number is a fingerprint of it: its own where it is alone.
     least = named.where("known is not null").groupBy("known").agg(F.min("fp").alias("comp"))
     label = cut(named.join(least, "known", "left").select("fp", F.coalesce("comp", "fp").alias("comp")), "labels")
-    wide = fps.groupBy("fp", "w0", "w1", "w2").agg(F.min("doc_id").alias("first_id"))
+    # A row is known by its id and its text's hash; ids come before null.
+    wide = fps.groupBy("fp", "w0", "w1", "w2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("first_row"))
     nodes = cut(wide.join(label, "fp").drop("fp"), "nodes")
     links = cut(wide_links(nodes), "wide-links")
     groups = connected_components(links)
-    kept = nodes.join(groups, nodes.comp == groups.node, "left").select("first_id", F.coalesce(groups.comp, nodes.comp).alias("group")).groupBy("group").agg(F.min("first_id").alias("kept_id")).select("kept_id").distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("row_id"))
-    rows = packed.join(kept, packed.row_id.eqNullSafe(kept.kept_id), "left_semi")
-    first = Window.partitionBy("row_id").orderBy(F.xxhash64("row.text"))
-    return rows.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
+    grouped = nodes.join(groups, nodes.comp == groups.node, "left").select("first_row", F.coalesce(groups.comp, nodes.comp).alias("group"))
+    first = grouped.groupBy("group").agg(F.min("first_row").alias("kept"))
+    kept = first.select(F.xxhash64("kept.doc_id", "kept.body").alias("row_key"), F.col("kept.body").alias("row_body")).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("row_id"), F.xxhash64("text").alias("row_body"))
+    packed = packed.select("row", F.xxhash64("row_id", "row_body").alias("row_key"), "row_body")
+    # Texts are shuffled once: the window has the keys of the join.
+    again = Window.partitionBy("row_key", "row_body").orderBy("row_body")
+    return packed.join(kept, ["row_key", "row_body"], "left_semi").withColumn("place", F.row_number().over(again)).where("place = 1").select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
