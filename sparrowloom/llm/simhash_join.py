@@ -16,8 +16,10 @@ through that form, at most 65 fingerprints a form; the join then leaves out
 pairs already united, so dense groups of near copies do not emit all pairs.
 Components come from alternating star steps, in the shared folder.
 
-keep_one() goes on from there with 192-bit fingerprints in the same grid, block by
-block, since it is to catch copies of 0.8 similarity on five-word shingles too.
+keep_one() goes on from there with the sets of five-word shingles, since it is to
+catch every copy of 0.8 similarity: two such sets share one of their first fifth
+of shingles in any common order, so a join on those misses none, and the exact
+likeness decides.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; a null doc_id is in a component like any other but never names one where
@@ -34,15 +36,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import connected_components, cut, drop_cut, table
 
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
 HOT_SHARE = 0.001
-#: For keep_one(): shingles of the 192-bit fingerprint, and differing bits of all and of one of its three words; random texts differ in half, 96 and 32.
+#: For keep_one(): words of a shingle, and the Jaccard likeness of near copies as a fraction.
+SET_SHINGLE = 5
+SIMILAR = (4, 5)
+#: What only decides the order of shingles, hence the time: those met COMMON_LEAST times in one of COMMON_PART parts of the texts.
+COMMON, COMMON_LEAST, COMMON_PART = 100_000, 4, 4
+HELD_NODES = 200_000
+BROADCAST_ROWS = 1_000_000
+#: Of an earlier 192-bit fingerprint, which tests still compare with: words of a shingle, differing bits of all and of one of its words.
 WIDE_SHINGLE, WIDE_BITS, WORD_BITS = 3, 30, 12
-WORDS = 3
 
 _UPPER_TO_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _ODD = np.uint64(0x5555555555555555)
@@ -94,10 +102,9 @@ def vector(fp: Column) -> Column:
 
 #: A count in unary, and the bits in which the next count differs: 0 to 1, 1 to 2, 2 to 1, 1 to 0.
 NEIGHBOURS = ((0, 1), (1, 2), (3, 2), (1, 1))
-LOWER = NEIGHBOURS[2:]
 
 
-def cells_of(bits: np.ndarray, steps: tuple = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell): for each half the vector's own lattice point and those at distance 1; bit 32 of a cell tells the half."""
     vector = unary(bits)
     rows, cells = [], []
@@ -109,7 +116,7 @@ def cells_of(bits: np.ndarray, steps: tuple = NEIGHBOURS) -> tuple[np.ndarray, n
         cells.append(own | mark)
         for i in range(16):
             count = (own >> np.uint64(2 * i)) & np.uint64(3)
-            for at, flip in steps:
+            for at, flip in NEIGHBOURS:
                 hit = count == at
                 rows.append(every[hit])
                 cells.append((own[hit] ^ np.uint64(flip << (2 * i))) | mark)
@@ -185,107 +192,171 @@ def components(docs: DataFrame) -> DataFrame:
     return large.unionByName(small).select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None) -> bytes:
-    """The 64 * WORDS bits of a SimHash over WIDE_SHINGLE-word shingles; zero for no words."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different hashes of a text's SET_SHINGLE-word shingles, sorted; of fewer words all are one shingle."""
     import xxhash
 
-    size = 8 * WORDS
     words = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER_TO_LOWER).split()
-    if not words:
-        return bytes(size)
-    join, digest = b" ".join, xxhash.xxh3_128_digest
-    shingles = [join(x) for x in zip(*(words[i:] for i in range(WIDE_SHINGLE)), strict=False)] if len(words) >= WIDE_SHINGLE else [join(words)]
-    counts = np.zeros(8 * size, np.int64)
-    for a in range(0, len(shingles), 16384):
-        part = shingles[a : a + 16384]
-        raw = np.frombuffer(b"".join([(digest(x, 1) + digest(x, 2))[:size] for x in part]), np.uint8).reshape(-1, size)
-        counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(shingles), bitorder="little").tobytes()
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(SET_SHINGLE, len(own))
+    hashes = np.full(len(own) - size + 1 if size else 0, size, np.uint64)
+    for i in range(size):
+        hashes = (hashes ^ own[i : i + len(hashes)]) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return np.unique(hashes)
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """A number for a set of shingles."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes())
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which two sets of SIMILAR likeness share one whatever the order is.
+
+    Here common shingles (sorted; ranks: their places) come last. That only
+    spares pairs that would fail: the order does not change what is found.
+    """
+    n = len(hashes)
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, ranks[at], 0)
+    return hashes[np.lexsort((hashes, rank))][: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1]
 
 
-def both_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, fp, w0, w1, w2) in one pass over the texts; body is the text's hash."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, body, fp, node): body is the text's hash, node its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(2)]
             own = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-            wide = np.frombuffer(b"".join(map(wide_fingerprint, texts)), "<i8").reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WORDS))], names=["doc_id", "body", "fp", "w0", "w1", "w2"])
+            node = np.fromiter((node_of(shingle_set(t)) for t in texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), pa.array(node)], names=["doc_id", "body", "fp", "node"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text")).mapInArrow(run, "doc_id bigint, body bigint, fp bigint, w0 bigint, w1 bigint, w2 bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text")).mapInArrow(run, "doc_id bigint, body bigint, fp bigint, node bigint")
 
 
-def wide_cells(nodes: DataFrame, steps: tuple = NEIGHBOURS) -> DataFrame:
-    """(cell, comp, next) from nodes (comp, w0, w1, w2): the cells of the six 32-bit blocks, each with the word after the block's."""
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met often in a part of the texts, sorted, and their ranks from the rarest: at most COMMON of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 4096):
-                comp, *wide = (c.to_numpy() for c in batch.slice(a, 4096).columns)
-                for k, w in enumerate(wide):
-                    rows, cells = cells_of(w.view(np.uint64), steps)
-                    cells = cells | np.uint64(k << 34)  # bits 34 and up tell the word, bit 32 the half
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(comp[rows]), pa.array(wide[(k + 1) % WORDS][rows])], names=["cell", "comp", "next"])
-
-    return nodes.select("comp", "w0", "w1", "w2").mapInArrow(run, "cell bigint, comp bigint, next bigint")
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], names=["form"])
 
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(COMMON_PART)) == 0).select("text")
+    counts = part.mapInArrow(run, "form bigint").groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    found = counts.orderBy(F.desc("n"), "form").limit(COMMON).toArrow()
+    forms, n = (found.column(i).to_numpy() for i in (0, 1))
+    forms = forms.astype(np.int64).view(np.uint64)
+    order = np.argsort(forms)
+    ranks = np.empty(len(forms), np.int64)
+    ranks[np.lexsort((forms, n))] = np.arange(1, len(forms) + 1)
+    return forms[order], ranks[order]
 
-def near_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): those of met (cell, a, a_next, b, b_next) whose words, brought back by a join, are near as a whole."""
-    words = ["w0", "w1", "w2"]
-    pairs = met.select(F.shiftright("cell", 34).alias("k"), "a", "a_next", "b", "b_next").distinct()
-    every = nodes.select("comp", *words, F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(words[(k + 1) % WORDS]).alias("next")) for k in range(WORDS)])).alias("s")).select("comp", *words, "s.*").distinct()
-    side = lambda name: every.select("k", F.col("comp").alias(name), F.col("next").alias(f"{name}_next"), F.array(*words).alias(f"{name}_words"))
-    whole = pairs.join(side("a"), ["k", "a", "a_next"]).join(side("b"), ["k", "b", "b_next"])
-    apart = F.aggregate(F.zip_with("a_words", "b_words", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return whole.where(apart <= WIDE_BITS).select("a", "b").distinct()
 
+def shared_prefixes(docs: DataFrame) -> DataFrame:
+    """(form, node, n, at): the shingles in the prefixes of two sets or more, with the sets' sizes and the places in them."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links that join the components of nodes (comp, w0, w1, w2) as those of all near pairs would.
-
-    A block brings two nodes together if its vectors are at distance 2 or less;
-    near copies have six chances. In the cell the next word's bits decide who is
-    a candidate, so that rows stay slim.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for t in batch.column(0):
+                hashes = shingle_set(t.as_py())
+                node = node_of(hashes)
+                if node in seen or not len(hashes):
+                    continue
+                if len(seen) >= HELD_NODES:
+                    seen.clear()
+                seen.add(node)
+                forms = prefix(hashes, *common.value)
+                many = len(forms)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (forms.view(np.int64), np.full(many, node, np.uint64).view(np.int64), np.full(many, len(hashes), np.int32), np.arange(many, dtype=np.int32))], names=["form", "node", "n", "at"])
+
+    rows = docs.select("text").mapInArrow(run, "form bigint, node bigint, n int, at int")
+    of_form = Window.partitionBy("form")
+    met = rows.withColumn("low", F.min("node").over(of_form)).withColumn("high", F.max("node").over(of_form)).where("low <> high")
+    return met.select("form", "node", "n", "at").dropDuplicates(["form", "node"])
+
+
+def may_be_near(x: str, y: str) -> Column:
+    """Whether sets of these sizes that have their first common shingle at these places can be alike."""
+    size = lambda side: F.col(f"{side}.n").cast("bigint")
+    left = F.least(size(x) - F.col(f"{x}.at"), size(y) - F.col(f"{y}.at"))
+    return F.lit(SIMILAR[0] + SIMILAR[1]) * left >= F.lit(SIMILAR[0]) * (size(x) + size(y))
+
+
+def alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a Jaccard likeness of SIMILAR or more; rows (node, body): a text for each node."""
+    pairs = cut(pairs.distinct(), "candidates")
+    wanted = cut(rows.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("body").distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
 
-    First a cell's nodes are only compared with its least one, a row for each;
-    that unites most of every dense group. The join then leaves out pairs
-    already united, so that a group does not emit all its pairs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                hashes = shingle_set(t.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(hashes)], pa.uint64()).view(pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], names=["node", "forms"])
+
+    texts = docs.select("text", F.xxhash64("text").alias("body")).join(F.broadcast(wanted) if few else wanted, "body", "left_semi").select("text")
+    sets = cut(texts.mapInArrow(run, "node bigint, forms array<bigint>").dropDuplicates(["node"]), "sets")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("forms").alias(f"{name}_forms"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    held, total = F.size(F.array_intersect("a_forms", "b_forms")).cast("bigint"), (F.size("a_forms") + F.size("b_forms")).cast("bigint")
+    found = cut(both.where(F.lit(SIMILAR[0] + SIMILAR[1]) * held >= F.lit(SIMILAR[0]) * total).select("a", "b"), "alike")
+    for done in (sets, wanted, pairs):
+        drop_cut(done)
+    return found
+
+
+def set_links(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of known (a, b) as those of all pairs of alike sets would.
+
+    Sets of SIMILAR likeness share a shingle of their prefixes, so a join on
+    those finds all of them. First a shingle's sets are only compared with its
+    least one, then with its greatest, which unites most of every dense group.
+    The join then leaves out pairs already united, so that a group does not emit
+    all its pairs.
     """
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= WORD_BITS
-    low = wide_cells(nodes, LOWER)
-    least = low.groupBy("cell").agg(F.min(F.struct("comp", "next")).alias("least"))
-    starred = low.join(least, "cell").select("cell", F.col("least.comp").alias("a"), F.col("least.next").alias("a_next"), F.col("comp").alias("b"), F.col("next").alias("b_next"))
-    stars = cut(near_pairs(starred.where((F.col("a") != F.col("b")) & near("a_next", "b_next")), nodes), "stars")
-    united = connected_components(stars).withColumnRenamed("comp", "united")
-    merged = cut(nodes.join(united, nodes.comp == united.node, "left").select(F.coalesce("united", "comp").alias("comp"), "w0", "w1", "w2"), "merged")
-    cells = wide_cells(merged)
-    x, y = cells.alias("x"), cells.alias("y")
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.comp") < F.col("y.comp")) & near("x.next", "y.next"))
-    met = met.select("x.cell", F.col("x.comp").alias("a"), F.col("x.next").alias("a_next"), F.col("y.comp").alias("b"), F.col("y.next").alias("b_next"))
-    return stars.unionByName(near_pairs(met, merged))
+    shared = cut(shared_prefixes(docs), "prefixes")
+    links = known
+    for end in (F.min, F.max, None):
+        united = connected_components(links).withColumnRenamed("node", "own")
+        labelled = shared.join(united, shared.node == united.own, "left").select("form", "node", "n", "at", F.coalesce("comp", "node").alias("comp"))
+        y = labelled.alias("y")
+        x = (labelled if end is None else labelled.groupBy("form").agg(end(F.struct("node", "n", "at", "comp")).alias("s")).select("form", "s.*")).alias("x")
+        order = F.col("x.node") < F.col("y.node") if end is None else F.lit(True)
+        met = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.comp") != F.col("y.comp")) & order & may_be_near("x", "y"))
+        links = links.unionByName(alike(docs, rows, met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+    return links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the row with the smallest doc_id (of rows repeating it the one with the least text hash, once).
 
-    Groups are the components of the 64-bit fingerprints, and beyond them of
-    192-bit ones: four differing bits of 64 miss most copies that share 0.8 of
-    their five-word shingles, which differ in about an eighth of the bits.
+    Groups are the components of the 64-bit fingerprints, and beyond them of all
+    pairs that share SIMILAR of their five-word shingles: four differing bits of
+    64 miss most of those.
     """
-    fps = cut(both_fingerprints(docs), "fingerprints")
-    distinct, comps = fingerprint_components(fps.select("doc_id", "fp"))
+    own = cut(sketches(docs), "sketches")
+    distinct, comps = fingerprint_components(own.select("doc_id", "fp"))
     named = distinct.join(comps.select("fp", F.col("component_id").alias("known")), "fp", "left").select("fp", "known")
     # A component's number is a fingerprint of it: its own where it is alone.
     least = named.where("known is not null").groupBy("known").agg(F.min("fp").alias("comp"))
     label = cut(named.join(least, "known", "left").select("fp", F.coalesce("comp", "fp").alias("comp")), "labels")
     # A row is known by its id and its text's hash; ids come before null.
-    wide = fps.groupBy("fp", "w0", "w1", "w2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("first_row"))
-    nodes = cut(wide.join(label, "fp").drop("fp"), "nodes")
-    links = cut(wide_links(nodes), "wide-links")
-    groups = connected_components(links)
-    grouped = nodes.join(groups, nodes.comp == groups.node, "left").select("first_row", F.coalesce(groups.comp, nodes.comp).alias("group"))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("first_row")
+    nodes = cut(own.groupBy("node").agg(first_row), "nodes")
+    rows = nodes.select("node", F.col("first_row.body").alias("body"))
+    labelled = own.select("node", "fp").distinct().join(label, "fp").select("node", "comp")
+    proposed = cut(labelled.join(labelled.groupBy("comp").agg(F.min("node").alias("a")), "comp").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "proposed")
+    groups = connected_components(set_links(docs, rows, proposed))
+    grouped = nodes.alias("n").join(groups.alias("g"), F.expr("n.node = g.node"), "left").select("first_row", F.coalesce("g.comp", "n.node").alias("group"))
     first = grouped.groupBy("group").agg(F.min("first_row").alias("kept"))
     kept = first.select(F.xxhash64("kept.doc_id", "kept.body").alias("row_key"), F.col("kept.body").alias("row_body")).distinct()
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("row_id"), F.xxhash64("text").alias("row_body"))

@@ -134,3 +134,31 @@ def test_keep_one(spark, odd, empty):
     assert sorted((r.doc_id for r in kept), key=str) == [1, 4, 5, 7, None]
     assert S.keep_one(odd).columns == odd.columns
     assert S.keep_one(empty).count() == 0 == S.components(empty).count()
+
+
+def five_word_likeness(a, b):
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def test_every_pair_of_the_threshold_is_found(spark):
+    """Pairs around 0.8 of all lengths, a block or scattered words changed: of two that share 0.8 one is kept, else both."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    rows, alike = [], {}
+    for pair in range(240):
+        words = [word() for _ in range(rng.choice([20, 60, 150, 400]))]
+        other = list(words)
+        changed = max(1, int(len(words) * rng.uniform(0.01, 0.12)))
+        if pair % 2:
+            at = rng.randrange(len(words) - changed)
+            other[at : at + changed] = [word() for _ in range(changed)]
+        else:
+            for at in rng.sample(range(len(words)), max(1, changed // 4)):
+                other[at] = word()
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+        alike[pair] = five_word_likeness(rows[-1][1], rows[-2][1]) >= 0.8
+    assert 40 < sum(alike.values()) < 220
+    got = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {p for p in alike if 2 * p + 1 not in got} >= {p for p in alike if alike[p]}
+    assert all(2 * p in got for p in alike)
