@@ -18,8 +18,8 @@ Components come from alternating star steps, in the shared folder.
 
 keep_one() goes on from there with the sets of five-word shingles, since it is to
 catch every copy of 0.8 similarity: two such sets share one of their first fifth
-of shingles in any common order, so a join on those misses none, and the exact
-likeness decides.
+of shingles in any common order, so a join on those misses none. The exact
+likeness decides, on what the fingerprints propose as well.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; a null doc_id is in a component like any other but never names one where
@@ -314,8 +314,8 @@ def alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def set_links(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): links that join the components of known (a, b) as those of all pairs of alike sets would.
+def set_links(docs: DataFrame, rows: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(a, b): pairs of alike sets that make the components which all such pairs would; proposed (a, b) are tried first.
 
     Sets of SIMILAR likeness share a shingle of their prefixes, so a join on
     those finds all of them. First a shingle's sets are only compared with its
@@ -324,7 +324,7 @@ def set_links(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
     all its pairs.
     """
     shared = cut(shared_prefixes(docs), "prefixes")
-    links = known
+    links = alike(docs, rows, proposed)
     for end in (F.min, F.max, None):
         united = connected_components(links).withColumnRenamed("node", "own")
         labelled = shared.join(united, shared.node == united.own, "left").select("form", "node", "n", "at", F.coalesce("comp", "node").alias("comp"))
@@ -339,9 +339,9 @@ def set_links(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the row with the smallest doc_id (of rows repeating it the one with the least text hash, once).
 
-    Groups are the components of the 64-bit fingerprints, and beyond them of all
-    pairs that share SIMILAR of their five-word shingles: four differing bits of
-    64 miss most of those.
+    Groups are the components of all pairs that share SIMILAR of their five-word
+    shingles. Those that the 64-bit fingerprints propose are tried first: four
+    differing bits of 64 miss most near copies, and link some texts that are none.
     """
     own = cut(sketches(docs), "sketches")
     distinct, comps = fingerprint_components(own.select("doc_id", "fp"))

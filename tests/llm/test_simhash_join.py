@@ -162,3 +162,39 @@ def test_every_pair_of_the_threshold_is_found(spark):
     got = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {p for p in alike if 2 * p + 1 not in got} >= {p for p in alike if alike[p]}
     assert all(2 * p in got for p in alike)
+
+
+def one_of_each_alike(rows):
+    """rows: (id, text). The smallest id of every group by the true five-word likeness of all pairs."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    groups = {}
+    for i, (doc, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(doc)
+    return sorted(min(g) for g in groups.values())
+
+
+def test_kept_by_true_likeness(spark):
+    """The sample table and texts whose fingerprints are next to each other though few shingles are shared."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    common = "one two three four five " * 60
+    more = [(10_000_000 + i, common + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(3)]
+    assert len({fingerprint(t) for _, t in more}) == 1
+    got = S.keep_one(docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))).collect()
+    assert sorted(r.doc_id for r in got) == one_of_each_alike(rows + more)
+    assert {d for d, _ in more} <= {r.doc_id for r in got}
