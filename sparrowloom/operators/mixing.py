@@ -40,10 +40,12 @@ def sizes(sources: DataFrame, source: str) -> DataFrame:
     return sources.groupBy(source).agg(F.count("*").alias("size"))
 
 
-def from_every_source(spark: SparkSession, sources: DataFrame, source: str, steps: int, stop_at_shortest: bool) -> DataFrame:
-    """Each step takes the next row of each source; short ones start again, or all stop with the shortest."""
+def from_every_source(spark: SparkSession, sources: DataFrame, source: str, steps: int | None, stop_at_shortest: bool) -> DataFrame:
+    """Each step takes the next row of each source; short ones start again, or all stop with the shortest (steps None: nothing else stops them)."""
     n = sizes(sources, source)
     least = n.agg(F.min("size").alias("least"))
+    if stop_at_shortest and steps is None:
+        return sources.join(F.broadcast(least)).where("ordinal < least").drop("least").withColumn("step", F.col("ordinal"))
     spine = spark.range(steps).withColumnRenamed("id", "step")
     plan = spine.join(F.broadcast(n)).join(F.broadcast(least))
     if stop_at_shortest:

@@ -26,12 +26,16 @@ _S = "WITH s AS (SELECT event_type AS loader, event_id, row_number() OVER (PARTI
 
 @query(_S + " SELECT t.step, loader, event_id FROM range(0, 3000) t(step), n JOIN s USING (loader) WHERE s.ordinal = t.step % n.size")
 def mix_concat_cycle(spark: SparkSession, d: str) -> DataFrame:
-    return X.from_every_source(spark, _sources(spark, d), "loader", 3000, False).select("step", "loader", "event_id")
+    """Enough steps that the longest loader starts again, at least 3,000."""
+    sources = _sources(spark, d)
+    longest = X.sizes(sources, "loader").agg(F.max("size")).first()[0] or 0
+    return X.from_every_source(spark, sources, "loader", max(3000, longest + 1), False).select("step", "loader", "event_id")
 
 
 @query(_S + " SELECT s.ordinal AS step, loader, event_id FROM s WHERE s.ordinal < least(3000, (SELECT min(size) FROM n))")
 def mix_concat_min(spark: SparkSession, d: str) -> DataFrame:
-    return X.from_every_source(spark, _sources(spark, d), "loader", 3000, True).select("step", "loader", "event_id")
+    """All steps of the shortest loader."""
+    return X.from_every_source(spark, _sources(spark, d), "loader", None, True).select("step", "loader", "event_id")
 
 
 @query("SELECT step, place::INT AS place, ['a', 'b', 'c'][(step * 2 + place) % 3 + 1] AS loader FROM range(0, 500) t(step), range(0, 2) p(place)")
@@ -47,6 +51,11 @@ def _draw_sql(types: list[str], weights: list[float]) -> str:
     return f"CASE {' '.join(parts)} ELSE '{types[-1]}' END"
 
 
+def _draws(sources: DataFrame) -> int:
+    """So many draws that a loader of the mix ends for sure, at least 12,000."""
+    return max(12000, 1 + sources.where(F.col("loader").isin(*_MIX)).count())
+
+
 _MIX = {"click": 3.0, "view": 2.0, "purchase": 1.0}
 _D = _S + f", w AS (SELECT step, {_draw_sql(list(_MIX), list(_MIX.values()))} AS loader FROM (SELECT step, {uniform_sql('step', 'mix')} AS u FROM range(0, 12000) t(step))), d AS (SELECT *, row_number() OVER (PARTITION BY loader ORDER BY step) - 1 AS k FROM w), z AS (SELECT d.step, loader, k // size AS epoch, event_id FROM d JOIN n USING (loader) JOIN s USING (loader) WHERE s.ordinal = k % size)"
 
@@ -54,15 +63,17 @@ _D = _S + f", w AS (SELECT step, {_draw_sql(list(_MIX), list(_MIX.values()))} AS
 @query(_D + " SELECT * FROM z")
 def mix_weighted(spark: SparkSession, d: str) -> DataFrame:
     """Draws by weight; an exhausted loader starts again."""
-    draws = X.weighted_draws(spark, _MIX, 12000, "mix")
-    return X.cycled(draws, _sources(spark, d), "loader").select("step", "loader", F.col("epoch").cast("bigint").alias("epoch"), "event_id")
+    sources = _sources(spark, d)
+    draws = X.weighted_draws(spark, _MIX, _draws(sources), "mix")
+    return X.cycled(draws, sources, "loader").select("step", "loader", F.col("epoch").cast("bigint").alias("epoch"), "event_id")
 
 
 @query(_D + " SELECT * FROM z WHERE step < coalesce((SELECT min(step) FROM z WHERE epoch > 0), 1000000)")
 def mix_weighted_min(spark: SparkSession, d: str) -> DataFrame:
     """Draws by weight up to the first exhaustion."""
-    draws = X.weighted_draws(spark, _MIX, 12000, "mix")
-    return X.cycled(draws, _sources(spark, d), "loader", stop_at_first_end=True).select("step", "loader", F.col("epoch").cast("bigint").alias("epoch"), "event_id")
+    sources = _sources(spark, d)
+    draws = X.weighted_draws(spark, _MIX, _draws(sources), "mix")
+    return X.cycled(draws, sources, "loader", stop_at_first_end=True).select("step", "loader", F.col("epoch").cast("bigint").alias("epoch"), "event_id")
 
 
 _VALUES = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in DATA_WEIGHTS.items()) + ")"
