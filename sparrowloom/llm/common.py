@@ -72,9 +72,9 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def _is_stars(edges: DataFrame) -> bool:
     """Whether no leaf u has two centres v, and no centre is a leaf."""
-    leaves = edges.groupBy("u").agg(F.count("*").alias("n"))
-    bad = leaves.where("n > 1").select("u").unionByName(edges.select(F.col("v").alias("u")).distinct().join(leaves.select("u"), "u", "left_semi"))
-    return not bad.limit(1).count()
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    bad = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).agg(F.max((F.col("leaf") > 1) | ((F.col("leaf") > 0) & (F.col("centre") > 0))).alias("bad"))
+    return not bad.first().bad
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -49,8 +49,6 @@ SIMILAR = (4, 5)
 COMMON, COMMON_LEAST, COMMON_PART = 100_000, 4, 4
 HELD_NODES = 200_000
 BROADCAST_ROWS = 1_000_000
-#: Of an earlier 192-bit fingerprint, which tests still compare with: words of a shingle, differing bits of all and of one of its words.
-WIDE_SHINGLE, WIDE_BITS, WORD_BITS = 3, 30, 12
 
 _UPPER_TO_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _ODD = np.uint64(0x5555555555555555)
@@ -58,9 +56,12 @@ _ODD = np.uint64(0x5555555555555555)
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """Bit b is set if it is set in over half of the shingles' XXH64 values."""
+    return fingerprint_of(words_of(text), size)
+
+
+def fingerprint_of(words: list[bytes], size: int = SHINGLE) -> int:
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER_TO_LOWER).split()
     if not words:
         return 0
     join, digest = b" ".join, xxhash.xxh64_intdigest
@@ -192,11 +193,14 @@ def components(docs: DataFrame) -> DataFrame:
     return large.unionByName(small).select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The different hashes of a text's SET_SHINGLE-word shingles, sorted; of fewer words all are one shingle."""
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_UPPER_TO_LOWER).split()
+
+
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The different hashes of SET_SHINGLE-word shingles, sorted; of fewer words all are one shingle."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER_TO_LOWER).split()
     own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     size = min(SET_SHINGLE, len(own))
     hashes = np.full(len(own) - size + 1 if size else 0, size, np.uint64)
@@ -228,16 +232,31 @@ def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndar
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, fp, node): body is the text's hash, node its set of shingles."""
+    """(doc_id, body, fp, node, n, forms): body is the text's hash, node names its set of n shingles, forms is the set's prefix.
+
+    The prefix is left out where the task has just given it for the same set.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(2)]
-            own = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-            node = np.fromiter((node_of(shingle_set(t)) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), pa.array(node)], names=["doc_id", "body", "fp", "node"])
+            fps, nodes, sizes, prefixes = [], [], [], []
+            for t in batch.column(2):
+                words = words_of(t.as_py())
+                hashes = shingle_set(words)
+                node = node_of(hashes)
+                fps.append(fingerprint_of(words))
+                nodes.append(node)
+                sizes.append(len(hashes))
+                prefixes.append(prefix(hashes, *common.value).view(np.int64) if node not in seen and len(hashes) else None)
+                if len(seen) >= HELD_NODES:
+                    seen.clear()
+                seen.add(node)
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(fps), signed(nodes), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "body", "fp", "node", "n", "forms"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text")).mapInArrow(run, "doc_id bigint, body bigint, fp bigint, node bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text")).mapInArrow(run, "doc_id bigint, body bigint, fp bigint, node bigint, n int, forms array<bigint>")
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +265,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], names=["form"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(words_of(t.as_py())).view(np.int64))], names=["form"])
 
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(COMMON_PART)) == 0).select("text")
     counts = part.mapInArrow(run, "form bigint").groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
@@ -259,36 +278,25 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return forms[order], ranks[order]
 
 
-def shared_prefixes(docs: DataFrame) -> DataFrame:
-    """(form, node, n, at): the shingles in the prefixes of two sets or more, with the sets' sizes and the places in them."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for t in batch.column(0):
-                hashes = shingle_set(t.as_py())
-                node = node_of(hashes)
-                if node in seen or not len(hashes):
-                    continue
-                if len(seen) >= HELD_NODES:
-                    seen.clear()
-                seen.add(node)
-                forms = prefix(hashes, *common.value)
-                many = len(forms)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (forms.view(np.int64), np.full(many, node, np.uint64).view(np.int64), np.full(many, len(hashes), np.int32), np.arange(many, dtype=np.int32))], names=["form", "node", "n", "at"])
+def shared_prefixes(own: DataFrame) -> DataFrame:
+    """(form, node, n, at, fame): the shingles in the prefixes of two sets or more, with the sets' sizes and the places in them.
 
-    rows = docs.select("text").mapInArrow(run, "form bigint, node bigint, n int, at int")
+    A set's fame is the number of rows that its shingles have: the text that
+    many others were copied from shares all of its shingles with some of them,
+    a copy that was changed does not.
+    """
+    rows = own.where("forms is not null").select("node", "n", F.posexplode("forms").alias("at", "form"))
     of_form = Window.partitionBy("form")
-    met = rows.withColumn("low", F.min("node").over(of_form)).withColumn("high", F.max("node").over(of_form)).where("low <> high")
-    return met.select("form", "node", "n", "at").dropDuplicates(["form", "node"])
+    met = rows.withColumns({"low": F.min("node").over(of_form), "high": F.max("node").over(of_form), "many": F.count("*").over(of_form)}).where("low <> high")
+    shared = cut(met.select("form", "node", "n", "at", "many").dropDuplicates(["form", "node"]), "prefixes")
+    fame = shared.groupBy(F.col("node").alias("of")).agg(F.sum("many").alias("fame"))
+    return shared.join(fame, F.col("node") == F.col("of")).select("form", "node", "n", "at", "fame")
 
 
 def may_be_near(x: str, y: str) -> Column:
     """Whether sets of these sizes that have their first common shingle at these places can be alike."""
-    size = lambda side: F.col(f"{side}.n").cast("bigint")
-    left = F.least(size(x) - F.col(f"{x}.at"), size(y) - F.col(f"{y}.at"))
-    return F.lit(SIMILAR[0] + SIMILAR[1]) * left >= F.lit(SIMILAR[0]) * (size(x) + size(y))
+    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at")).cast("bigint")
+    return F.lit(SIMILAR[0] + SIMILAR[1]) * left >= F.lit(SIMILAR[0]) * (F.col(f"{x}.n").cast("bigint") + F.col(f"{y}.n"))
 
 
 def alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -300,40 +308,46 @@ def alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
-                hashes = shingle_set(t.as_py())
+                hashes = shingle_set(words_of(t.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(hashes)], pa.uint64()).view(pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], names=["node", "forms"])
 
-    texts = docs.select("text", F.xxhash64("text").alias("body")).join(F.broadcast(wanted) if few else wanted, "body", "left_semi").select("text")
-    sets = cut(texts.mapInArrow(run, "node bigint, forms array<bigint>").dropDuplicates(["node"]), "sets")
+    texts = docs.select("text", F.xxhash64("text").alias("body")).join(F.broadcast(wanted) if few else wanted, "body", "left_semi").dropDuplicates(["body"]).select("text")
+    sets = cut(texts.mapInArrow(run, "node bigint, forms array<bigint>"), "sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("forms").alias(f"{name}_forms"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     held, total = F.size(F.array_intersect("a_forms", "b_forms")).cast("bigint"), (F.size("a_forms") + F.size("b_forms")).cast("bigint")
-    found = cut(both.where(F.lit(SIMILAR[0] + SIMILAR[1]) * held >= F.lit(SIMILAR[0]) * total).select("a", "b"), "alike")
+    found = cut(both.where(F.lit(SIMILAR[0] + SIMILAR[1]) * held >= F.lit(SIMILAR[0]) * total).select("a", "b").distinct(), "alike")
     for done in (sets, wanted, pairs):
         drop_cut(done)
     return found
 
 
-def set_links(docs: DataFrame, rows: DataFrame, proposed: DataFrame) -> DataFrame:
-    """(a, b): pairs of alike sets that make the components which all such pairs would; proposed (a, b) are tried first.
+def set_links(docs: DataFrame, rows: DataFrame, own: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(a, b): pairs of alike sets that make the components which all such pairs would; proposed (a, b) are tried as well.
 
     Sets of SIMILAR likeness share a shingle of their prefixes, so a join on
-    those finds all of them. First a shingle's sets are only compared with its
-    least one, then with its greatest, which unites most of every dense group.
-    The join then leaves out pairs already united, so that a group does not emit
-    all its pairs.
+    those finds all of them. First a shingle's sets are only compared with the
+    one of most fame, which unites most of every dense group. The join then
+    leaves out pairs already united, and lets only those sets search that are
+    not united with their shingle's main one, so that a group neither emits nor
+    compares all its pairs.
     """
-    shared = cut(shared_prefixes(docs), "prefixes")
-    links = alike(docs, rows, proposed)
-    for end in (F.min, F.max, None):
-        united = connected_components(links).withColumnRenamed("node", "own")
-        labelled = shared.join(united, shared.node == united.own, "left").select("form", "node", "n", "at", F.coalesce("comp", "node").alias("comp"))
-        y = labelled.alias("y")
-        x = (labelled if end is None else labelled.groupBy("form").agg(end(F.struct("node", "n", "at", "comp")).alias("s")).select("form", "s.*")).alias("x")
-        order = F.col("x.node") < F.col("y.node") if end is None else F.lit(True)
-        met = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.comp") != F.col("y.comp")) & order & may_be_near("x", "y"))
-        links = links.unionByName(alike(docs, rows, met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
-    return links
+    shared = cut(shared_prefixes(own), "shared")
+    of_form = Window.partitionBy("form")
+    ranked = shared.withColumn("top", F.max(F.struct("fame", "node", "n", "at")).over(of_form))
+    star = ranked.where(F.col("node") != F.col("top.node")).select(F.struct("n", "at").alias("x"), "top", "node", "fame")
+    first = cut(star.where(may_be_near("x", "top")).select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.fame").alias("fame")).distinct(), "stars")
+    links = alike(docs, rows, first.select("a", "b").unionByName(proposed))
+    # Every set points to the most famous one that it is alike with, and from there on: pointers only go up, and stay in one group.
+    up = cut(first.join(links, ["a", "b"], "left_semi").groupBy("b").agg(F.max(F.struct("fame", "a")).alias("best")).select(F.col("b").alias("own"), F.col("best.a").alias("group")), "up")
+    further = up.select(F.col("own").alias("mid"), F.col("group").alias("next"))
+    united = up.join(further, F.col("group") == F.col("mid"), "left").select("own", F.coalesce("next", "group").alias("group"))
+    labelled = shared.join(united, F.col("node") == F.col("own"), "left").select("form", "node", "n", "at", "fame", F.coalesce("group", "node").alias("comp"))
+    main = labelled.withColumns({"top": F.max(F.struct("fame", "node", "comp")).over(of_form), "low": F.min("comp").over(of_form), "high": F.max("comp").over(of_form)}).where("low <> high")
+    main = cut(main.select("form", "node", "n", "at", "comp", (F.col("comp") == F.col("top.comp")).alias("main")), "open")
+    x, y = main.where("not main").alias("x"), main.alias("y")
+    met = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node"))) & may_be_near("x", "y"))
+    return links.unionByName(alike(docs, rows, met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -344,18 +358,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     differing bits of 64 miss most near copies, and link some texts that are none.
     """
     own = cut(sketches(docs), "sketches")
-    distinct, comps = fingerprint_components(own.select("doc_id", "fp"))
-    named = distinct.join(comps.select("fp", F.col("component_id").alias("known")), "fp", "left").select("fp", "known")
-    # A component's number is a fingerprint of it: its own where it is alone.
-    least = named.where("known is not null").groupBy("known").agg(F.min("fp").alias("comp"))
-    label = cut(named.join(least, "known", "left").select("fp", F.coalesce("comp", "fp").alias("comp")), "labels")
+    # Sets of one fingerprint meet its least one, and the least ones of linked fingerprints each other.
+    of_fp = cut(own.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "fps")
+    sure = cut(cleared_forms(of_fp), "forms")
+    linked = sure.unionByName(near_links(of_fp, nearest(sure)))
+    low = lambda name: of_fp.select(F.col("fp").alias(name), F.col("low").alias(f"{name}_low"))
+    across = linked.join(low("a"), "a").join(low("b"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
+    within = own.select("fp", "node").join(of_fp.where("low <> high"), "fp").select(F.col("low").alias("a"), F.col("node").alias("b"))
     # A row is known by its id and its text's hash; ids come before null.
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("first_row")
     nodes = cut(own.groupBy("node").agg(first_row), "nodes")
     rows = nodes.select("node", F.col("first_row.body").alias("body"))
-    labelled = own.select("node", "fp").distinct().join(label, "fp").select("node", "comp")
-    proposed = cut(labelled.join(labelled.groupBy("comp").agg(F.min("node").alias("a")), "comp").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "proposed")
-    groups = connected_components(set_links(docs, rows, proposed))
+    groups = connected_components(set_links(docs, rows, own, across.unionByName(within).where("a <> b")))
     grouped = nodes.alias("n").join(groups.alias("g"), F.expr("n.node = g.node"), "left").select("first_row", F.coalesce("g.comp", "n.node").alias("group"))
     first = grouped.groupBy("group").agg(F.min("first_row").alias("kept"))
     kept = first.select(F.xxhash64("kept.doc_id", "kept.body").alias("row_key"), F.col("kept.body").alias("row_body")).distinct()
@@ -366,6 +380,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return packed.join(kept, ["row_key", "row_body"], "left_semi").withColumn("place", F.row_number().over(again)).where("place = 1").select("row.*")
 
 
+def nearest(links: DataFrame) -> DataFrame:
+    """(node, comp): for each end of links (a, b) the least one met within two steps; equal ones are in one component."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    step = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "nearest")
+    further = step.select(F.col("node").alias("mid"), F.col("comp").alias("next"))
+    return step.join(further, F.col("comp") == F.col("mid")).select("node", F.col("next").alias("comp"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,7 +1,7 @@
 """The pipeline on the smallest tables: its stages one after the other, against what each operator's own test establishes in plain Python."""
 
 import pytest
-from test_simhash_join import one_of_each
+from test_simhash_join import one_of_each_alike
 from test_site_quality import brute as qualities
 from test_template_leaks import brute as leaks
 
@@ -27,7 +27,7 @@ def test_quality(spark, sf_dir, documents, stages):
 
 
 def test_near_duplicates(stages):
-    assert sorted(r.doc_id for r in stages[1].collect()) == one_of_each([(r.doc_id, r.text) for r in stages[0].collect()])
+    assert sorted(r.doc_id for r in stages[1].collect()) == one_of_each_alike([(r.doc_id, r.text) for r in stages[0].collect()])
 
 
 def test_decontaminated(spark, sf_dir, stages):
