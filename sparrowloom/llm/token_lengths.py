@@ -9,16 +9,25 @@ the tokens left when longer documents are truncated at L:
 
 Lengths are dealt into blocks of 1024 neighbouring lengths, so the running sums
 are windows over one block plus the offsets of the blocks; no task gets the
-whole histogram but the few block totals.
+whole histogram but the few block totals. The counts are written once, so each
+text is encoded once.
+
+A long run of white space is cut out before the text is split into pieces, since
+the splitter goes back over all of it: by its own pattern the run but for its
+last character is one piece (all of it at the text's end), and begins a piece
+whatever is before it. The length stays that of the whole text.
 
 Defined results: a null or empty text has length 0; control strings of the
-vocabulary inside a text are ordinary text; repeated rows count each; an empty
-table has an empty histogram; further columns are ignored.
+vocabulary inside a text are ordinary text; a text of any length, also of one
+run of blanks, letters or signs, has its exact length; repeated rows and equal
+lengths count each; an empty table has an empty histogram; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import cut, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's own split of a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1024
+LONG_RUN = 1000
+#: White space as in PATTERN, by Unicode's White_Space.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 @lru_cache(maxsize=2)
@@ -43,15 +55,28 @@ def encoder(path: str):
     return tiktoken.Encoding("lengths", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def n_tokens(text: str | None, path: str = VOCABULARY) -> int:
+    """The number of tokens of the whole text."""
+    if not text:
+        return 0
+    own = encoder(path)
+    total, start = 0, 0
+    for run in _RUN.finditer(text):
+        # The last blank belongs to what follows it.
+        end = run.end() - (run.end() < len(text))
+        total += len(own.encode_ordinary(text[start : run.start()]))
+        if end > run.start():
+            total += len(own._encode_single_piece(text[run.start() : end]))
+        start = end
+    return total + len(own.encode_ordinary(text[start:]))
+
+
 def encoded_lengths(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens): the length of each whole text; the vocabulary's file must lie on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
         for batch in batches:
-            column, lengths = batch.column(1), []
-            for a, b in chunks([None] * len(column), len(column) + 1):
-                lengths += [len(encode(t.as_py())) if t.is_valid else 0 for t in column[a:b]]
+            lengths = [n_tokens(t.as_py(), vocabulary) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
@@ -65,7 +90,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     cut at n_tokens; rank: docs_upto as a share of all documents (the smallest
     n_tokens of rank q or more is the q-quantile).
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    counts = cut(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)), "lengths")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("block_tokens"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -101,19 +126,28 @@ def answer_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
     """For each row of limits (context_limit): documents that fit, and the tokens kept by truncation.
 
     The stretch of limits between two neighbouring lengths shares the lower
-    one's sums, so a limit looks up the longest length up to it: limits and
-    lengths go into one sorted run, never a product of the two.
+    one's sums, so a limit looks up the longest length up to it: in its own
+    block of lengths, or else the last of an earlier block. Limits and lengths
+    of a block go into one sorted run, never a product of the two.
     """
-    marks = histogram.select(F.col("n_tokens").alias("at"), F.lit(0).alias("asked"), "docs_upto", "tokens_upto", "docs_over")
-    total = histogram.agg(F.sum("n_docs").alias("all_docs"))
-    asked = limits.select(F.col("context_limit").cast("bigint").alias("at"), F.lit(1).alias("asked"), *[F.lit(None).cast("bigint").alias(c) for c in ("docs_upto", "tokens_upto", "docs_over")])
-    run = Window.orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(run)
-    filled = marks.unionByName(asked).select("at", "asked", last("docs_upto").alias("docs_fit"), last("tokens_upto").alias("t"), last("docs_over").alias("o")).where("asked = 1")
-    return filled.join(F.broadcast(total)).select(
+    sums = ("docs_upto", "tokens_upto", "docs_over")
+    block = lambda c: F.floor(F.col(c) / BLOCK).alias("block")
+    marks = cut(histogram.select(block("n_tokens"), F.col("n_tokens").alias("at"), F.lit(0).alias("asked"), *sums, "n_docs"), "histogram")
+    total = marks.agg(F.sum("n_docs").alias("all_docs"))
+    asked = limits.select(block("context_limit"), F.col("context_limit").cast("bigint").alias("at"), F.lit(1).alias("asked"), *[F.lit(None).cast("bigint").alias(c) for c in sums])
+    run = Window.partitionBy("block").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    within = marks.drop("n_docs").unionByName(asked).select("block", "at", "asked", *[F.last(c, ignorenulls=True).over(run).alias(c) for c in sums]).where("asked = 1")
+    # A row for each block that has lengths or limits.
+    ends = marks.groupBy("block").agg(F.max("docs_upto").alias("docs_upto"), F.max("tokens_upto").alias("tokens_upto"), F.min("docs_over").alias("docs_over"))
+    every = ends.unionByName(asked.select("block").distinct().select("block", *[F.lit(None).cast("bigint").alias(c) for c in sums])).groupBy("block").agg(*[F.max(c).alias(c) for c in sums])
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = every.select("block", *[F.last(c, ignorenulls=True).over(before).alias(f"before_{c}") for c in sums])
+    filled = within.join(earlier, "block").join(F.broadcast(total))
+    found = lambda c: F.coalesce(c, f"before_{c}")
+    return filled.select(
         F.col("at").alias("context_limit"),
-        F.coalesce("docs_fit", F.lit(0)).alias("docs_fit"),
-        (F.coalesce("t", F.lit(0)) + F.col("at") * F.coalesce("o", "all_docs", F.lit(0))).alias("truncated_tokens"),
+        F.coalesce(found("docs_upto"), F.lit(0)).alias("docs_fit"),
+        (F.coalesce(found("tokens_upto"), F.lit(0)) + F.col("at") * F.coalesce(found("docs_over"), "all_docs", F.lit(0))).alias("truncated_tokens"),
     )
 
 

@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowloom.llm import token_lengths as T
 
@@ -46,3 +48,30 @@ def test_control_strings_and_empty(spark, empty):
     one = spark.createDataFrame([(1, "<|endoftext|>")], "doc_id bigint, text string")
     assert T.encoded_lengths(one).first().n_tokens > 1
     assert T.length_histogram(T.encoded_lengths(empty)).count() == 0
+
+
+def test_long_runs_of_white_space_keep_the_length(monkeypatch):
+    """The cut text has as many tokens as the whole one, for runs short enough to be encoded whole."""
+    encode = T.encoder(T.VOCABULARY).encode_ordinary
+    rng = random.Random(2)
+    for least in (1, 2, 3):
+        monkeypatch.setattr(T, "_RUN", T.re.compile(T._RUN.pattern.replace("{1000,}", "{%d,}" % least)))
+        for _ in range(400):
+            text = "".join(rng.choice([" ", "\n", "\t", "\u3000", "\x1c", "  ", " \n", "a", "b's", "1", "!", "é", " the"]) for _ in range(rng.randrange(40)))
+            assert T.n_tokens(text) == len(encode(text)), repr(text)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "!", "\u3000"])
+def test_five_megabytes_of_one_character(spark, unit):
+    encode = T.encoder(T.VOCABULARY).encode_ordinary
+    few = len(encode(unit * 8000)) / 8000
+    rows = spark.createDataFrame([(1, unit * 5_000_000), (2, f"so {unit * 5_000_000}it is")], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_tokens for r in T.encoded_lengths(rows).collect()}
+    assert got[1] == pytest.approx(5_000_000 * few, rel=1e-3) and got[2] == pytest.approx(got[1], abs=8)
+
+
+def test_each_text_is_encoded_once(spark, sf_dir, odd):
+    plan = T.op10_token_lengths(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # counted before, once
+    clash = odd.withColumns({c: F.lit("x") for c in ("n_tokens", "n_docs", "block")})
+    assert T.length_histogram(T.encoded_lengths(clash)).agg(F.sum("n_docs")).first()[0] == odd.count()
