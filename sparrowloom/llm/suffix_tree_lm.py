@@ -11,18 +11,25 @@ words in proportion to the suffix's distribution; the root is the add-half word
 distribution, so every text has a probability. A text is scored from state to
 state, each the longest kept suffix of the words before.
 
-What is broadcast is bounded by shares of all N training tokens, whatever N is:
-at most 1 / WORD_SHARE words have WORD_SHARE of the tokens, and at most
-1 / CONTEXT_SHARE contexts and 1 / NEXT_SHARE (context, word) pairs a depth have
-theirs. All other words are counted and looked up by shuffles: a scored text's
-rare words meet their counts in a join, in which no word is hot, since the hot
-ones are scored in place. Counts are summed in each task before any shuffle.
+Texts are split once: a text's words go on as hashes in a table of the shared
+folder, which the passes for the depths and the scores read.
 
-Words are known by XXH64; two words of one hash would share a count.
+A context needs CONTEXT_FACTOR * sqrt(N) occurrences among the N training tokens,
+and an own probability (or a place in a context) NEXT_FACTOR * sqrt(N). One rule
+holds at every size: the tree grows with the square root of the corpus, and what
+is broadcast is at most sqrt(N) / CONTEXT_FACTOR contexts and sqrt(N) /
+NEXT_FACTOR words and pairs of each depth (a million pairs at 10^8 tokens). All
+other words are counted and looked up by shuffles: a scored text's rare words
+meet their counts in a join, in which no word is hot, since the hot ones are
+scored in place. Counts are summed in each task before any shuffle.
+
+Words are known by XXH64: two of V different words share a hash, and so their
+counts, with odds of V^2 / 2^65 (3 in 10^6 for 10^7 words).
 
 Defined results: a null or empty text is its end alone; a null doc_id is
-training data; repeated rows count and are scored each; an empty table gives an
-empty one; further columns are ignored.
+training data; repeated rows count and are scored each; a long text is taken
+whole, and equal counts need no order; an empty table gives an empty one;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +44,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, table
+from .common import CHUNK_CHARS, chunks, cut, drop_cut, table
 
 DEPTH = 3
-WORD_SHARE = 5e-7
-CONTEXT_SHARE = 1e-5
-NEXT_SHARE = 1e-6
-#: Fewer occurrences than these never make a context, or an own probability, however small the corpus.
-LEAST_CONTEXT, LEAST_NEXT = 20, 3
+CONTEXT_FACTOR = 0.1
+NEXT_FACTOR = 0.01
 MIN_DIVERGENCE = 0.02
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 5, 1
@@ -74,14 +78,23 @@ def signed(hashes) -> np.ndarray:
 END = int(np.array(0xE01D_0F7E_0000_0001, np.uint64).view(np.int64))  # stands for the end among word hashes
 
 
+def least_context(tokens: int) -> float:
+    return CONTEXT_FACTOR * math.sqrt(tokens)
+
+
+def least_next(tokens: int) -> float:
+    return max(1.0, NEXT_FACTOR * math.sqrt(tokens))
+
+
 class Interner:
-    """Numbers for the words seen so far in a task."""
+    """Numbers for the words seen so far in a task, and their counts."""
 
     def __init__(self) -> None:
         self.ids: defaultdict[bytes, int] = defaultdict()
         self.ids.default_factory = self.ids.__len__
         self.ids[_END]  # 0
         self.hashes = np.array([END], np.int64)
+        self.counts = np.zeros(1, np.int64)
 
     def number(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
@@ -92,43 +105,67 @@ class Interner:
             self.hashes = np.concatenate([self.hashes, signed([word_hash(w) for w in new])])
         return self.hashes
 
+    def count(self, numbers: np.ndarray, ends: int) -> None:
+        own = np.bincount(numbers, minlength=len(self.ids))
+        own[: len(self.counts)] += self.counts
+        own[0] += ends
+        self.counts = own
 
-def sequences(texts: list, framed: bool) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """For chunks of texts the words of all, each text ended (framed: also begun) by the end, and each text's length."""
-    for a, b in chunks(texts):
-        words: list[bytes] = []
-        lengths = []
-        for text in texts[a:b]:
-            own = words_of(text)
-            if framed:
-                words.append(_END)
-            words += own
-            words.append(_END)
-            lengths.append(len(own) + 1 + framed)
-        yield words, np.array(lengths)
 
-
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n): the counts of all training tokens by hash, the end's among them."""
+def encoded(docs: DataFrame) -> DataFrame:
+    """From (row_id, doc_id, held_out, text) a row for each text with the hashes of its words, and rows with the counts of a task's training words."""
+    schema = "row_id bigint, doc_id bigint, held_out boolean, words array<bigint>, counts array<bigint>"
+    kinds = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = Interner(), np.zeros(0, np.int64)
+        known = Interner()
+
+        def counted() -> pa.RecordBatch:
+            seen = known.counts > 0
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([known.hashed()[: len(seen)][seen]], pa.list_(pa.int64())), pa.array([known.counts[seen]], pa.list_(pa.int64()))], schema=kinds)
+
         for batch in batches:
-            for words, _ in sequences(batch.column(0).to_pylist(), framed=False):
-                own = np.bincount(known.number(words), minlength=len(counts))
-                own[: len(counts)] += counts
-                counts = own
+            texts, held = batch.column(3).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in chunks(texts):
+                own = [words_of(t) for t in texts[a:b]]
+                lengths = np.fromiter(map(len, own), np.int64, b - a)
+                numbers = known.number([w for ws in own for w in ws])
+                training = np.repeat(~held[a:b], lengths)
+                known.count(numbers[training], int((~held[a:b]).sum()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(known.hashed()[numbers]))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists, pa.nulls(b - a, pa.list_(pa.int64()))], schema=kinds)
                 if len(known.ids) > HELD_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(known.hashed()[: len(counts)]), pa.array(counts)], names=["word", "n"])
-                    known, counts = Interner(), np.zeros(0, np.int64)
-        if len(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(known.hashed()[: len(counts)]), pa.array(counts)], names=["word", "n"])
+                    yield counted()
+                    known = Interner()
+        yield counted()
+
+    return docs.select("row_id", "doc_id", "held_out", "text").mapInArrow(run, schema)
 
-    return training.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+def framed(column: pa.Array, size: int = CHUNK_CHARS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For about size words: the range of texts, their words' hashes, each text begun and ended by the end, and the texts' lengths with both."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1)
+        stop = min(stop, len(column))
+        lengths = np.diff(offsets[start : stop + 1]).astype(np.int64)
+        out = np.full(int(lengths.sum()) + 2 * len(lengths), END, np.int64)
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        out[np.arange(len(text)) + 2 * text + 1] = values[offsets[start] : offsets[stop]]
+        yield start, stop, out, lengths + 2
+        start = stop
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n): the counts of all training tokens by hash, the end's among them, from encoded()."""
+    return texts.where("counts is not null").select(F.explode(F.arrays_zip("words", "counts")).alias("e")).groupBy(F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("n"))
 
 
 class Tree(NamedTuple):
-    """The words with a share of WORD_SHARE, by hash, and the contexts over them.
+    """The words that can take part in contexts, by hash, and the contexts over them.
 
     A context is its suffix's node and the word before, as node * words + word;
     nodes count on from depth to depth, the root is 0. next: (node * words + word)
@@ -217,7 +254,6 @@ def next_counts(training: DataFrame, tree_of, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, shorter = tree_of.value
-        known, map_ = Interner(), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
 
         def out():
@@ -225,11 +261,8 @@ def next_counts(training: DataFrame, tree_of, depth: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
 
         for batch in batches:
-            for words, lengths in sequences(batch.column(0).to_pylist(), framed=True):
-                numbers = known.number(words)
-                if len(map_) < len(known.ids):
-                    map_ = np.concatenate([map_, tree.find_words(known.hashed()[len(map_) :])])
-                ids, at = map_[numbers], positions(lengths)
+            for _, _, hashes, lengths in framed(batch.column(0)):
+                ids, at = tree.find_words(hashes), positions(lengths)
                 levels = tree.nodes(ids, at)
                 node = levels[depth - 1]
                 ok = (node >= 0) & (ids >= 0) & (at > 0)
@@ -240,12 +273,10 @@ def next_counts(training: DataFrame, tree_of, depth: int) -> DataFrame:
                 if sum(map(len, held)) > HELD_PAIRS:
                     yield out()
                     held.clear()
-                if len(known.ids) > HELD_WORDS:
-                    known, map_ = Interner(), np.zeros(0, np.int64)
         if held:
             yield out()
 
-    return training.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return training.select("words").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def rows_of(df: DataFrame) -> list[np.ndarray]:
@@ -257,13 +288,13 @@ def grow(training: DataFrame, vocabulary: DataFrame, depth: int = DEPTH) -> Tree
     spark = training.sparkSession
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
     tokens, kinds = int(total.tokens), int(total.kinds)
-    words, counts = rows_of(vocabulary.where(F.col("n") >= WORD_SHARE * tokens))
+    words, counts = rows_of(vocabulary.where(F.col("n") >= least_next(tokens)))
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     size = len(words)
     end = int(places(words, np.array([END]))[0]) if size else -1
     tree = Tree(words, counts, tokens, kinds, (), (), np.ones(1, bool), np.zeros(1, np.int64), np.zeros(1), np.zeros(0, np.int64), np.zeros(0))
-    least = max(LEAST_CONTEXT, CONTEXT_SHARE * tokens)
+    least = least_context(tokens)
     candidates = np.flatnonzero(counts >= least).astype(np.int64) if size else np.zeros(0, np.int64)
     totals = counts[candidates] if size else candidates
     after: list[tuple[np.ndarray, np.ndarray]] = []  # codes and counts of what follows, by depth
@@ -278,7 +309,8 @@ def grow(training: DataFrame, vocabulary: DataFrame, depth: int = DEPTH) -> Tree
         context_n.append(totals[order])
         shared = spark.sparkContext.broadcast((tree, shorter))
         found = next_counts(training, shared, d)
-        codes, n = rows_of(found.where(F.col("n") >= max(LEAST_NEXT, NEXT_SHARE * tokens)))
+        codes, n = rows_of(found.where(F.col("n") >= least_next(tokens)))
+        shared.destroy()
         order = np.argsort(codes)
         codes, n = codes[order], n[order]
         after.append((codes, n))
@@ -336,20 +368,14 @@ def prune(tree: Tree, after: list, context_n: list) -> Tree:
     return tree
 
 
-def score_in_place(docs: DataFrame, tree_of) -> DataFrame:
-    """docs (row_id, doc_id, held_out, text) with the sums over frequent words, and the hashes of the rare ones."""
+def score_in_place(texts: DataFrame, tree_of) -> DataFrame:
+    """The texts of encoded() with the sums over frequent words, and the hashes of the rare ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = tree_of.value
-        known, map_ = Interner(), np.zeros(0, np.int64)
         for batch in batches:
-            start = 0
-            for words, lengths in sequences(batch.column(3).to_pylist(), framed=True):
-                numbers = known.number(words)
-                hashes = known.hashed()
-                if len(map_) < len(hashes):
-                    map_ = np.concatenate([map_, tree.find_words(hashes[len(map_) :])])
-                ids, at = map_[numbers], positions(lengths)
+            for start, stop, hashes, lengths in framed(batch.column(3)):
+                ids, at = tree.find_words(hashes), positions(lengths)
                 scored = at > 0
                 frequent = scored & (ids >= 0)
                 base = np.zeros(len(ids))
@@ -359,28 +385,33 @@ def score_in_place(docs: DataFrame, tree_of) -> DataFrame:
                 text = np.repeat(np.arange(len(lengths)), lengths)
                 rare = scored & (ids < 0)
                 sizes = np.bincount(text[rare], minlength=len(lengths))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(hashes[numbers[rare]]))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(hashes[rare]))
                 add = lambda x: pa.array(np.bincount(text, x, len(lengths)))  # noqa: B023, E731
-                part = batch.slice(start, len(lengths))
-                start += len(lengths)
+                part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(lengths - 1), pa.array(np.bincount(text[frequent], minlength=len(lengths))), add(base), add(score), lists], names=["row_id", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "score", "rare"])
-                if len(known.ids) > HELD_WORDS:
-                    known, map_ = Interner(), np.zeros(0, np.int64)
 
-    return docs.select("row_id", "doc_id", "held_out", "text").mapInArrow(run, "row_id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_frequent bigint, base double, score double, rare array<bigint>")
+    return texts.select("row_id", "doc_id", "held_out", "words").mapInArrow(run, "row_id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_frequent bigint, base double, score double, rare array<bigint>")
+
+
+def with_folds(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(row_id, doc_id, held_out, text)."""
+    fold = F.crc32(F.col(key).cast("bigint").cast("string").cast("binary")) % FOLDS
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).cast("bigint").alias("doc_id"), F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
 
 
 def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): trained on the other folds' documents."""
     spark = docs.sparkSession
-    fold = F.crc32(F.col(key).cast("bigint").cast("string").cast("binary")) % FOLDS
-    own = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).cast("bigint").alias("doc_id"), F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    training = own.where("not held_out")
-    vocabulary = cut(word_counts(training), "words")
-    tree = grow(training, vocabulary)
-    scored = cut(score_in_place(own, spark.sparkContext.broadcast(tree)), "scored")
-    # Rare words only: none of those has WORD_SHARE of the tokens.
-    seen = scored.select("row_id", F.explode("rare").alias("word")).join(vocabulary.where(F.col("n") < WORD_SHARE * tree.tokens), "word", "left")
+    both = cut(encoded(with_folds(docs, text, key)), "encoded")
+    texts = both.where("counts is null")
+    vocabulary = cut(word_counts(both), "words")
+    tree = grow(texts.where("not held_out"), vocabulary)
+    shared = spark.sparkContext.broadcast(tree)
+    scored = cut(score_in_place(texts, shared), "scored")
+    shared.destroy()
+    drop_cut(both)
+    # Rare words only: none of those has as many tokens as a frequent one.
+    seen = scored.select("row_id", F.explode("rare").alias("word")).join(vocabulary.where(F.col("n") < least_next(tree.tokens)), "word", "left")
     root = F.log((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(tree.tokens + 0.5 * (tree.kinds + 1)))
     rare = seen.groupBy("row_id").agg(F.sum(root).alias("rare_sum"), F.count("n").alias("rare_known"))
     joined = scored.drop("rare").join(rare, "row_id", "left")

@@ -20,14 +20,14 @@ def brute(rows, depth=S.DEPTH):
     c = Counter(w for t in train for w in t)
     N, V = sum(c.values()), len(c)
     root = lambda w: math.log((c[w] + 0.5) / (N + 0.5 * (V + 1)))
-    frequent = {w for w in c if c[w] >= S.WORD_SHARE * N}
+    frequent = {w for w in c if c[w] >= S.least_next(N)}
     after = [Counter() for _ in range(depth + 1)]
     for t in train:
         t = [END, *t]
         for i in range(1, len(t)):
             for d in range(1, min(depth, i) + 1):
                 after[d][(tuple(t[i - d : i]), t[i])] += 1
-    least = max(S.LEAST_CONTEXT, S.CONTEXT_SHARE * N)
+    least = S.least_context(N)
     nodes = {(): None}
     prob, rest, parent = {}, {}, {}
     contexts = {(w,): c[w] for w in frequent if c[w] >= least}
@@ -46,7 +46,7 @@ def brute(rows, depth=S.DEPTH):
     for d in range(1, depth + 1):
         follow = {s: {} for s in contexts}
         for (s, w), n in after[d].items():
-            if s in follow and w in frequent and n >= max(S.LEAST_NEXT, S.NEXT_SHARE * N):
+            if s in follow and w in frequent and n >= S.least_next(N):
                 follow[s][w] = n
         longer = {}
         for s, own in follow.items():
@@ -89,15 +89,17 @@ def test_equals_brute_force(spark, documents, odd, depth):
 
 
 def test_distributions_sum_to_one(spark, documents):
-    training = documents.select("text")
-    vocabulary = S.word_counts(training)
-    tree = S.grow(training, vocabulary)
+    both = S.encoded(S.with_folds(documents))
+    vocabulary = S.word_counts(both)
+    tree = S.grow(both.where("not held_out"), vocabulary)
     every = np.arange(len(tree.words))
+    rare = np.array([r.n for r in vocabulary.collect() if r.n < S.least_next(tree.tokens)])
     for state in [0, *np.flatnonzero(tree.kept)[1:20]]:
         known = np.exp(tree.log_next(np.full(len(every), state), every)).sum()
-        # Every word is frequent in so small a corpus; what is left is the unknown word.
-        unknown = np.exp(tree.log_next(np.array([state]), np.array([-1]))[0] + tree.root(0))
-        assert abs(known + unknown - 1) < 1e-9
+        # What is left is for the rare words and the unknown one.
+        factor = np.exp(tree.log_next(np.array([state]), np.array([-1]))[0])
+        left = factor * (np.exp(tree.root(rare)).sum() + np.exp(tree.root(0)))
+        assert abs(known + left - 1) < 1e-9
 
 
 def test_better_than_words_alone_on_held_out_text(spark, documents):
@@ -107,3 +109,23 @@ def test_better_than_words_alone_on_held_out_text(spark, documents):
 
 def test_empty(empty):
     assert S.score_documents(empty).count() == 0
+
+
+def test_tree_grows_with_the_corpus(documents, spark):
+    """No size from which the tree stays the same: four times the text has about twice the contexts or more."""
+    sizes = []
+    for docs in (documents, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        both = S.encoded(S.with_folds(docs))
+        tree = S.grow(both.where("not held_out"), S.word_counts(both))
+        sizes.append((tree.tokens, len(tree.next)))
+    assert sizes[1][0] > 3 * sizes[0][0] and sizes[1][1] > 1.3 * sizes[0][1]
+
+
+def test_long_texts_and_clashing_columns(spark, documents):
+    from pyspark.sql import functions as F
+
+    long = "b a " * 400_000
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, long), (-2, "x" * 3_000_000)], "doc_id bigint, text string"))
+    clash = docs.withColumns({c: F.lit("x") for c in ("row_id", "words", "held_out", "n", "rare", "counts")})
+    got = {r.doc_id: r for r in S.score_documents(clash).where("doc_id < 0").collect()}
+    assert got[-1].n_tokens == 800_001 and got[-2].n_tokens == 2 and got[-1].score > got[-1].base_score
