@@ -26,8 +26,11 @@ group: its size is that of the output row.
 Defined results: a null text is empty, a null role is an empty role; events
 with a null conv_id belong to one conversation of null id, those with a null
 turn to a turn before all others; events of equal seq apply in the order of
-kind, then text, and repeats apply again; a turn without any event in force is
-left out; an empty log gives no rows; further columns are ignored.
+kind (regenerate, message, edit, delta), then text, and repeats apply again; a
+null seq comes before all others; a null or unknown kind fails the job, since
+what it means cannot be told; a turn without any event in force is left out; a
+long text is one value like any other; an empty log gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,11 +72,13 @@ def escape_role(role: Column) -> Column:
 
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the messages in force when the log ends."""
-    kinds = F.element_at(F.create_map(*[F.lit(x) for pair in zip(("message", "edit", "delta", "regenerate"), (1, 2, 3, 0), strict=True) for x in pair]), F.col("kind"))
+    kind = F.col("kind")
+    rank = F.when(kind == "regenerate", 0).when(kind == "message", 1).when(kind == "edit", 2).when(kind == "delta", 3)
+    rank = rank.otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce(kind, F.lit("null")))).cast("int"))
     own = events.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
         F.col("seq").cast("bigint").alias("seq"),
-        kinds.alias("rank"),
+        rank.alias("rank"),
         F.coalesce(F.col("turn").cast("bigint"), F.lit(-(2**63))).alias("turn_key"),
         F.col("turn").cast("bigint").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
@@ -140,18 +145,25 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Rows of (conv_id, turn, role, text) as a log: an assistant's text is streamed in two deltas, others come whole.
+    """Rows of (conv_id, turn, role, text) as a log that folds to them.
 
-    Every row is a turn of its own; rows of equal turn go by role, then text, nulls first.
+    An assistant's text is streamed in two deltas; of those some (by conversation
+    and place) were first another draft, which an edit replaces, or which is
+    regenerated. Other texts come whole. Every row is a turn of its own; rows of
+    equal turn go by role, then text, nulls first.
     """
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")
     text = F.coalesce("text", F.lit(""))
     half = (F.length(text) / 2).cast("int")
-    event = lambda n, kind, text: F.struct((F.col("turn") * 3 + n).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", F.substring(text, F.lit(1), half)), event(2, "delta", F.substring(text, half + 1, F.length(text))))
-    events = F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(F.array(event(0, "message", text))))
+    event = lambda n, kind, text: F.struct((F.col("turn") * 8 + n).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = lambda n: [event(n, "message", F.lit("")), event(n + 1, "delta", F.substring(text, F.lit(1), half)), event(n + 2, "delta", F.substring(text, half + 1, F.length(text)))]
+    draft = event(0, "message", F.lit("draft: ")), event(1, "delta", F.reverse(text))
+    edited = F.array(*draft, event(2, "edit", F.substring(text, F.lit(1), half)), event(3, "delta", F.substring(text, half + 1, F.length(text))))
+    again = F.array(*draft, event(2, "regenerate", F.lit("")), *streamed(3))
+    spot = F.coalesce("conv_id", F.lit(0)) + F.col("turn")
+    events = F.when(F.coalesce(F.col("role") != "assistant", F.lit(True)), F.array(event(0, "message", text))).when(F.pmod(spot, F.lit(7)) == 0, again).when(F.pmod(spot, F.lit(3)) == 0, edited).otherwise(F.array(*streamed(0)))
     rows = conversations.select("conv_id", place.alias("turn"), "role", "text")
-    return rows.select("conv_id", "turn", "role", events.alias("e")).select("conv_id", "e.seq", "e.kind", "turn", "role", "e.text")
+    return rows.select("conv_id", "turn", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "turn", "role", "e.text")
 
 
 def digest(parsed: DataFrame) -> DataFrame:

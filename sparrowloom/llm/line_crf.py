@@ -6,20 +6,26 @@ labels; Viterbi decoding gives the best sequence of a whole text, and the share
 of words in content lines decides whether the document stays.
 
 The weights are trained on at most TRAIN_DOCS labelled documents (those with the
-smallest hashes of doc_id, of at most TRAIN_LINES lines each) by gradient ascent
-on the sequence likelihood. A document's label is that of all its lines: the
-chain learns which features speak for either and that labels persist. Everything
-else runs over all rows in one narrow map, and needs no shuffle.
+smallest hashes of doc_id, of at most TRAIN_LINES lines each) by maximum
+likelihood with a penalty. Labels are of documents, so line labels are derived:
+the lines of a good document are content, those of a bad one boilerplate, and
+beside both the training has a stitched sequence for each good document, with
+lines of a bad one before it, after it or around it. From those the field learns
+what a change of label looks like, and so cuts a text inside. Equal sequences are
+counted once, with a weight. Everything else runs over all rows in one narrow
+map, and needs no shuffle.
 
 Defined results: a null or empty text has no words, fails the base rules and is
-not kept; repeated rows give a row each; labels for unknown documents, or nulls
-in them, are passed over, and of two labels of a document both count; without
-labels of both kinds every line is content; an empty table gives an empty one;
-further columns are ignored.
+not kept; a long text is decoded whole; of label sequences of equal score the
+one with content wins; repeated rows give a row each; labels for unknown
+documents, or nulls in them, are passed over, and of two labels of a document
+both count; without labels of both kinds every line is content; an empty table
+gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,8 @@ from .common import table
 
 TRAIN_DOCS = 2000
 TRAIN_LINES = 1000
-SEGMENT = 64
+PENALTY = 0.05
+MOST_STEPS = 60
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -86,12 +93,16 @@ def line_features(text: str | None) -> tuple[int, int, int, int, int, list[int],
     return len(every), word_chars, len(raw) - len(raw.translate(None, SYMBOLS)), dups, sum(flags), counts, marks
 
 
+def counted(batch: pa.RecordBatch) -> list[list]:
+    """The columns of OUT after doc_id for a batch of (doc_id, text)."""
+    got = [line_features(t.as_py()) for t in batch.column(1)]
+    return [list(c) for c in zip(*got, strict=True)] if got else [[]] * 7
+
+
 def lines_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [line_features(t.as_py()) for t in batch.column(1)]
-            columns = list(zip(*got, strict=True)) if got else [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), f.type) for c, f in zip(columns, list(OUT)[1:], strict=True))], schema=OUT)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(counted(batch), list(OUT)[1:], strict=True))], schema=OUT)
 
     kinds = ", ".join(f"{f.name} bigint" for f in list(OUT)[:6])
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"{kinds}, words array<int>, marks array<int>")
@@ -101,9 +112,65 @@ def bits(marks: np.ndarray) -> np.ndarray:
     return ((marks[..., None] >> np.arange(len(FEATURES))) & 1).astype(np.float64)
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+def stitched(good: list[list[int]], bad: list[list[int]]) -> list[tuple[list[int], list[int]]]:
+    """For each good sequence of marks one with up to eight lines of a bad one before it, after it or around it, and the labels."""
+    out = []
+    for i, own in enumerate(good if bad else []):
+        other = bad[i % len(bad)]
+        size = 1 + i % 8
+        ahead, behind = (other[:size] if i % 3 != 1 else []), (other[-size:] if i % 3 != 0 else [])
+        out.append(([*ahead, *own, *behind], [0] * len(ahead) + [1] * len(own) + [0] * len(behind)))
+    return out
+
+
+class Sequences:
+    """Training sequences, the longest first, lines of one place next to each other: what a step over the places reads in one go."""
+
+    def __init__(self, sequences: list[tuple[list[int], list[int]]]) -> None:
+        counts = Counter((tuple(m), tuple(y)) for m, y in sequences if len(m))
+        order = sorted(counts, key=lambda s: (-len(s[0]), s))
+        self.weight = np.array([counts[s] for s in order], float)
+        lengths = np.array([len(m) for m, _ in order])
+        longest = len(order[0][0]) if order else 0
+        #: The sequences that have a line at place t are the first live[t].
+        self.live = np.searchsorted(-lengths, -np.arange(longest), side="left").tolist()
+        self.start = np.concatenate([[0], np.cumsum(self.live)]).astype(int)
+        self.x = bits(np.array([order[i][0][t] for t in range(longest) for i in range(self.live[t])], np.int64).reshape(-1))
+        self.y = np.array([order[i][1][t] for t in range(longest) for i in range(self.live[t])], int).reshape(-1)
+        self.line_weight = np.concatenate([self.weight[:k] for k in self.live]) if order else np.zeros(0)
+
+    def likelihood(self, line: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[float, np.ndarray]:
+        """The weighted log-likelihood of the labels, and its slope by all weights: forward and backward sums over two labels."""
+        local, at, live = self.x @ line, self.start, self.live
+        ahead, back = np.empty_like(local), np.zeros_like(local)
+        ahead[: live[0]] = first + local[: live[0]]
+        for t in range(1, len(live)):
+            k = live[t]
+            before, own = ahead[at[t - 1] : at[t - 1] + k], ahead[at[t] : at[t] + k]
+            for y in (0, 1):
+                own[:, y] = np.logaddexp(before[:, 0] + pair[0, y], before[:, 1] + pair[1, y])
+            own += local[at[t] : at[t] + k]
+        norm = np.empty(len(self.weight))
+        edges = np.zeros((2, 2))
+        for t in range(len(live) - 1, -1, -1):
+            k, after = live[t], live[t + 1] if t + 1 < len(live) else 0
+            ends = ahead[at[t] + after : at[t] + k]
+            norm[after:k] = np.logaddexp(ends[:, 0], ends[:, 1])
+            if after:
+                following = local[at[t + 1] : at[t + 1] + after] + back[at[t + 1] : at[t + 1] + after]
+                for y in (0, 1):
+                    back[at[t] : at[t] + after, y] = np.logaddexp(pair[y, 0] + following[:, 0], pair[y, 1] + following[:, 1])
+                    for z in (0, 1):
+                        edges[y, z] += self.weight[:after] @ np.exp(ahead[at[t] : at[t] + after, y] + pair[y, z] + following[:, z] - norm[:after])
+        of_line = np.concatenate([np.arange(k) for k in live])
+        node = np.exp(ahead + back - norm[of_line, None]) * self.line_weight[:, None]
+        gold = np.eye(2)[self.y] * self.line_weight[:, None]
+        seen = np.zeros((2, 2))
+        score = (local * gold).sum() + (first * gold[: live[0]].sum(0)).sum()
+        for t in range(1, len(live)):
+            np.add.at(seen, (self.y[at[t - 1] : at[t - 1] + live[t]], self.y[at[t] : at[t] + live[t]]), self.weight[: live[t]])
+        slope = [(self.x.T @ (gold - node)).ravel(), (seen - edges).ravel(), (gold[: live[0]] - node[: live[0]]).sum(0)]
+        return float(score + (seen * pair).sum() - self.weight @ norm), np.concatenate(slope)
 
 
 class ChainField:
@@ -115,44 +182,38 @@ class ChainField:
         self.pair = np.zeros((2, 2))
         self.first = np.zeros(2)
 
-    def fit(self, sequences: list[tuple[list[int], int]], steps: int = 150, rate: float = 0.1, penalty: float = 0.05) -> ChainField:
-        """sequences: (feature bits of each line, label of all lines). Adam on the penalised mean log-likelihood."""
-        cuts = [(marks[i : i + SEGMENT], label) for marks, label in sequences for i in range(0, len(marks), SEGMENT)]
-        if len({label for _, label in cuts}) < 2:
+    def put(self, weights: np.ndarray) -> ChainField:
+        n = self.line.size
+        self.line, self.pair, self.first = weights[:n].reshape(-1, 2), weights[n : n + 4].reshape(2, 2), weights[n + 4 :]
+        return self
+
+    def fit(self, sequences: list[tuple[list[int], list[int]]], steps: int = MOST_STEPS, penalty: float = PENALTY) -> ChainField:
+        """sequences: (feature bits of each line, label of each line). Quasi-Newton ascent on the penalised likelihood."""
+        if len({y for _, labels in sequences for y in labels}) < 2:
             return self
-        size = max(len(m) for m, _ in cuts)
-        held = np.zeros((len(cuts), size), np.int64)
-        real = np.zeros((len(cuts), size), bool)
-        gold = np.array([label for _, label in cuts])
-        for i, (m, _) in enumerate(cuts):
-            held[i, : len(m)], real[i, : len(m)] = m, True
-        x = bits(held) * real[..., None]
+        data = Sequences(sequences)
+        total = data.weight.sum()
+
+        def value(weights: np.ndarray) -> tuple[float, np.ndarray]:
+            own = ChainField().put(weights)
+            score, slope = data.likelihood(own.line, own.pair, own.first)
+            return score / total - penalty / 2 / total * weights @ weights, slope / total - penalty / total * weights
+
         weights = np.concatenate([self.line.ravel(), self.pair.ravel(), self.first])
-        mean, square = np.zeros_like(weights), np.zeros_like(weights)
-        one = np.eye(2)[gold]
-        seen_line = np.einsum("ntf,nk->fk", x, one)
-        seen_pair = np.diag([(real[gold == k][:, 1:]).sum() for k in (0, 1)]).astype(float)
-        seen_first = one.sum(axis=0)
-        total = real.sum()
-        n_line = self.line.size
-        for step in range(1, steps + 1):
-            line, pair, first = weights[:n_line].reshape(-1, 2), weights[n_line : n_line + 4].reshape(2, 2), weights[n_line + 4 :]
-            local = x @ line
-            ahead = np.zeros((len(cuts), size, 2))
-            back = np.zeros_like(ahead)
-            ahead[:, 0] = first + local[:, 0]
-            for t in range(1, size):
-                ahead[:, t] = np.where(real[:, t, None], _logsumexp(ahead[:, t - 1, :, None] + pair, 1) + local[:, t], ahead[:, t - 1])
-            for t in range(size - 2, -1, -1):
-                back[:, t] = np.where(real[:, t + 1, None], _logsumexp(pair + (local[:, t + 1] + back[:, t + 1])[:, None, :], 2), 0)
-            norm = _logsumexp(ahead[:, -1], 1)
-            node = np.exp(ahead + back - norm[:, None, None]) * real[..., None]
-            edge = np.exp(ahead[:, :-1, :, None] + pair + (local[:, 1:] + back[:, 1:])[:, :, None, :] - norm[:, None, None, None]) * real[:, 1:, None, None]
-            slope = np.concatenate([(seen_line - np.einsum("ntf,ntk->fk", x, node)).ravel(), (seen_pair - edge.sum(axis=(0, 1))).ravel(), seen_first - node[:, 0].sum(axis=0)]) / total - penalty / len(cuts) * weights
-            mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
-            weights = weights + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        self.line, self.pair, self.first = weights[:n_line].reshape(-1, 2), weights[n_line : n_line + 4].reshape(2, 2), weights[n_line + 4 :]
-        return self
+        best, slope = value(weights)
+        inverse = np.eye(len(weights))  # of the curvature, by BFGS: there are few weights
+        for _ in range(steps):
+            step, size = inverse @ slope, 1.0
+            while (new := value(weights + size * step))[0] < best + 1e-4 * size * (slope @ step) and size > 1e-6:
+                size /= 2
+            move, turn = size * step, slope - new[1]
+            weights, gain, best, slope = weights + move, new[0] - best, new[0], new[1]
+            if gain < 1e-7:
+                break
+            if move @ turn > 1e-12:
+                part = np.eye(len(weights)) - np.outer(move, turn) / (move @ turn)
+                inverse = part @ inverse @ part.T + np.outer(move, move) / (move @ turn)
+        return self.put(weights)
 
     def decode(self, marks: list[int], cache: dict[int, tuple[float, float]]) -> list[int]:
         """The label sequence of highest score (Viterbi; of equal ones content wins). cache: line scores by feature bits."""
@@ -183,26 +244,32 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> ChainF
     """Fit on at most limit labelled documents; their ids, at most that many, are broadcast to the scan."""
     chosen = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    marked = lines_of(picked).where(F.size("marks").between(1, TRAIN_LINES)).select("doc_id", "marks").join(F.broadcast(chosen), "doc_id").distinct().limit(2 * limit)
-    rows = sorted((r.doc_id, r.quality, list(r.marks)) for r in marked.collect())
-    return ChainField().fit([(marks, quality) for _, quality, marks in rows])
+    # Ids may repeat, so the rows have a bound of their own; the order makes reruns agree.
+    marked = lines_of(picked).where(F.size("marks").between(1, TRAIN_LINES)).select("doc_id", "marks").join(F.broadcast(chosen), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("marks"), F.col("marks").cast("string")).limit(2 * limit)
+    kinds: tuple[list, list] = [], []
+    for r in marked.collect():
+        kinds[r.quality].append(list(r.marks))
+    bad, good = kinds
+    plain = [(m, [y] * len(m)) for y, own in enumerate(kinds) for m in own]
+    return ChainField().fit(plain + stitched(good, bad))
 
 
-def label_lines(docs: DataFrame, field: ChainField, share: float = CONTENT_SHARE) -> DataFrame:
+def label_lines(docs: DataFrame, field: ChainField, share: float = CONTENT_SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents' counts, the labels of their lines that hold a word, the words in content lines, and the verdict."""
-    found = lines_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, tuple[float, float]] = {}
         for batch in batches:
-            got = [field.decode(m.as_py(), cache) for m in batch.column("marks")]
-            content = [sum(n for n, label in zip(w.as_py(), own, strict=True) if label) for w, own in zip(batch.column("words"), got, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(got, pa.list_(pa.int32())), pa.array(content, pa.int64())], names=[*OUT.names[:6], "line_labels", "content_words"])
+            *counts, words, marks = counted(batch)
+            got = [field.decode(m, cache) for m in marks]
+            content = [sum(n for n, label in zip(w, own, strict=True) if label) for w, own in zip(words, got, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(got, pa.list_(pa.int32())), pa.array(content, pa.int64())], names=[*OUT.names[:6], "line_labels", "content_words"])
 
     kinds = ", ".join(f"{n} bigint" for n in OUT.names[:6])
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * repeated > int(100 * MAX_REPEATED) * n)
-    return found.mapInArrow(run, f"{kinds}, line_labels array<int>, content_words bigint").withColumns({"base_failed": failed, "kept": ~failed & (F.col("content_words") >= share * n)})
+    slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return slim.mapInArrow(run, f"{kinds}, line_labels array<int>, content_words bigint").withColumns({"base_failed": failed, "kept": ~failed & (F.col("content_words") >= share * n)})
 
 
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import same
@@ -66,3 +67,25 @@ def test_nulls_ties_and_repeats(spark):
     assert got[1].n_turns == 3 and got[1].turns_sha256 == hashlib.sha256(b"\nx\nuser\n\nuser\n\n").hexdigest()
     assert got[None].loss_chars == 1
     assert C.format_conversations(C.events_of(rows.limit(0))).count() == 0
+
+
+def test_query_folds_edits_and_regenerations(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    kinds = {r.kind: r["count"] for r in C.events_of(rows).groupBy("kind").count().collect()}
+    assert min(kinds[k] for k in ("message", "delta", "edit", "regenerate")) > 5
+    folded = sorted((r.conv_id, r.role, r.text) for r in C.fold_events(C.events_of(rows)).collect())
+    assert folded == sorted((r.conv_id, r.role or "", r.text or "") for r in rows.collect())
+
+
+@pytest.mark.parametrize("kind", ["Delta", "", None])
+def test_unknown_kinds_fail(spark, kind):
+    with pytest.raises(Exception, match="unknown kind of event"):
+        C.fold_events(spark.createDataFrame([(1, 0, "message", 0, "user", "a"), (1, 1, kind, 0, "user", "b")], LOG)).collect()
+
+
+def test_null_sequence_long_texts_and_clashing_columns(spark):
+    long = "<|im_end|>\n" * 100_000
+    rows = [(1, None, "message", 0, "user", "first"), (1, -5, "delta", 0, "user", long), (1, None, "delta", 0, "user", " then ")]
+    log = spark.createDataFrame(rows, LOG).withColumns({c: C.F.lit("clash") for c in ("rank", "at", "parts", "turns", "turn_key")})
+    parsed = C.read_back(C.format_conversations(log)).first()
+    assert [(t.role, t.text) for t in parsed.turns] == [("user", "first then " + long)]
