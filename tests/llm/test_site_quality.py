@@ -24,9 +24,15 @@ def shares(text):
     return (sum(c in "#*$%&|<>" for c in text) / n, sum(c.isupper() for c in letters) / len(letters) if letters else 0.0, len(repeated) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n)
 
 
-def bins(text):
+def tokens(text):
+    return {w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w}
+
+
+def bins(text, ratio):
     s = shares(text)
-    return [0 if s is None else 1 + sum(x > e for e in edges) for x, edges in zip(s or [0] * 4, Q.EDGES.values(), strict=True)]
+    known = [ratio[w] for w in tokens(text) if w in ratio]
+    s = s and (*s, round(sum(known) / len(known), 9) if known else 0.0)
+    return [0 if s is None else 1 + sum(x > e for e in edges) for x, edges in zip(s or [0] * 5, Q.EDGES.values(), strict=True)]
 
 
 def brute(docs, labels):
@@ -35,13 +41,20 @@ def brute(docs, labels):
     by_id = defaultdict(list)
     for r in docs:
         by_id[r.doc_id].append(r)
-    for i, q in set(labels):
-        for r in by_id[i] if i is not None else []:
-            total[q] += 1
-            for f, b in enumerate(bins(r.text)):
-                count[f][b][q] += 1
+    seen = defaultdict(lambda: [0, 0])
+    chosen = [(r, q) for i, q in set(labels) for r in (by_id[i] if i is not None else [])]
+    for r, q in chosen:
+        total[q] += 1
+        for w in tokens(r.text):
+            seen[w][q] += 1
+    common = sorted((w for w, c in seen.items() if sum(c) >= Q.WORD_DOCS), key=lambda w: (-sum(seen[w]), w.encode()))[: Q.WORDS]
+    ratios = lambda bad, good: {w: math.log(max(1, seen[w][1] + 1 - good) / (total[1] + 2 - good)) - math.log(max(1, seen[w][0] + 1 - bad) / (total[0] + 2 - bad)) for w in common} if all(total) else {}
+    ratio = ratios(0, 0)
+    for r, q in chosen:
+        for f, b in enumerate(bins(r.text, ratios(1 - q, q))):
+            count[f][b][q] += 1
     weights = [[math.log(g / (total[1] + len(c))) - math.log(b / (total[0] + len(c))) if all(total) else 0 for b, g in c] for c in count]
-    e = [sum(w[b] for w, b in zip(weights, bins(r.text), strict=True)) for r in docs]
+    e = [sum(w[b] for w, b in zip(weights, bins(r.text, ratio), strict=True)) for r in docs]
     p = [1 / (1 + math.exp(-x)) for x in e]
     host, path = defaultdict(list), defaultdict(list)
     for r, x in zip(docs, p, strict=True):
@@ -68,7 +81,7 @@ def test_equals_brute_force(spark, sf_dir, documents, odd, share, monkeypatch):
     monkeypatch.setattr(Q, "HOT_SHARE", share)
     docs = documents.withColumn("row", F.lit("clash")).unionByName(odd.select(*documents.columns, "row"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    got = Q.score_documents(docs, labels).select("row.doc_id", "evidence", "host_p", "path_p", "posterior").collect()
+    got = Q.score_documents(docs, labels).select("doc_id", "evidence", "host_p", "path_p", "posterior").collect()
     want = brute(docs.collect(), [(r.doc_id, r.quality) for r in labels.collect()])
     key = lambda r: (str(r[0]), round(r[1], 5))
     assert len(got) == len(want)
@@ -87,3 +100,24 @@ def test_without_labels_or_rows(spark, documents, odd, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert Q.keep_quality(odd, none).count() == odd.count() and Q.keep_quality(odd, none).columns == odd.columns
     assert Q.keep_quality(empty, none).count() == 0
+
+
+def test_words_speak(spark):
+    """Texts of one shape are told apart by their words; the documents of a site speak for a new one of it."""
+    good, bad = "apple tree river stone bread".split(), "casino bonus click winner prize".split()
+    text = lambda words, i: " ".join(words[(i + k * k) % 5] + " " + "abcdefghijklmn"[(i * 7 + k) % 14] for k in range(30))
+    rows = [(i, text(good if i % 2 else bad, i), "en", f"src{i % 2}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in Q.score_documents(docs, labels).collect()}
+    assert all((got[i].posterior >= 0.5) == bool(i % 2) for i in range(100, 200))
+    kept = Q.keep_quality(docs, labels)
+    assert {r.doc_id for r in kept.collect()} == {i for i in got if i % 2}
+    assert "text" not in Q.score_documents(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sites_of_urls(spark, sf_dir):
+    pages = Q.with_site(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    assert pages.where("host is null or path is null").count() == 0
+    odd = spark.createDataFrame([("http://Example.ORG/a/b?c",), ("https://x.y",), ("no url",), (None,)], "url string")
+    assert [(r.host, r.path) for r in Q.with_site(odd).collect()] == [("example.org", "a"), ("x.y", ""), (None, ""), (None, "")]
