@@ -1,30 +1,41 @@
 """PII: base patterns, and bootstrapped contextual extraction of further identifiers.
 
 Base patterns (email, ip, card, phone) give the seed entities. Every seed and
-every other identifier-shaped token (a run with a digit, LEAST_TOKEN characters
-or more) is an instance; the word left of it is its lexical pattern. Pattern and
-instance nodes form a graph whose edges count occurrences, and scores go to and
-fro over it for ROUNDS rounds:
-
-    pattern(p, kind)  = sum over its instances of n * instance / (sum of n + 1)
-    instance(i, kind) = 1 for seeds of the kind, else the mean of its patterns' scores by n
-
-A pattern counts for a kind only with SUPPORT different seeds or more. Instances
-that reach CONFIDENT and are no seeds are discovered identifiers of that kind.
+every other identifier-shaped token (a run of LEAST_TOKEN characters or more with
+a digit or an @, with the groups of digits after it) is an instance. Its lexical
+patterns are the word left of it, the two words left of it, and the word right of
+it. Pattern and instance nodes form a graph whose edges count occurrences. From
+the seeds on, round by round until nothing is added:
+
+    pattern(p, kind)  = n with confident instances of the kind / (n with all + 1)
+    instance(i, kind) = the best over the three sides of the mean of its patterns' scores by n
+
+A pattern counts with SUPPORT different confident instances and a score of
+CONFIDENT or more; an instance with a score of CONFIDENT or more is confident
+from then on, so that discovered identifiers make new patterns. Confident
+instances that are no seeds are discovered identifiers; of several kinds the one
+of the earliest round, then the best score, then the last in order, is taken.
+Scores never fall, so the rounds end.
 
 All of it is DataFrame work: a narrow pass cuts each text at a pattern's matches
 (the pieces' lengths give the positions), and then slim rows of occurrences are
 windowed, joined and grouped. Texts without @ or digit take no further part.
-Common words left of many tokens are summed in parts before the shuffle.
+Patterns that count are looked up by broadcast while they are at most
+BROADCAST_ROWS (counted first), and else by shuffle; sums are made in parts
+before the shuffle.
 
 The patterns are written without backtracking (possessive, and not tried from
 inside a run in which they failed before), which leaves the matches as they are
 and keeps the time linear.
 
-Defined results: a null or empty text has no spans; rows that repeat an id and
-text share their spans and give a row each; a null doc_id is an id; an empty
-table gives an empty one; further columns are ignored (kept as they are by
-redact(), which rewrites text and, where there is one, n_chars).
+A context word is known by its last (right of an instance: first) WORD_CHARS
+characters within CONTEXT_CHARS of the instance, in small letters, each digit 0.
+
+Defined results: a null or empty text has no spans; a long text is taken whole;
+rows that repeat an id and text share their spans and give a row each; a null
+doc_id is an id; an empty table gives an empty one; further columns are ignored
+(kept as they are by redact(), which rewrites text and, where there is one,
+n_chars).
 """
 
 from __future__ import annotations
@@ -40,21 +51,22 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "": r"(?<![A-Za-z0-9._%+@:/-])[A-Za-z._%+@:/-]*+[0-9][A-Za-z0-9._%+@:/-]*+",
+    "": r"(?<![A-Za-z0-9._%+@:/-])[A-Za-z._%+:/-]*+[0-9@][A-Za-z0-9._%+@:/-]*+(?:(?<=[0-9])[ ][0-9]{2,}+(?![A-Za-z0-9._%+@:/-]))*+",
 }
 LEAST_TOKEN = 6
-ROUNDS = 2
 SUPPORT = 3
 CONFIDENT = 0.7
+CONTEXT_CHARS, WORD_CHARS = 80, 32
+SIDES = ("left", "left2", "right")
+BROADCAST_ROWS = 1_000_000
 
 MAYBE = "text is not null and (contains(text, '@') or text rlike '[0-9]')"
 
 
 def pieces_of(text: Column, pattern: str, when: Column) -> Column:
-    """The matches in order, each with the length of the piece before it, and that piece's last word."""
-    piece = lambda gap, m: F.struct(F.length(gap).alias("gap"), F.octet_length(gap).alias("gap_octets"), F.right(gap, F.lit(40)).alias("tail"), m.alias("found"))
-    cut_up = F.filter(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), piece), lambda x: x["found"].isNotNull())
-    return F.when(when, cut_up)
+    """The pieces between the matches in order, each with its length, its ends, and the match after it (none after the last)."""
+    piece = lambda gap, m: F.struct(F.length(gap).alias("gap"), F.octet_length(gap).alias("gap_octets"), F.left(gap, F.lit(CONTEXT_CHARS)).alias("head"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("tail"), m.alias("found"))
+    return F.when(when, F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), piece))
 
 
 def luhn(digits: Column) -> Column:
@@ -77,51 +89,69 @@ def valid(kind: Column, found: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, kind, start, end, start_octet, end_octet, found, word) of base spans, and with kind "" of other tokens.
+    """(doc_id, body, kind, start, end, start_octet, end_octet, found, left, left2, right) of base spans, and with kind "" of other tokens.
 
     body is the text's hash: with doc_id it names a row up to repeats.
     """
     text = F.col("text")
-    has = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": F.contains(text, F.lit("+")), "": text.rlike("[0-9]")}
+    has = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": F.contains(text, F.lit("+")), "": text.rlike("[0-9@]")}
     own = docs.where(MAYBE).select("doc_id", F.xxhash64("text").alias("body"), F.array(*[F.struct(F.lit(k).alias("kind"), pieces_of(text, p, has[k]).alias("hits")) for k, p in PATTERNS.items()]).alias("every"))
-    by_kind = own.select("doc_id", "body", F.explode("every").alias("e")).select("doc_id", "body", "e.kind", F.posexplode("e.hits").alias("at", "hit"))
+    by_kind = own.select("doc_id", "body", F.explode("every").alias("e")).where("size(e.hits) > 1").select("doc_id", "body", "e.kind", F.posexplode("e.hits").alias("at", "hit"))
     rows = by_kind.select("doc_id", "body", "kind", "at", "hit.*").distinct()
     run = Window.partitionBy("doc_id", "body", "kind").orderBy("at")
     upto, before = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
     start = F.sum("gap").over(upto) + F.coalesce(F.sum(F.length("found")).over(before), F.lit(0))
     octet = F.sum("gap_octets").over(upto) + F.coalesce(F.sum(F.octet_length("found")).over(before), F.lit(0))
-    word = F.regexp_replace(F.lower(F.regexp_extract("tail", r"([^\x20\x09-\x0D]{1,32})[\x20\x09-\x0D\"'(=:]*$", 1)), "[0-9]", "0")
-    placed = rows.select("doc_id", "body", "kind", "found", start.alias("start"), octet.alias("start_octet"), word.alias("word"))
-    kept = placed.where(valid(F.col("kind"), F.col("found")))
-    kept = kept.select("*", (F.col("start") + F.length("found")).alias("end"), (F.col("start_octet") + F.octet_length("found")).alias("end_octet"))
+    placed = rows.select("doc_id", "body", "kind", "found", "tail", F.lead("head").over(run).alias("head"), start.alias("start"), octet.alias("start_octet")).where("found is not null")
+    word, blank = rf"[^\x20\x09-\x0D]{{1,{WORD_CHARS}}}", r"[\x20\x09-\x0D]"
+    context = lambda side, pattern: F.regexp_replace(F.lower(F.regexp_extract(side, pattern, 1)), "[0-9]", "0")
+    kept = placed.where(valid(F.col("kind"), F.col("found"))).select(
+        "*",
+        context("tail", rf"({word})(?:{blank}|[\"'(=:])*$").alias("left"),
+        context("tail", rf"({word}{blank}+{word})(?:{blank}|[\"'(=:])*$").alias("left2"),
+        context("head", rf"^(?:{blank}|[\"').,;:])*({word})").alias("right"),
+        (F.col("start") + F.length("found")).alias("end"),
+        (F.col("start_octet") + F.octet_length("found")).alias("end_octet"),
+    )
     # A token that overlaps a base span is that span's, not a candidate.
     before = (Window.unboundedPreceding, -1)
     seen = Window.partitionBy("doc_id", "body").orderBy("start", F.col("kind") == "").rowsBetween(*before)
     ahead = Window.partitionBy("doc_id", "body").orderBy(F.desc("start"), F.col("kind") == "").rowsBetween(*before)
     ended = F.max(F.when(F.col("kind") != "", F.col("end"))).over(seen)
     begins = F.min(F.when(F.col("kind") != "", F.col("start"))).over(ahead)
-    return kept.withColumns({"ended": ended, "begins": begins}).where("kind <> '' or (coalesce(ended <= start, true) and coalesce(begins >= end, true))").drop("ended", "begins")
+    return kept.withColumns({"ended": ended, "begins": begins}).where("kind <> '' or (coalesce(ended <= start, true) and coalesce(begins >= end, true))").drop("ended", "begins", "head", "tail")
 
 
 def discover(found: DataFrame) -> DataFrame:
     """(instance, kind): tokens outside the base patterns that confident patterns point to."""
-    nodes = found.where("word <> ''").select("word", F.lower("found").alias("instance"), "kind")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("word")) for s in SIDES])
+    nodes = found.select(F.lower("found").alias("instance"), "kind", F.explode(sides).alias("p")).select("p.side", "p.word", "instance", "kind").where("word <> ''")
     # Edges between patterns and instances, with the kind where the instance is a seed.
-    edges = cut(nodes.groupBy("word", "instance", "kind").agg(F.count("*").alias("n")), "pii-edges")
-    totals = edges.groupBy("word").agg(F.sum("n").alias("word_n"))
-    supported = edges.where("kind <> ''").groupBy("word", "kind").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= SUPPORT).select("word", "kind")
-    unseen = edges.where("kind = ''").select("word", "instance", "n")
-    instance_n = unseen.groupBy("instance").agg(F.sum("n").alias("instance_n"))
-    seeds = edges.where("kind <> ''").select("word", "kind", F.col("n").cast("double").alias("weight"))
-    scores = None
-    for _ in range(ROUNDS):
-        mass = seeds if scores is None else seeds.unionByName(unseen.join(scores, "instance").select("word", "kind", (F.col("n") * F.col("score")).alias("weight")))
-        summed = mass.groupBy("word", "kind").agg(F.sum("weight").alias("weight"))
-        patterns = summed.join(supported, ["word", "kind"]).join(totals, "word").select("word", "kind", (F.col("weight") / (F.col("word_n") + 1)).alias("pattern"))
-        passed = unseen.join(patterns, "word").groupBy("instance", "kind").agg(F.sum(F.col("n") * F.col("pattern")).alias("s"))
-        scores = cut(passed.join(instance_n, "instance").select("instance", "kind", (F.col("s") / F.col("instance_n")).alias("score")), "pii-scores")
-    best = scores.where(F.col("score") >= CONFIDENT).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    return best
+    edges = cut(nodes.groupBy("side", "word", "instance", "kind").agg(F.count("*").alias("n")), "pii-edges")
+    totals = cut(edges.groupBy("side", "word").agg(F.sum("n").alias("word_n")), "pii-words")
+    unseen = edges.where("kind = ''").select("side", "word", "instance", "n")
+    # What seeds give a pattern stays as it is; discovered instances add to it.
+    seeds = cut(edges.where("kind <> ''").groupBy("side", "word", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("many")), "pii-seeds")
+    known, n_known = None, 0
+    while True:
+        mass = seeds
+        if known is not None:
+            mass = seeds.unionByName(unseen.join(known.select("instance", "kind"), "instance").groupBy("side", "word", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("many")))
+        summed = mass.groupBy("side", "word", "kind").agg(F.sum("n").alias("n"), F.sum("many").alias("many")).where(F.col("many") >= SUPPORT)
+        scored = summed.join(totals, ["side", "word"]).select("side", "word", "kind", (F.col("n") / (F.col("word_n") + 1)).alias("pattern"))
+        patterns = cut(scored.where(F.col("pattern") >= CONFIDENT), "pii-patterns")
+        few = patterns.count() <= BROADCAST_ROWS
+        passed = unseen.join(F.broadcast(patterns) if few else patterns, ["side", "word"]).groupBy("instance", "side", "kind").agg(F.sum(F.col("n") * F.col("pattern")).alias("s"))
+        of_side = unseen.join(passed.select("instance").distinct(), "instance", "left_semi").groupBy("instance", "side").agg(F.sum("n").alias("side_n"))
+        scores = passed.join(of_side, ["instance", "side"]).groupBy("instance", "kind").agg(F.max(F.col("s") / F.col("side_n")).alias("score"))
+        sure = scores.where(F.col("score") >= CONFIDENT)
+        # Those confident before keep their round and score, which decide between kinds.
+        every = sure.withColumn("first", F.lit(0)) if known is None else known.unionByName(sure.join(known, ["instance", "kind"], "left_anti").withColumn("first", F.lit(1)))
+        later = cut(every.select("instance", "kind", "score", (F.col("first") - 1).alias("first")), "pii-known")
+        n_later = later.count()
+        if n_later == n_known:
+            return later.groupBy("instance").agg(F.max_by("kind", F.struct(-F.col("first"), "score", "kind")).alias("kind"))
+        known, n_known = later, n_later
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -65,26 +65,63 @@ def test_discovery_equals_brute_force(spark):
         token = rng.choice(seeds) if rng.random() < {"acct": 0.95, "about": 0.2, "id:": 0.9, "no": 0.5}[word] else f"9{rng.randrange(6)}99999"
         texts.append((i, f"so {word} {token} it is"))
     found = P.occurrences(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert {(r.instance, r.kind) for r in P.discover(found).collect()} == brute_discovery(found)
+
+
+def brute_discovery(found):
+    """Rounds over dictionaries until nothing is added."""
     edges = {}
     for r in found.collect():
-        edges[r.word, r.found.lower(), r.kind] = edges.get((r.word, r.found.lower(), r.kind), 0) + 1
-    score = {}
-    for _ in range(P.ROUNDS):
+        for side in P.SIDES:
+            if r[side]:
+                key = (side, r[side], r.found.lower(), r.kind)
+                edges[key] = edges.get(key, 0) + 1
+    kind_of, rounds = {}, 0
+    confident = {(i, k): (0, 1.0) for _, _, i, k in edges if k}
+    while True:
+        rounds += 1
         pattern = {}
-        for w in {w for w, _, _ in edges}:
-            own = [(i, k, n) for (x, i, k), n in edges.items() if x == w]
-            for kind in {k for _, k, _ in own if k}:
-                if len({i for i, k, _ in own if k == kind}) >= P.SUPPORT:
-                    pattern[w, kind] = sum(n * (1 if k == kind else score.get((i, kind), 0) if k == "" else 0) for i, k, n in own) / (sum(n for _, _, n in own) + 1)
-        new = {}
-        for i in {i for _, i, k in edges if k == ""}:
-            own = [(w, n) for (w, x, k), n in edges.items() if x == i and k == ""]
+        for p in {(s, w) for s, w, _, _ in edges}:
+            own = [(i, k, n) for (s, w, i, k), n in edges.items() if (s, w) == p]
+            for kind in P.KINDS:
+                good = [(i, n) for i, k, n in own if k == kind or k == "" and kind_of.get((i, kind))]
+                score = sum(n for _, n in good) / (sum(n for _, _, n in own) + 1)
+                if len(good) >= P.SUPPORT and score >= P.CONFIDENT:
+                    pattern[p, kind] = score
+        added = {}
+        for i in {i for _, _, i, k in edges if k == ""}:
             for kind in P.KINDS:
-                if any((w, kind) in pattern for w, _ in own):
-                    new[i, kind] = sum(n * pattern.get((w, kind), 0) for w, n in own) / sum(n for _, n in own)
-        score = new
-    want = {(i, k) for (i, k), s in score.items() if s >= P.CONFIDENT}
-    assert {(r.instance, r.kind) for r in P.discover(found).collect()} == want
+                sides = []
+                for side in P.SIDES:
+                    own = [((s, w), n) for (s, w, x, k), n in edges.items() if (s, x, k) == (side, i, "")]
+                    if own:
+                        sides.append(sum(n * pattern.get((p, kind), 0) for p, n in own) / sum(n for _, n in own))
+                if max(sides, default=0) >= P.CONFIDENT and (i, kind) not in kind_of:
+                    added[i, kind] = (-rounds, max(sides), kind)
+        if not added:
+            break
+        kind_of |= added
+    return {(i, max((v for (x, _), v in kind_of.items() if x == i))[2]) for i, _ in kind_of}
+
+
+def test_discovered_instances_make_patterns(spark):
+    """Seeds teach "acct"; what follows "acct" teaches "ref"; spaced numbers and names at a host count as well."""
+    cards = ["4111111111111111", "5500000000000004", "6011000000000004", "4012888888881881"]
+    texts = [f"acct {c} now" for c in cards] * 4 + [f"acct 99000{i} 77 now" for i in range(4)] + [f"{w} ref 99000{i} 77" for i in range(4) for w in ("see", "my", "old")] + ["look ref 880088 11"]
+    texts += [f"mail to me{i}@host.org today" for i in range(12)] + ["mail to root@intranet today", "or root@elsewhere later"]
+    found = P.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {(r.instance, r.kind) for r in P.discover(found).collect()}
+    assert got == brute_discovery(found)
+    assert got == {(f"99000{i} 77", "card") for i in range(4)} | {("880088 11", "card"), ("root@intranet", "email")}
+
+
+def test_clashing_columns_ties_and_long_texts(spark):
+    long = "word " * 100_000 + "x@y.zz " + "12 34 " * 50_000
+    rows = spark.createDataFrame([(1, long), (1, long), (2, "a@b.cc a@b.cc")], "doc_id bigint, text string")
+    clash = rows.withColumns({c: F.lit("clash") for c in ("kind", "start", "end", "found", "word", "n", "instance", "left")})
+    got = P.digest(clash).collect()
+    assert sorted((r.doc_id, r.n_email, r.spans.split(",")[0]) for r in got) == [(1, 1, "email:500000:500006")] * 2 + [(2, 2, "email:0:6")]
+    assert P.redact(clash).columns == clash.columns
 
 
 def test_redact(spark, odd, empty):
