@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1_000_000
 
 
+#: Rows in a batch that goes to a Python worker: with whole texts Spark's own 10,000 take tens of MB in the JVM and in the worker.
+BATCH_ROWS, _DEFAULT_ROWS = "1000", "10000"
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """docs, in whose session batches for Python have BATCH_ROWS rows at most, unless that is set already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if conf.get(name) == _DEFAULT_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, table
+from .common import batch_of, bounded_batches, table
 
 
 class Notice(NamedTuple):
@@ -165,7 +165,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", base
             got = [scan_text(t.as_py(), base, notices) for t in batch.column(1)]
             yield batch_of(OUT, doc_id=batch.column(0), n_words=[n for n, _ in got], hits=[h for _, h in got])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id bigint, n_words bigint, hits {HIT_TYPE}")
+    return bounded_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id bigint, n_words bigint, hits {HIT_TYPE}")
 
 
 def digest(found: DataFrame) -> DataFrame:

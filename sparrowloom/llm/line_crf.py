@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 TRAIN_DOCS = 2000
 TRAIN_LINES = 1000
@@ -268,7 +268,7 @@ def label_lines(docs: DataFrame, field: ChainField, share: float = CONTENT_SHARE
     kinds = ", ".join(f"{n} bigint" for n in OUT.names[:6])
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * repeated > int(100 * MAX_REPEATED) * n)
-    slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    slim = bounded_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, f"{kinds}, line_labels array<int>, content_words bigint").withColumns({"base_failed": failed, "kept": ~failed & (F.col("content_words") >= share * n)})
 
 

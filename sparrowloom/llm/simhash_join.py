@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, drop_cut, table
+from .common import bounded_batches, connected_components, cut, drop_cut, table
 
 SHINGLE = 4
 SEED = 42
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             own = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, len(batch)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return bounded_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def unary(bits: np.ndarray) -> np.ndarray:
@@ -357,7 +357,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     shingles. Those that the 64-bit fingerprints propose are tried first: four
     differing bits of 64 miss most near copies, and link some texts that are none.
     """
-    own = cut(sketches(docs), "sketches")
+    own = cut(sketches(bounded_batches(docs)), "sketches")
     # Sets of one fingerprint meet its least one, and the least ones of linked fingerprints each other.
     of_fp = cut(own.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "fps")
     sure = cut(cleared_forms(of_fp), "forms")

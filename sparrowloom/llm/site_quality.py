@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, table
+from .common import bounded_batches, cut, drop_cut, table
 from .line_crf import SYMBOLS, _LETTER, _UPPER, repeated_words
 
 HOT_SHARE = 0.001
@@ -103,7 +103,7 @@ def evidence_weights(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS
     """The words' ratios, and for each feature those of its bins, from at most limit labelled documents; add-one smoothing."""
     chosen = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
     # At most limit ids, so they can be broadcast; at most 5^5 codes come back.
-    picked = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text"), "labelled")
+    picked = cut(bounded_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text"), "labelled")
     ratios, *without_own = word_ratios(picked)
     codes = [picked.where(F.col("quality") == q).select("quality", feature_code("text", without_own[q]).alias("code")) for q in (0, 1)]
     counts = codes[0].unionByName(codes[1]).groupBy("quality", "code").count().collect()

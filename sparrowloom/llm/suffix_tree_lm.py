@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, chunks, cut, drop_cut, table
+from .common import CHUNK_CHARS, bounded_batches, chunks, cut, drop_cut, table
 
 DEPTH = 3
 CONTEXT_FACTOR = 0.1
@@ -402,7 +402,7 @@ def with_folds(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): trained on the other folds' documents."""
     spark = docs.sparkSession
-    both = cut(encoded(with_folds(docs, text, key)), "encoded")
+    both = cut(encoded(with_folds(bounded_batches(docs), text, key)), "encoded")
     texts = both.where("counts is null")
     vocabulary = cut(word_counts(both), "words")
     tree = grow(texts.where("not held_out"), vocabulary)

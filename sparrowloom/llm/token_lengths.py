@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded_batches, cut, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's own split of a text into pieces.
@@ -79,7 +79,7 @@ def encoded_lengths(docs: DataFrame, text: str = "text", key: str = "doc_id", vo
             lengths = [n_tokens(t.as_py(), vocabulary) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return bounded_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
