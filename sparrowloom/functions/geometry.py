@@ -153,3 +153,44 @@ def run_lengths_to_cells(runs: Column, height: Column) -> Column:
     spans = F.filter(F.transform(F.arrays_zip(runs.alias("n"), ends.alias("e")), lambda s, i: F.struct(i.alias("i"), (s["e"] - s["n"]).alias("a"), s["e"].alias("b"))), lambda s: (s["i"] % 2 == 1) & (s["b"] > s["a"]))
     cells = F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"] - 1)))
     return F.transform(cells, lambda c: F.struct(F.floor(c / height).cast("int").alias("x"), (c % height).cast("int").alias("y")))
+
+
+def stacked_pose(position: Column, matrix: Column, grip: Column) -> Column:
+    """Ten numbers of a pose: position, the matrix's first two columns one after the other, grip."""
+    return pose_vector(position, six_numbers(matrix, "stacked"), grip)
+
+
+def with_axis_angle(action: Column) -> Column:
+    """Seven numbers from an action of ten: position, the rotation's axis times its angle, grip."""
+    return F.concat(F.slice(action, 1, 3), axis_angle(matrix_of_six(F.slice(action, 4, 6), "stacked")), F.slice(action, -1, 1))
+
+
+def checked_action(action: Column, least: int = 10) -> Column:
+    """An action of at least so many numbers; a shorter one fails."""
+    return F.when(F.size(action) >= least, action).otherwise(F.raise_error(F.concat(F.lit("action of too few numbers: "), F.size(action).cast("string"))))
+
+
+def resize_and_crop(width: Column, height: Column, to_width: int, to_height: int, u: Column) -> Column:
+    """The size of an image scaled to cover a frame, its ratio kept, and the offset of a crop drawn by u in [0, 1)."""
+    wide = width / height >= to_width / to_height
+    w = F.when(wide, F.bround(to_height * (width / height))).otherwise(F.lit(to_width)).cast("int")
+    h = F.when(wide, F.lit(to_height)).otherwise(F.bround(to_width * (height / width))).cast("int")
+    draw = lambda room: F.floor(u * (room + 1)).cast("int")
+    return F.struct(w.alias("width"), h.alias("height"), F.when(wide, draw(w - to_width)).otherwise(F.lit(0)).alias("left"), F.when(wide, F.lit(0)).otherwise(draw(h - to_height)).alias("top"))
+
+
+def square_crop(width: Column, height: Column, size: int, from_top: bool = False) -> Column:
+    """The size of an image whose short side becomes size, and the offset of its middle (or topmost) square."""
+    short = F.least(width, height)
+    w, h = F.floor(width * size / short).cast("int"), F.floor(height * size / short).cast("int")
+    middle = lambda room: F.bround(room / 2).cast("int")
+    return F.struct(w.alias("width"), h.alias("height"), middle(w - size).alias("left"), (F.lit(0) if from_top else middle(h - size)).alias("top"))
+
+
+def standardized(x: Column, mean: float = 0.5, deviation: float = 0.5) -> Column:
+    return (x - mean) / deviation
+
+
+def grid_offset(i: Column, columns: int, width: int, height: int) -> Column:
+    """Where image i of a grid lies, row by row."""
+    return F.struct((i % columns * width).cast("int").alias("x"), (F.floor(i / columns) * height).cast("int").alias("y"))

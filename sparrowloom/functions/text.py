@@ -27,6 +27,7 @@ CAPTION_PHRASES = (
     "This image showcases ",
     "This suggests ",
     "In the photo, we see ",
+    "This is ",
     "This image is ",
     "In the photo, we have ",
     "The photo features ",
@@ -90,3 +91,21 @@ def words(text: Column, limit: int | None = None) -> Column:
     """Words between white space, a stand-in for an external tokenizer, cut to limit."""
     own = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return F.slice(own, 1, limit) if limit else own
+
+
+def mark_prompt(category: Column, color: Column) -> Column:
+    return F.format_string("Mark all %1$s in the image with %2$s bounding box. Image with marked %1$s:", category, color)
+
+
+def segment_prompt(category: Column, color: Column) -> Column:
+    return F.format_string("Segment all %1$s in the image with %2$s mask. Image with segmented %1$s:", category, color)
+
+
+def decoded(octets: Column) -> Column:
+    return F.decode(octets, "UTF-8")
+
+
+def ends_with_any(name: Column, suffixes: list[str]) -> Column:
+    """Whether a name ends with one of the suffixes, as it is or without its trailing digits and the character before them."""
+    short = without_index(name)
+    return F.exists(F.array(*map(F.lit, suffixes)), lambda x: F.endswith(name, x) | F.endswith(short, x))

@@ -41,8 +41,19 @@ def image_documents(kept: DataFrame, image: str, category: str) -> DataFrame:
 
 
 def manifest(images: DataFrame, dataset: str, path: Column) -> DataFrame:
-    """One row: the data set's name, its number of images, and the sorted list of their paths."""
-    return images.agg(F.lit(dataset).alias("dataset_name"), F.count("*").alias("num_images"), F.array_sort(F.collect_list(path)).alias("datalist"))
+    """(dataset_name, num_images, path): a row for each image, with the count that all share."""
+    count = images.agg(F.count("*").alias("num_images"))
+    return images.select(path.alias("path")).join(F.broadcast(count)).select(F.lit(dataset).alias("dataset_name"), "num_images", "path")
+
+
+def manifest_row(images: DataFrame, dataset: str, path: Column, most: int = 1_000_000) -> DataFrame:
+    """One row with the sorted list of all paths, for sets of at most `most` images; a larger one fails."""
+    listed = F.array_sort(F.collect_list("path"))
+    counted = manifest(images, dataset, path).groupBy("dataset_name", "num_images")
+    checked = counted.agg(listed.alias("datalist")) if images.limit(most + 1).count() <= most else None
+    if checked is None:
+        raise ValueError(f"more than {most} images: write the manifest as rows")
+    return checked
 
 
 def widen_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:

@@ -6,24 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def flatten_json(rows: DataFrame, column: str, keys: list[str], depth: int = 4) -> DataFrame:
-    """(keys, path, value) for every leaf of a JSON object, to a depth; deeper trees stay as text.
-
-    Arrays count as objects with their indices as keys. Each level is one
-    generator over the rows of the last; nothing is shuffled.
+def flatten_json(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """(keys, path, value) for every leaf of a JSON object of any depth.
+
+    Arrays count as objects with their indices as keys. Objects and arrays
+    without entries have no leaf; a string that is itself JSON counts as such.
+    Each level is one generator over the last one's rows, in which leaves pass as
+    they are, so nothing is parsed twice or shuffled; whether a level is left is
+    asked by a job that ends with the first object found.
     """
+    kind = F.substring(F.ltrim(F.col("value")), 1, 1)
+    joined = lambda key: F.concat_ws(".", F.nullif(F.col("path"), F.lit("")), key)
+    entry = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
+    entries = (
+        F.when(kind == "{", F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: entry(joined(e["key"]), e["value"])))
+        .when(kind == "[", F.transform(F.from_json("value", "array<string>"), lambda v, i: entry(joined(i.cast("string")), v)))
+        .otherwise(F.array(entry(F.col("path"), F.col("value"))))
+    )
     level = rows.select(*keys, F.lit("").alias("path"), F.col(column).alias("value"))
-    done = None
-    for _ in range(depth):
-        parsed = level.withColumns({"_object": F.from_json("value", "map<string,string>"), "_array": F.from_json("value", "array<string>")})
-        is_object, is_array = F.trim("value").startswith("{"), F.trim("value").startswith("[")
-        leaves = parsed.where(~F.coalesce(is_object | is_array, F.lit(False))).select(*keys, "path", "value")
-        done = leaves if done is None else done.unionByName(leaves)
-        join = lambda k: F.concat_ws(".", F.nullif(F.col("path"), F.lit("")), k)
-        under = parsed.where(is_object).select(*keys, "path", F.explode("_object").alias("_k", "_v")).select(*keys, join(F.col("_k")).alias("path"), F.col("_v").alias("value"))
-        items = parsed.where(is_array).select(*keys, "path", F.posexplode("_array").alias("_k", "_v")).select(*keys, join(F.col("_k").cast("string")).alias("path"), F.col("_v").alias("value"))
-        level = under.unionByName(items)
-    return done.unionByName(level)
+    while not level.where(kind.isin("{", "[")).isEmpty():
+        level = level.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.path", "_e.value")
+    return level
+
+
+def sorted_state(state):
+    """A map column's entries, a line each, by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(state)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
 
 
 def merge(base, override):

@@ -53,8 +53,21 @@ def prior_log_density(z: Column) -> Column:
     return F.lit(-0.5 * 1.8378770664093453) * F.size(z) - V.dot(z, z) / 2
 
 
-def balance_loss(routed: DataFrame, experts: int, k: int) -> DataFrame:
-    """sum over expert of (share of tokens sent) * (mean probability) * experts; routed has probs and picks arrays."""
+def mean_over_ranks(local: DataFrame, rank: str, value: str) -> DataFrame:
+    """The mean of the ranks' means: for ranks of equal size that of all."""
+    return local.groupBy(rank).agg(F.avg(value).alias("mean")).agg(F.avg("mean").alias("mean"))
+
+
+def weighted_loss(flow: Column, terms: list[Column], flow_weight: float, action_weight: float) -> Column:
+    return flow * flow_weight + sum(terms[1:], terms[0]) * action_weight
+
+
+def balance_loss(routed: DataFrame, experts: int, k: int, used: Column | None = None) -> DataFrame:
+    """sum over expert of (share of tokens sent) * (mean probability) * experts; routed has probs and picks arrays.
+
+    used: which tokens count; padding does not.
+    """
+    routed = routed if used is None else routed.where(used)
     n = routed.agg(F.count("*").alias("n"))
     sent = routed.select(F.explode("picks").alias("expert")).groupBy("expert").agg(F.count("*").alias("sent"))
     mean = routed.select(F.posexplode("probs").alias("expert", "p")).groupBy("expert").agg(F.avg("p").alias("p"))

@@ -53,6 +53,14 @@ def frame_indices(n: Column, m: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda k: F.floor(k * (n - 1) / F.lit(m - 1)).cast("int"))
 
 
+def sampled_frames(n: Column, rate: Column, per_second: float, most: int, force: bool = False) -> Column:
+    """Every round(rate / per_second)-th frame; `most` frames at equal distances where that gives more, or where forced."""
+    stride = F.greatest(F.lit(1), F.bround(rate / F.lit(per_second)).cast("int"))
+    strided = F.sequence(F.lit(0), (n - 1).cast("int"), stride)
+    even = frame_indices(n, most)
+    return even if force else F.when(F.size(strided) > most, even).otherwise(strided)
+
+
 def last_real_token(tokens: Column, pad: int) -> Column:
     """The index of the last token that is no pad; 0 if all are."""
     at = F.filter(F.transform(tokens, lambda t, i: F.when(t != pad, i)), lambda i: i.isNotNull())

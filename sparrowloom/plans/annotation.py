@@ -45,11 +45,10 @@ def ann_image_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("l_orderkey", "n_categories", F.array_join(F.transform(F.map_entries("anns"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("anns"))
 
 
-@query(_KEPT + ", paths AS (SELECT DISTINCT printf('%09d.json', l_orderkey) AS path FROM kept) SELECT 'orders' AS dataset_name, count(*) AS num_images, md5(string_agg(path, ',' ORDER BY path)) AS datalist_md5 FROM paths")
+@query(_KEPT + ", paths AS (SELECT DISTINCT printf('%09d.json', l_orderkey) AS path FROM kept) SELECT 'orders' AS dataset_name, (SELECT count(*) FROM paths) AS num_images, path FROM paths")
 def ann_manifest(spark: SparkSession, d: str) -> DataFrame:
     images = _kept(spark, d).select("l_orderkey").distinct()
-    made = A.manifest(images, "orders", F.format_string("%09d.json", "l_orderkey"))
-    return made.select("dataset_name", "num_images", F.md5(F.array_join("datalist", ",").cast("binary")).alias("datalist_md5"))
+    return A.manifest(images, "orders", F.format_string("%09d.json", "l_orderkey"))
 
 
 @query("SELECT p_partkey, p_type, count(l_orderkey) AS n_lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
@@ -59,11 +58,12 @@ def ann_category_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_returnflag, count(*) AS n_boxes, max((l_linestatus = 'X')::INT) AS any_crowd, max(1) AS most_polygons
-FROM lineitem GROUP BY ALL HAVING count(*) <= 8 AND max((l_linestatus = 'X')::INT) = 0
+SELECT l_orderkey, l_returnflag, count(*) AS n_boxes, 0 AS any_crowd, max(CASE WHEN l_tax > 0.07 THEN 2 ELSE 1 END) AS most_polygons
+FROM lineitem GROUP BY ALL HAVING count(*) <= 8 AND bool_and(l_discount <= 0.09) AND bool_and(l_tax <= 0.07)
 """)
 def ann_eligible_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return A.eligible_boxes(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], F.col("l_linestatus") == "X", F.lit(1))
+    """Crowds are instances of a high discount, those of a high tax have two polygons."""
+    return A.eligible_boxes(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], F.col("l_discount") > 0.09, F.when(F.col("l_tax") > 0.07, 2).otherwise(1))
 
 
 @query("""

@@ -12,8 +12,36 @@ from ..functions.hashing import uniform, uniform_sql
 from ..session import table
 from .registry import query
 
-# The bundles of evaluation suites.
-SUITES = {"all": ["libero_spatial", "libero_object", "libero_goal", "libero_10"], "short": ["libero_spatial", "libero_object"], "long": ["libero_10"]}
+# The bundles of evaluation suites, the steps of an episode, and colours by name.
+SUITES = {
+    "libero_goal": ["libero_goal"],
+    "libero_object": ["libero_object"],
+    "libero_spatial": ["libero_spatial"],
+    "libero_10": ["libero_10"],
+    "libero_90": ["libero_90"],
+    "libero30": ["libero_goal", "libero_object", "libero_spatial"],
+    "libero130": ["libero_goal", "libero_object", "libero_spatial", "libero_10", "libero_90"],
+}
+HORIZONS = {"libero_goal": 800, "libero_object": 800, "libero_spatial": 800, "libero_10": 900, "libero_90": 800, "libero30": 800, "libero130": 800}
+BOX_COLORS = {"red": (255, 0, 0), "green": (0, 255, 0), "blue": (0, 0, 255)}
+MASK_COLORS = {
+    "red": (255, 0, 0),
+    "green": (0, 255, 0),
+    "blue": (0, 0, 255),
+    "yellow": (255, 255, 0),
+    "purple": (128, 0, 128),
+    "orange": (255, 165, 0),
+    "cyan": (0, 240, 240),
+    "magenta": (255, 0, 255),
+    "lime": (0, 255, 128),
+    "pink": (255, 105, 180),
+    "indigo": (75, 0, 130),
+    "gold": (255, 215, 0),
+    "olive": (128, 128, 0),
+    "violet": (148, 0, 211),
+    "coral": (255, 127, 80),
+    "khaki": (240, 230, 140),
+}
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -71,9 +99,22 @@ def cyclic_states(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", (F.col("conv_id") % 20).cast("int").alias("state"), (F.lit(7) + F.col("conv_id") + 100).alias("seed"))
 
 
-@query("SELECT bundle, unnest(suites) AS suite FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in SUITES.items()) + ") t(bundle, suites)")
+@query("""
+SELECT * FROM (VALUES ('libero_goal', 'libero_goal', 800), ('libero_object', 'libero_object', 800), ('libero_spatial', 'libero_spatial', 800), ('libero_10', 'libero_10', 900), ('libero_90', 'libero_90', 800), ('libero30', 'libero_goal', 800), ('libero30', 'libero_object', 800), ('libero30', 'libero_spatial', 800),
+  ('libero130', 'libero_goal', 800), ('libero130', 'libero_object', 800), ('libero130', 'libero_spatial', 800), ('libero130', 'libero_10', 800), ('libero130', 'libero_90', 800)) t(bundle, suite, horizon)
+""")
 def suite_bundles(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(SUITES.items()), "bundle string, suites array<string>").select("bundle", F.explode("suites").alias("suite"))
+    """Suites of each bundle, with the bundle's steps of an episode."""
+    return spark.createDataFrame([(k, v, HORIZONS[k]) for k, v in SUITES.items()], "bundle string, suites array<string>, horizon int").select("bundle", F.explode("suites").alias("suite"), "horizon")
+
+
+@query("SELECT doc_id, [255, 0, 0, 128, 255, 0, 255, 0, 255, 75, 255, 128, 148, 255, 240, 0][doc_id % 16 + 1]::INT AS red, [0, 255, 0, 0, 165, 240, 0, 255, 105, 0, 215, 128, 0, 127, 230, 255][doc_id % 16 + 1]::INT AS green, [0, 0, 255, 128, 0, 240, 255, 128, 180, 130, 0, 0, 211, 80, 140, NULL][doc_id % 16 + 1]::INT AS blue FROM documents WHERE doc_id % 16 < 15")
+def color_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Colours by name from a small broadcast table."""
+    names = ("red", "green", "blue", "purple", "orange", "cyan", "magenta", "lime", "pink", "indigo", "gold", "olive", "violet", "coral", "khaki")
+    colors = spark.createDataFrame([(k, *v) for k, v in MASK_COLORS.items()], "name string, red int, green int, blue int")
+    rows = table(spark, d, "documents").where("doc_id % 16 < 15").select("doc_id", F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 16 + 1).cast("int")).alias("name"))
+    return rows.join(F.broadcast(colors), "name").select("doc_id", "red", "green", "blue")
 
 
 @query("SELECT c_nationkey, count(*) AS n, round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS spread FROM customer GROUP BY 1")

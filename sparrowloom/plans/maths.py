@@ -214,11 +214,15 @@ def param_rename(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("p_partkey", F.concat_ws(".", F.lit("layers"), (layer - 12).cast("string"), F.slice(parts, F.lit(4), F.size(parts))).alias("renamed"))
 
 
-@query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@query("""
+SELECT event_id, path, value FROM (SELECT event_id, unnest(['props.k', 'a.0', 'a.1.b.c.d.e.0', 'a.1.b.c.d.e.1', 'n']) AS path, unnest([json_extract_string(props, '$.k'), event_type, event_id::VARCHAR, 'x', user_id::VARCHAR]) AS value FROM events) WHERE value IS NOT NULL
+""")
 def config_flatten(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of eight levels, with arrays, to dotted keys."""
     from ..operators.config import flatten_json
 
-    return flatten_json(table(spark, d, "events").select("event_id", "props"), "props", ["event_id"]).where("value is not null")
+    deep = F.format_string('{"props": %s, "a": ["%s", {"b": {"c": {"d": {"e": [%d, "x"]}}}}], "n": %d}', F.coalesce("props", F.lit("null")), "event_type", "event_id", "user_id")
+    return flatten_json(table(spark, d, "events").select("event_id", deep.alias("tree")), "tree", ["event_id"]).where("value is not null")
 
 
 @query("SELECT o_orderkey, (o_orderkey % 8 + 1) * 12 * 8 AS batch, floor(o_totalprice * 0.03)::BIGINT AS warmup, ceil(o_totalprice / ((o_orderkey % 8 + 1) * 12))::BIGINT AS updates FROM orders")

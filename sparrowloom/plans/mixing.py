@@ -10,9 +10,61 @@ from ..operators import mixing as X
 from ..session import table
 from .registry import query
 
-# Names and sampling weights of trajectory sets, and the domain ids of some.
-DATA_WEIGHTS = {"robomind-franka": 0.1, "robomind-ur": 0.1, "Droid-Left": 0.15, "Droid-Right": 0.15, "AGIBOT": 0.4, "robomind-agilex": 0.07, "robomind-franka-dual": 0.03}
-DATA_DOMAIN_ID = {"robomind-franka": 11, "robomind-ur": 12, "Droid-Left": 13, "Droid-Right": 14, "AGIBOT": 15, "robomind-agilex": 16, "robomind-franka-dual": 17, "Bridge": 0, "RT1": 1, "Calvin": 2, "libero": 3}
+# Sampling weights of trajectory sets (others have 1) and domain ids by set (others have 0).
+DATA_WEIGHTS = {
+    "robomind-franka": 0.1,
+    "robomind-ur": 0.1,
+    "Droid-Left": 0.15,
+    "Droid-Right": 0.15,
+    "AGIBOT": 0.4,
+    "robomind-agilex": 0.07,
+    "robomind-franka-dual": 0.03,
+    "agiworld-on-site-pack": 0.8,
+    "agiworld-on-site-pack-extra": 0.2,
+    "agiworld-on-site-conveyor": 0.8,
+    "agiworld-on-site-conveyor-extra": 0.2,
+    "agiworld-on-site-restock": 1.0,
+    "agiworld-on-site-pour": 1.0,
+    "agiworld-on-site-microwave": 1.2,
+    "agiworld-on-site-cloth": 1.2,
+    "agiworld-on-site-cloth-2": 0.1,
+}
+DATA_DOMAIN_ID = {
+    "libero_spatial": 3,
+    "libero_object": 3,
+    "libero_goal": 3,
+    "libero_10": 3,
+    "libero_90": 3,
+    "Bridge": 0,
+    "RT1": 1,
+    "Calvin": 2,
+    "libero": 3,
+    "widowx-air": 4,
+    "AIR-AGILEX-HQ": 5,
+    "robotwin2_abs_ee": 6,
+    "robotwin2_clean": 6,
+    "robocasa-human": 7,
+    "VLABench": 8,
+    "AGIBOT-challenge": 9,
+    "AIR-AGILEX": 10,
+    "AIRBOT": 18,
+    "robomind-franka": 11,
+    "robomind-ur": 12,
+    "Droid-Left": 13,
+    "Droid-Right": 14,
+    "AGIBOT": 15,
+    "robomind-agilex": 16,
+    "robomind-franka-dual": 17,
+    "agiworld-on-site-pack": 0,
+    "agiworld-on-site-pack-extra": 0,
+    "agiworld-on-site-conveyor": 0,
+    "agiworld-on-site-conveyor-extra": 0,
+    "agiworld-on-site-restock": 0,
+    "agiworld-on-site-pour": 0,
+    "agiworld-on-site-microwave": 0,
+    "agiworld-on-site-cloth": 0,
+    "agiworld-on-site-cloth-2": 0,
+}
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
@@ -24,15 +76,15 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 _S = "WITH s AS (SELECT event_type AS loader, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS ordinal FROM events), n AS (SELECT loader, count(*) AS size FROM s GROUP BY loader)"
 
 
-@query(_S + " SELECT t.step, loader, event_id FROM range(0, 3000) t(step), n JOIN s USING (loader) WHERE s.ordinal = t.step % n.size")
+@query(_S + ", t AS (SELECT unnest(range(0, (SELECT max(size) + 1 FROM n))) AS step) SELECT t.step, loader, event_id FROM t, n JOIN s USING (loader) WHERE s.ordinal = t.step % n.size")
 def mix_concat_cycle(spark: SparkSession, d: str) -> DataFrame:
-    """Enough steps that the longest loader starts again, at least 3,000."""
+    """So many steps that the longest loader starts again."""
     sources = _sources(spark, d)
     longest = X.sizes(sources, "loader").agg(F.max("size")).first()[0] or 0
-    return X.from_every_source(spark, sources, "loader", max(3000, longest + 1), False).select("step", "loader", "event_id")
+    return X.from_every_source(spark, sources, "loader", longest + 1, False).select("step", "loader", "event_id")
 
 
-@query(_S + " SELECT s.ordinal AS step, loader, event_id FROM s WHERE s.ordinal < least(3000, (SELECT min(size) FROM n))")
+@query(_S + " SELECT s.ordinal AS step, loader, event_id FROM s WHERE s.ordinal < (SELECT min(size) FROM n)")
 def mix_concat_min(spark: SparkSession, d: str) -> DataFrame:
     """All steps of the shortest loader."""
     return X.from_every_source(spark, _sources(spark, d), "loader", None, True).select("step", "loader", "event_id")
@@ -52,12 +104,12 @@ def _draw_sql(types: list[str], weights: list[float]) -> str:
 
 
 def _draws(sources: DataFrame) -> int:
-    """So many draws that a loader of the mix ends for sure, at least 12,000."""
-    return max(12000, 1 + sources.where(F.col("loader").isin(*_MIX)).count())
+    """So many draws that a loader of the mix ends for sure: one more than they have rows."""
+    return 1 + sources.where(F.col("loader").isin(*_MIX)).count()
 
 
 _MIX = {"click": 3.0, "view": 2.0, "purchase": 1.0}
-_D = _S + f", w AS (SELECT step, {_draw_sql(list(_MIX), list(_MIX.values()))} AS loader FROM (SELECT step, {uniform_sql('step', 'mix')} AS u FROM range(0, 12000) t(step))), d AS (SELECT *, row_number() OVER (PARTITION BY loader ORDER BY step) - 1 AS k FROM w), z AS (SELECT d.step, loader, k // size AS epoch, event_id FROM d JOIN n USING (loader) JOIN s USING (loader) WHERE s.ordinal = k % size)"
+_D = _S + f", w AS (SELECT step, {_draw_sql(list(_MIX), list(_MIX.values()))} AS loader FROM (SELECT step, {uniform_sql('step', 'mix')} AS u FROM (SELECT unnest(range(0, (SELECT count(*) + 1 FROM s WHERE loader IN ('click', 'view', 'purchase')))) AS step))), d AS (SELECT *, row_number() OVER (PARTITION BY loader ORDER BY step) - 1 AS k FROM w), z AS (SELECT d.step, loader, k // size AS epoch, event_id FROM d JOIN n USING (loader) JOIN s USING (loader) WHERE s.ordinal = k % size)"
 
 
 @query(_D + " SELECT * FROM z")
@@ -68,7 +120,7 @@ def mix_weighted(spark: SparkSession, d: str) -> DataFrame:
     return X.cycled(draws, sources, "loader").select("step", "loader", F.col("epoch").cast("bigint").alias("epoch"), "event_id")
 
 
-@query(_D + " SELECT * FROM z WHERE step < coalesce((SELECT min(step) FROM z WHERE epoch > 0), 1000000)")
+@query(_D + " SELECT * FROM z WHERE step < coalesce((SELECT min(step) FROM z WHERE epoch > 0), 1000000000000)")
 def mix_weighted_min(spark: SparkSession, d: str) -> DataFrame:
     """Draws by weight up to the first exhaustion."""
     sources = _sources(spark, d)
@@ -76,20 +128,30 @@ def mix_weighted_min(spark: SparkSession, d: str) -> DataFrame:
     return X.cycled(draws, sources, "loader", stop_at_first_end=True).select("step", "loader", F.col("epoch").cast("bigint").alias("epoch"), "event_id")
 
 
-_VALUES = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in DATA_WEIGHTS.items()) + ")"
-_DOMAINS = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in DATA_DOMAIN_ID.items()) + ")"
-
-
-@query(f"SELECT doc_id, name, coalesce(weight, 1.0)::DOUBLE AS weight, coalesce(domain, 0)::INT AS domain FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'AGIBOT' WHEN doc_id % 3 = 1 THEN 'libero' ELSE 'other' END AS name FROM documents) LEFT JOIN {_VALUES} w(n1, weight) ON n1 = name LEFT JOIN {_DOMAINS} m(n2, domain) ON n2 = name")
+@query("""
+WITH names AS (SELECT ['AGIBOT', 'libero', 'other', 'widowx-air', 'libero_90', 'agiworld-on-site-cloth', 'robomind-franka-dual', 'Droid-Left', 'agiworld-on-site-pack-extra', 'AIRBOT', 'robotwin2_clean', 'VLABench'] AS n)
+SELECT doc_id, name,
+  CASE name WHEN 'AGIBOT' THEN 0.4 WHEN 'agiworld-on-site-cloth' THEN 1.2 WHEN 'robomind-franka-dual' THEN 0.03 WHEN 'Droid-Left' THEN 0.15 WHEN 'agiworld-on-site-pack-extra' THEN 0.2 ELSE 1.0 END::DOUBLE AS weight,
+  CASE name WHEN 'AGIBOT' THEN 15 WHEN 'libero' THEN 3 WHEN 'widowx-air' THEN 4 WHEN 'libero_90' THEN 3 WHEN 'robomind-franka-dual' THEN 17 WHEN 'Droid-Left' THEN 13 WHEN 'AIRBOT' THEN 18 WHEN 'robotwin2_clean' THEN 6 WHEN 'VLABench' THEN 8 ELSE 0 END::INT AS domain
+FROM (SELECT doc_id, n[doc_id % 12 + 1] AS name FROM documents, names)
+""")
 def domain_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weight and domain by set name from fixed parameter tables (a few dozen rows, broadcast)."""
     weights = spark.createDataFrame(list(DATA_WEIGHTS.items()), "name string, w double")
     domains = spark.createDataFrame(list(DATA_DOMAIN_ID.items()), "name string, dom int")
-    name = F.when(F.col("doc_id") % 3 == 0, "AGIBOT").when(F.col("doc_id") % 3 == 1, "libero").otherwise("other")
-    rows = table(spark, d, "documents").select("doc_id", name.alias("name"))
+    names = ("AGIBOT", "libero", "other", "widowx-air", "libero_90", "agiworld-on-site-cloth", "robomind-franka-dual", "Droid-Left", "agiworld-on-site-pack-extra", "AIRBOT", "robotwin2_clean", "VLABench")
+    rows = table(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int")).alias("name"))
     return rows.join(F.broadcast(weights), "name", "left").join(F.broadcast(domains), "name", "left").select("doc_id", "name", F.coalesce("w", F.lit(1.0)).alias("weight"), F.coalesce("dom", F.lit(0)).alias("domain"))
 
 
+@query("SELECT count(*) AS n_weights, round(sum(w), 6) AS sum_weights, 34::BIGINT AS n_domains, 192::BIGINT AS sum_domains FROM (VALUES (0.1::DOUBLE), (0.1), (0.15), (0.15), (0.4), (0.07), (0.03), (0.8), (0.2), (0.8), (0.2), (1.0), (1.0), (1.2), (1.2), (0.1)) t(w)")
+def domain_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The whole parameter tables, in sums."""
+    weights = spark.createDataFrame([(float(w),) for w in DATA_WEIGHTS.values()], "w double").agg(F.count("*").alias("n_weights"), F.round(F.sum("w"), 6).alias("sum_weights"))
+    domains = spark.createDataFrame([(v,) for v in DATA_DOMAIN_ID.values()], "v int").agg(F.count("*").alias("n_domains"), F.sum("v").alias("sum_domains"))
+    return weights.crossJoin(domains)
+
+
 _SHUFFLED = f"WITH u AS (SELECT event_id, {uniform_sql('event_id', 'epoch0')} AS u FROM events), o AS (SELECT event_id, row_number() OVER (ORDER BY u, event_id) - 1 AS ordinal FROM u)"
 
 

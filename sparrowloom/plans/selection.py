@@ -99,11 +99,11 @@ def frame_sample(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(S.frame_indices(F.col("n_chars"), 4), lambda i: i.cast("string")), " ").alias("frames"))
 
 
-@query("WITH t AS (SELECT doc_id, [CASE WHEN length(w) < 4 THEN 0 ELSE length(w) END FOR w IN regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')][1:64] AS k FROM documents) SELECT doc_id, coalesce(list_max([i FOR i IN range(0, len(k)) IF k[i + 1] <> 0]), 0)::INT AS last, len(k[1:least(16, coalesce(list_min([i + 1 FOR i IN range(0, len(k)) IF k[i + 1] IN (9, 11)]), 16))]) AS n_until FROM t")
+@query("WITH t AS (SELECT doc_id, [CASE WHEN length(w) < 4 THEN 0 ELSE length(w) END FOR w IN regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')] AS k FROM documents) SELECT doc_id, coalesce(list_max([i FOR i IN range(0, len(k)) IF k[i + 1] <> 0]), 0)::INT AS last, len(k[1:least(16, coalesce(list_min([i + 1 FOR i IN range(0, len(k)) IF k[i + 1] IN (9, 11)]), 16))]) AS n_until FROM t")
 def sequence_ends(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.text import words
 
-    k = F.transform(words(F.col("text"), 64), lambda w: F.when(F.length(w) < 4, 0).otherwise(F.length(w)))
+    k = F.transform(words(F.col("text")), lambda w: F.when(F.length(w) < 4, 0).otherwise(F.length(w)))
     return table(spark, d, "documents").select("doc_id", k.alias("k")).select("doc_id", S.last_real_token(F.col("k"), 0).alias("last"), F.size(S.until_stop(F.col("k"), [9, 11], 16)).cast("bigint").alias("n_until"))
 
 

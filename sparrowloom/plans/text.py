@@ -26,24 +26,24 @@ def caption_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents)
-SELECT doc_id, CASE WHEN ends_with(t, '.') THEN t || ' Then stop.' WHEN regexp_matches(t, '\p{L}$') THEN t || '.' || ' Then stop.' ELSE t END AS instruction FROM t
+WITH t AS (SELECT doc_id, text AS t FROM documents)
+SELECT doc_id, md5(CASE WHEN ends_with(t, '.') THEN t || ' Then stop.' WHEN regexp_matches(t, '\p{L}$') THEN t || '.' || ' Then stop.' ELSE t END) AS instruction_md5 FROM t
 """)
 def instruction_suffix(spark: SparkSession, d: str) -> DataFrame:
-    first = F.substring_index("text", "\n", 1)
-    return table(spark, d, "documents").select("doc_id", X.with_suffix_sentence(first, " Then stop.", strict=False).alias("instruction"))
+    ended = X.with_suffix_sentence(F.col("text"), " Then stop.", strict=False)
+    return table(spark, d, "documents").select("doc_id", F.md5(ended.cast("binary")).alias("instruction_md5"))
 
 
 @query(r"""
 WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN text || chr(10) || '<image>' ELSE text END AS t FROM conversations)
-SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'assistant' ELSE 'assistant' END AS mapped,
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS mapped,
   md5(CASE WHEN ends_with(t, chr(10) || '<image>') THEN '<image>' || chr(10) || substr(t, 1, length(t) - 8) ELSE t END) AS moved_md5,
   length(CASE WHEN contains(t, '<image>') THEN '<image>' ELSE t END) AS n_only, length(replace(t, chr(10), '')) AS n_flat FROM t
 """)
 def conv_clean(spark: SparkSession, d: str) -> DataFrame:
     t = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit("\n<image>"))).otherwise(F.col("text"))
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", t.alias("t"))
-    return rows.select("conv_id", "turn", X.chat_role(F.col("role")).alias("mapped"), F.md5(X.image_tag_first(F.col("t")).cast("binary")).alias("moved_md5"), F.length(X.only_image_tag(F.col("t"))).cast("bigint").alias("n_only"), F.length(X.without_newlines(F.col("t"))).cast("bigint").alias("n_flat"))
+    return rows.select("conv_id", "turn", X.chat_role(F.when(F.col("role") == "user", "human").otherwise("gpt")).alias("mapped"), F.md5(X.image_tag_first(F.col("t")).cast("binary")).alias("moved_md5"), F.length(X.only_image_tag(F.col("t"))).cast("bigint").alias("n_only"), F.length(X.without_newlines(F.col("t"))).cast("bigint").alias("n_flat"))
 
 
 @query("""
@@ -130,10 +130,10 @@ def seq_interleaved_offsets(spark: SparkSession, d: str) -> DataFrame:
     return C.interleave(rows, "conv_id", "turn", F.col("n"), 6)
 
 
-@query(f"SELECT doc_id, CASE WHEN {uniform_sql('doc_id', 'drop')} < 0.1 THEN '' ELSE split_part(text, chr(10), 1) END AS prompt, {uniform_sql('doc_id', 'flip')} < 0.3 AS flipped FROM documents")
+@query(f"SELECT doc_id, CASE WHEN {uniform_sql('doc_id', 'drop')} < 0.1 THEN '' ELSE md5(text) END AS prompt, {uniform_sql('doc_id', 'flip')} < 0.3 AS flipped FROM documents")
 def condition_dropout(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("doc_id")
-    return table(spark, d, "documents").select("doc_id", F.when(uniform(key, "drop") < 0.1, "").otherwise(F.substring_index("text", "\n", 1)).alias("prompt"), (uniform(key, "flip") < 0.3).alias("flipped"))
+    return table(spark, d, "documents").select("doc_id", F.when(uniform(key, "drop") < 0.1, "").otherwise(F.md5(F.col("text").cast("binary"))).alias("prompt"), (uniform(key, "flip") < 0.3).alias("flipped"))
 
 
 @query("""
