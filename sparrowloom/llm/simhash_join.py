@@ -3,12 +3,14 @@
 A text's fingerprint has 64 bits. Cut into 32 segments of two bits, it becomes a
 vector of bit counts (0, 1 or 2); the Manhattan distance of two vectors never
 exceeds the number of differing bits. Fingerprints that differ in MAX_BITS = 4
-bits or fewer therefore have vectors at distance 4 or less, and in one half of
-16 segments at distance 2 or less. On the lattice of a half's vectors, two
-points at distance 2 or less share a point within 1 of both. So the grid
-range-join deals each fingerprint to its own cell and the at most 32 next ones
-of each half; fingerprints meeting in a cell are candidates, the distance of the
-whole vectors bounds them, and the bits decide.
+bits or fewer therefore have vectors at distance 4 or less, and of the three
+thirds of the segments two lie at distance 2 or less together. On the lattice of
+two thirds, two points at distance 2 or less share a point within 1 of both. So
+the grid range-join deals each fingerprint to its own cell and the some 33 next
+ones of each two thirds; fingerprints meeting in a cell are candidates, the
+distance of the whole vectors bounds them, and the bits decide. By chance two
+fingerprints share a cell once in some 2^31, so with a hundred rows for each
+there are few candidates up to 10^8 different fingerprints.
 
 Only distinct fingerprints take part. Before the join those that share a form
 with one bit cleared (so at most 2 bits apart: linked for sure) are united
@@ -105,22 +107,26 @@ def vector(fp: Column) -> Column:
 NEIGHBOURS = ((0, 1), (1, 2), (3, 2), (1, 1))
 
 
+#: The segments of each third, from and to.
+THIRDS = ((0, 11), (11, 22), (22, 32))
+
+
 def cells_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell): for each half the vector's own lattice point and those at distance 1; bit 32 of a cell tells the half."""
+    """(row, cell): without one third in turn, the vector's own lattice point and those at distance 1; a number in place of the third tells which."""
     vector = unary(bits)
     rows, cells = [], []
     every = np.arange(len(bits))
-    for half in (0, 1):
-        own = (vector >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        mark = np.uint64(half << 32)
+    for left_out, (a, b) in enumerate(THIRDS):
+        hole = np.uint64(((1 << 2 * (b - a)) - 1) << 2 * a)
+        own = (vector & ~hole) | np.uint64((left_out + 1) << 2 * a)
         rows.append(every)
-        cells.append(own | mark)
-        for i in range(16):
-            count = (own >> np.uint64(2 * i)) & np.uint64(3)
+        cells.append(own)
+        for i in (i for i in range(32) if not a <= i < b):
+            count = (vector >> np.uint64(2 * i)) & np.uint64(3)
             for at, flip in NEIGHBOURS:
                 hit = count == at
                 rows.append(every[hit])
-                cells.append((own[hit] ^ np.uint64(flip << (2 * i))) | mark)
+                cells.append(own[hit] ^ np.uint64(flip << (2 * i)))
     return np.concatenate(rows), np.concatenate(cells)
 
 

@@ -93,6 +93,29 @@ def test_bound_never_exceeds_the_distance(spark):
     assert (bound == abs(counts(a) - counts(b)).sum(0)).all() and (bound <= np.bitwise_count(a ^ b)).all()
 
 
+def test_every_close_pair_shares_a_cell():
+    """Random fingerprints with 4 differing bits, the bits anywhere: two of the thirds bring them together."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)) for _ in range(len(a))], dtype=np.uint64)
+    cells = []
+    for x in (a, a ^ flips):
+        rows, own = S.cells_of(x)
+        cells.append([set(own[rows == i].tolist()) for i in range(len(x))])
+    assert all(p & q for p, q in zip(*cells, strict=True))
+    assert 60 < np.mean([len(p) for p in cells[0]]) < 140
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "w x y z " * 200_000
+    rows = spark.createDataFrame([(3, long), (1, long + "end"), (2, "other words here")], "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("fp", "node", "forms", "comp", "cell", "component_id", "row", "kept")})
+    assert {(r.doc_id, r.component_id) for r in S.components(rows).collect()} == {(1, 1), (3, 1), (2, 2)}
+    kept = S.keep_one(rows)
+    assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == {1, 2}  # of five shingles four are shared
+
+
 def test_keep_one(spark, odd, empty):
     kept = S.keep_one(odd).collect()
     # 1, 2 and 3 have no words; 5, its repeat and 6 one text; the row without id is alone.
