@@ -89,7 +89,8 @@ def frame_times(times: Column) -> Column:
 
 def words(text: Column, limit: int | None = None) -> Column:
     """Words between white space, a stand-in for an external tokenizer, cut to limit."""
-    own = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # With a limit the text is split no further than needed: a leading blank and the rest take a piece each.
+    own = F.filter(F.split(text, r"[\x20\x09-\x0D]+", limit + 2 if limit else -1), lambda w: w != "")
     return F.slice(own, 1, limit) if limit else own
 
 

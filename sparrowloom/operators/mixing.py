@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.hashing import uniform
 
 
+#: Blocks that are summed together before the next level's sums.
+BLOCKS = 65_536
+
+
 def global_ordinal(rows: DataFrame, partition: list[str], order: list[Column], block: Column) -> DataFrame:
-    """rows with ordinal, their place by (block, order) within partition; block must grow with order.
+    """rows with ordinal, their place by (block, order) within partition; block, a whole number, must grow with order.
 
-    Blocks are counted first, so a large partition is numbered by many tasks.
+    Blocks are counted first, then BLOCKS of them at a time, so neither the rows
+    nor the blocks of a large partition meet in one task.
     """
     marked = rows.withColumn("_block", block)
-    counts = marked.groupBy(*partition, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*partition).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*partition, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    counts = marked.groupBy(*partition, "_block").agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.col("_block") / BLOCKS))
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy(*partition, "_group").agg(F.sum("_n").alias("_gn"))
+    groups = groups.select(*partition, "_group", F.coalesce(F.sum("_gn").over(earlier(partition, "_group")), F.lit(0)).alias("_groups_ahead"))
+    inside = counts.select(*partition, "_block", "_group", F.coalesce(F.sum("_n").over(earlier([*partition, "_group"], "_block")), F.lit(0)).alias("_inside"))
+    offsets = inside.join(groups, [*partition, "_group"]).select(*partition, "_block", (F.col("_inside") + F.col("_groups_ahead")).alias("_ahead"))
     within = Window.partitionBy(*partition, "_block").orderBy(*order)
     return marked.join(offsets, [*partition, "_block"]).withColumn("ordinal", F.col("_ahead") + F.row_number().over(within) - 1).drop("_block", "_ahead")
 
 
-def shuffled(rows: DataFrame, partition: list[str], key: str, salt: str, blocks: int = 1024) -> DataFrame:
+def shuffled(rows: DataFrame, partition: list[str], key: str, salt: str, blocks: int = BLOCKS) -> DataFrame:
     """rows with ordinal in an order by hash, the same on every run."""
     u = uniform(F.col(key), salt)
     return global_ordinal(rows.withColumn("_u", u), partition, [F.col("_u"), F.col(key)], F.floor(F.col("_u") * blocks)).drop("_u")

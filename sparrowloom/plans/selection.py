@@ -9,6 +9,7 @@ from ..functions import arrays as V
 from ..functions.hashing import uniform, uniform_sql
 from ..operators import metrics as M
 from ..operators import selection as S
+from ..operators.mixing import global_ordinal
 from ..session import table
 from .registry import query
 
@@ -143,15 +144,20 @@ def success_rate(spark: SparkSession, d: str) -> DataFrame:
     return M.success_rates(episodes, "source", "lang", "quality").withColumn("rate", F.round("rate", 6))
 
 
-_PAIR = _V + ", p AS (SELECT a.vec_id, a.label, a.x, b.x AS y FROM v a JOIN v b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM v))"
+_PAIR = _V + ", o AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS o FROM v), p AS (SELECT a.vec_id, a.label, a.x, b.x AS y FROM o a JOIN o b ON b.o = (a.o + 1) % (SELECT count(*) FROM v))"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector with the next one (the last with the first), by an equi-join on the shifted id."""
-    v = _vectors(spark, d)
+    """Each vector with the next one (the last with the first), by an equi-join on the shifted place."""
+    v = _placed(spark, d)
     n = v.agg(F.count("*").alias("n"))
-    keyed = v.join(F.broadcast(n)).withColumn("other", (F.col("vec_id") + 1) % F.col("n")).drop("n")
-    return keyed.join(v.select(F.col("vec_id").alias("other"), F.col("x").alias("y")), "other").select("vec_id", "label", "x", "y")
+    keyed = v.join(F.broadcast(n)).withColumn("other", (F.col("ordinal") + 1) % F.col("n")).drop("n")
+    return keyed.join(v.select(F.col("ordinal").alias("other"), F.col("x").alias("y")), "other").select("vec_id", "label", "x", "y")
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors numbered by id without gaps."""
+    return global_ordinal(_vectors(spark, d).withColumn("all", F.lit(0)), ["all"], [F.col("vec_id")], F.floor(F.col("vec_id") / 4096)).drop("all")
 
 
 @query(_PAIR + ", r AS (SELECT label, unnest(x) AS a, unnest(y) AS b, unnest(range(0, 64)) AS i FROM p) SELECT label, round(avg((a - b) * (a - b)) FILTER (WHERE i % 3 <> 0), 6) AS mse FROM r GROUP BY label")
@@ -183,10 +189,10 @@ def prior_logp(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_V + ", t AS (SELECT vec_id, x, lead(label) OVER (ORDER BY vec_id) AS nxt FROM v WHERE vec_id // 50 >= 0), u AS (SELECT vec_id, x[1:10] AS x, CASE WHEN nxt % 4 = 0 THEN -100 ELSE nxt END AS nxt FROM t) SELECT round(avg(ln(list_sum([exp(e) FOR e IN x])) - x[nxt + 1]), 6) AS loss, count(*) AS n FROM u WHERE nxt IS NOT NULL AND nxt <> -100")
 def next_token_ce(spark: SparkSession, d: str) -> DataFrame:
-    """Labels shifted by one, -100 ignored; the neighbour comes by an equi-join on the id, not a global window."""
-    v = _vectors(spark, d)
-    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.when(F.col("label") % 4 == 0, -100).otherwise(F.col("label")).alias("nxt"))
-    kept = v.select("vec_id", F.slice("x", 1, 10).alias("x")).join(nxt, "vec_id").where("nxt <> -100")
+    """Labels shifted by one, -100 ignored; the neighbour comes by an equi-join on the place, not a global window."""
+    v = _placed(spark, d)
+    nxt = v.select((F.col("ordinal") - 1).alias("ordinal"), F.when(F.col("label") % 4 == 0, -100).otherwise(F.col("label")).alias("nxt"))
+    kept = v.select("ordinal", F.slice("x", 1, 10).alias("x")).join(nxt, "ordinal").where("nxt <> -100")
     return kept.agg(F.round(F.avg(V.log_sum_exp(F.col("x")) - F.element_at("x", F.col("nxt") + 1)), 6).alias("loss"), F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +24,12 @@ def noop_filter(events: DataFrame, key: str, order: str, norm: str, grip: str, t
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(order)
         moved, last = state.get if state.exists else (False, None)
-        flags = []
-        for small, g in zip(rows[norm] < threshold, rows[grip], strict=True):
-            dropped = bool(small and (not moved or g == last))
-            if not dropped:
-                moved, last = True, g
-            flags.append(dropped)
-        state.update((moved, last))
-        yield pd.DataFrame({key: rows[key], order: rows[order], "dropped": flags})
+        small, grips = (rows[norm] < threshold).to_numpy(), rows[grip].to_numpy()
+        # As in the batch: a dropped row carries the grip of the last kept one, so the row before is what counts.
+        before = np.logical_or.accumulate(np.concatenate([[moved], ~small]))[:-1]
+        same = grips == np.concatenate([np.array([last], dtype=object), grips[:-1].astype(object)])
+        state.update((bool(moved or (~small).any()), grips[-1]))
+        yield pd.DataFrame({key: rows[key], order: rows[order], "dropped": small & (~before | same)})
 
     fields = {f.name: f.dataType.simpleString() for f in events.schema}
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {fields[key]}, {order} {fields[order]}, dropped boolean", f"moved boolean, last {fields[grip]}", "append", GroupStateTimeout.NoTimeout)
@@ -42,9 +41,9 @@ def plan_steps(requests: DataFrame, key: str, order: str, horizon: int) -> DataF
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(order)
         (taken,) = state.get if state.exists else (0,)
-        n = range(taken, taken + len(rows))
+        n = np.arange(taken, taken + len(rows))
         state.update((taken + len(rows),))
-        yield pd.DataFrame({key: rows[key], order: rows[order], "plan": [i // horizon for i in n], "step": [i % horizon for i in n]})
+        yield pd.DataFrame({key: rows[key], order: rows[order], "plan": n // horizon, "step": n % horizon})
 
     fields = {f.name: f.dataType.simpleString() for f in requests.schema}
     return requests.groupBy(key).applyInPandasWithState(step, f"{key} {fields[key]}, {order} {fields[order]}, plan bigint, step bigint", "taken bigint", "append", GroupStateTimeout.NoTimeout)
@@ -75,3 +74,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str |
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def store(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run all that is there into Parquet files; a run with the same checkpoint goes on where the last one stopped."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

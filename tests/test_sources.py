@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sparrowloom.operators.annotations import manifest, manifest_row
 from sparrowloom.operators.config import flatten_json, merge, resolve
 from sparrowloom.sources import readers, sinks
 
@@ -54,14 +55,38 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_metrics(rows.limit(1), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
-    sinks.write_manifest(rows.agg(F.count("*").alias("num")), str(tmp_path / "m"))
-    assert spark.read.json(str(tmp_path / "m")).first().num == 10
+    made = manifest(rows, "set", F.col("id").cast("string"))
+    sinks.write_manifest(made, str(tmp_path / "m"))
+    assert {(r.dataset_name, r.num_images) for r in spark.read.json(str(tmp_path / "m")).collect()} == {("set", 10)} and made.count() == 10
+    assert manifest_row(rows, "set", F.col("id").cast("string")).first().datalist == [str(i) for i in range(10)]
+    with pytest.raises(ValueError):
+        manifest_row(rows, "set", F.col("id").cast("string"), most=9)
     assert spark.read.parquet(sinks.write_snapshot(rows, str(tmp_path), 5)).count() == 10
     plan = sinks.shard_plan(spark.createDataFrame([(i, 40) for i in range(5)], "i int, size int"), "i", "size", 100)
     assert [r.shard for r in plan.orderBy("i").collect()] == [0, 0, 0, 1, 1]
 
 
+def test_shards_index_and_retention(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = spark.createDataFrame([(f"p{i}", 40, i) for i in range(7)], "name string, size int, v int")
+    first = {r.name: r.file for r in sinks.write_shards(rows, path, "name", "size", 100).collect()}
+    assert set(first.values()) == {f"file=model-0000{i}-of-00003" for i in (1, 2, 3)}
+    index = {r.name: r.file for r in sinks.write_shards(rows.where("v < 4"), path, "name", "size", 100).collect()}
+    assert sorted(p.name for p in (tmp_path / "m").iterdir() if p.is_dir()) == ["file=model-00001-of-00002", "file=model-00002-of-00002", "index"]
+    assert {r.name: r.file for r in spark.read.json(f"{path}/index").collect()} == index
+    assert all(spark.read.parquet(f"{path}/{f}").where(F.col("name") == n).count() == 1 for n, f in index.items())
+    for step in (5, 10, 100):
+        sinks.write_run(rows, str(tmp_path / "run"), step, limit=2)
+    assert sorted(p.name for p in (tmp_path / "run").iterdir()) == ["checkpoint-10", "checkpoint-100"]
+    assert json.loads(spark.read.text(str(tmp_path / "run/checkpoint-100/metadata")).first()[0]) == {"global_step": 100}
+
+
 def test_config(spark):
+    deep = {"k": 1}
+    for _ in range(12):
+        deep = {"n": deep}
+    nested = spark.createDataFrame([(2, json.dumps(deep)), (3, "{}"), (4, None)], "id int, j string")
+    assert {(r.id, r.path, r.value) for r in flatten_json(nested, "j", ["id"]).collect()} == {(2, "n." * 12 + "k", "1"), (4, "", None)}
     tree = {"a": {"b": [1, {"c": "x"}]}, "d": None, "e": 2.5}
     rows = spark.createDataFrame([(1, json.dumps(tree))], "id int, j string")
     got = {r.path: r.value for r in flatten_json(rows, "j", ["id"]).collect()}

@@ -52,3 +52,18 @@ def test_interleave(stream):
     got = jobs.drain(jobs.interleave({"a": ordered(stream), "b": ordered(stream).drop("value")}), "both")
     assert {(r.loader, r.n) for r in got.groupBy("loader").agg(F.count("*").alias("n")).collect()} == {("a", stream[1].count()), ("b", stream[1].count())}
     assert got.where("loader = 'b' and value is not null").count() == 0
+
+
+def test_restart_goes_on_from_the_checkpoint(spark, sf_dir, stream, tmp_path):
+    """Two runs over growing input give what the batch gives: state and place are kept between them."""
+    e = stream[1]
+    third = F.least(F.lit(2), F.floor(F.col("idx") / 30))
+    read = lambda: spark.readStream.schema(e.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    for parts in ((0, 1), (2,)):
+        for i in parts:
+            e.where(third == i).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+            jobs.store(jobs.noop_filter(read(), "user_id", "idx", "value", "event_type", 5.0), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    ids = {(r.user_id, r.idx): r.event_id for r in e.collect()}
+    want = {r.event_id: r.dropped for r in traj_noop_drop(spark, sf_dir).collect()}
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == len(want) and {ids[(r.user_id, r.idx)]: r.dropped for r in got} == want
