@@ -140,7 +140,7 @@ def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         entries.withColumn("copy", F.row_number().over(order))
         .groupBy("doc_id", "source", "size", "copy")
         .agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).cast("bigint").alias("taken"))
-        .select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+        .select("doc_id", "size", "source_size", "target", "taken")
     )
 
 
@@ -169,6 +169,6 @@ WITH docs AS (
 ), taken AS (
   SELECT *, sum(size) OVER (ORDER BY finish, spot, doc_id, size, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 1.5 * (SELECT sum(size) FROM docs) AS taken FROM queued
 )
-SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(sum(size) FILTER (WHERE taken), 0)::BIGINT AS taken
+SELECT doc_id, size, source_size, target, coalesce(sum(size) FILTER (WHERE taken), 0)::BIGINT AS taken
 FROM taken GROUP BY doc_id, size, source_size, target
 """
