@@ -19,7 +19,8 @@ a source with a third of all rows is spread over many tasks. Texts are only
 read for their sizes; the sums run on slim rows.
 
 Defined results: a null or empty text has size 0 and is never taken for more
-than 0 words; a null source is a source, last in order; documents of equal id
+than 0 words; a long text is one entry like any other, and the one that the
+budget ends in is left out whole; a null source is a source, last in order; documents of equal id
 and size are taken in turn, each on its own; reruns agree, since order comes
 from hashes of ids; an empty table gives an empty one; further columns are
 ignored (kept as they are by mix()).

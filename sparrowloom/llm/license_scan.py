@@ -9,9 +9,11 @@ their own only piece.
 
 The work is one narrow map over the scan: no shuffle, no state between rows.
 
-Defined results: a null or empty text has no words and no hits; repeated rows
-and ids give a row each; an empty table gives an empty one; further columns of
-the input are ignored, whatever their names.
+Defined results: a null or empty text has no words and no hits; a long text is
+scanned whole, in time proportional to its length and its seeds; of a notice's
+matches that overlap the leftmost counts, notices that overlap each other count
+each; repeated rows and ids give a row each; an empty table gives an empty one;
+further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

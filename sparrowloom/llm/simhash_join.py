@@ -24,9 +24,11 @@ of shingles in any common order, so a join on those misses none. The exact
 likeness decides, on what the fingerprints propose as well.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
-other; a null doc_id is in a component like any other but never names one where
-another id is; repeated rows give a row each; an empty table gives an empty one;
-further columns are ignored (kept as they are by keep_one()).
+other; a long text is taken whole; a bit set in exactly half of the values is 0;
+a null doc_id is in a component like any other but never names one where another
+id is; repeated rows give a row each (keep_one() keeps one of them); an empty
+table gives an empty one; further columns are ignored (kept as they are by
+keep_one()).
 """
 
 from __future__ import annotations

@@ -54,3 +54,49 @@ def test_spans_and_labels(spark, empty):
     assert hits[1] == [("mit", 1, "Mitt License")]
     assert ("reserved", 1, "ALL RIGHTS RESERVD") in hits[2]
     assert L.digest(L.scan_licenses(empty)).count() == 0
+
+
+def distance(a, b):
+    """Edit distance by the whole table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_found_notices_equal_edit_distance():
+    """A notice is found exactly where some stretch between blanks is within its edits, by the table of edit distances."""
+    import random
+
+    rng = random.Random(6)
+    notices = tuple(n for n in L.NOTICES if len(n.text) < 30)
+    hits = 0
+    for _ in range(150):
+        words = []
+        for _ in range(3):
+            text = list(rng.choice(notices).text)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(text))
+                text[at : at + rng.randrange(2)] = [rng.choice("aeilt nu")] * rng.randrange(2)
+            words += ["so", *"".join(text).split()]
+        normal = f" {' '.join(words)} "
+        found = {(notices[i].text, e) for i, _, _, e in L.find_notices(normal, notices)}
+        for n in notices:
+            starts = [i + 1 for i, c in enumerate(normal[:-1]) if c == " "]
+            ends = [i for i, c in enumerate(normal) if c == " "]
+            least = min((distance(n.text, normal[a:b]) for a in starts for b in ends if abs(b - a - len(n.text)) <= n.edits), default=99)
+            assert (least <= n.edits) == any(t == n.text for t, _ in found), (normal, n)
+            hits += least <= n.edits
+            assert all(least <= e <= n.edits for t, e in found if t == n.text)
+    assert hits > 200
+
+
+def test_clashing_columns_ties_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    long = "word " * 300_000 + "MIT license " + "x" * 3_000_000
+    rows = spark.createDataFrame([(1, long), (1, long), (2, "mit license mit license")], "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("hits", "n_words", "label", "score")})
+    got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word) for r in L.digest(L.scan_licenses(rows)).collect())
+    assert got == [(1, 300_003, 1, 300_000, 300_000)] * 2 + [(2, 4, 2, 0, 2)]
