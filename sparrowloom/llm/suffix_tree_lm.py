@@ -53,7 +53,9 @@ MIN_DIVERGENCE = 0.02
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 5, 1
 #: Different words that a worker holds before it passes its counts on.
-HELD_WORDS = 400_000
+HELD_WORDS = 100_000
+#: Counts in a row of the encoded table: a longer array is a large object of its own in the JVM.
+COUNTS_ROW = 20_000
 HELD_PAIRS = 2_000_000
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -122,7 +124,11 @@ def encoded(docs: DataFrame) -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             seen = known.counts > 0
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([known.hashed()[: len(seen)][seen]], pa.list_(pa.int64())), pa.array([known.counts[seen]], pa.list_(pa.int64()))], schema=kinds)
+            words, counts = known.hashed()[: len(seen)][seen], known.counts[seen]
+            starts = range(0, len(words), COUNTS_ROW)
+            cut_up = lambda x: pa.array([x[i : i + COUNTS_ROW] for i in starts], pa.list_(pa.int64()))
+            none = [pa.nulls(len(starts), kind) for kind in (pa.int64(), pa.int64(), pa.bool_())]
+            return pa.RecordBatch.from_arrays([*none, cut_up(words), cut_up(counts)], schema=kinds)
 
         for batch in batches:
             texts, held = batch.column(3).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
