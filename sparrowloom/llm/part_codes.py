@@ -9,9 +9,10 @@ parts, and each part position has a codebook of ENTRIES integer entries.
   (once, in the shared folder), boxes and sums of the nodes follow from it.
 * A tree over entries: split likewise, down to single entries.
 * A round walks both trees down together. For a pair of nodes the boxes bound the
-  squared distances below and above, in integers; a node of entries goes
-  where its lower bound exceeds another's upper bound, since then each of its entries
-  is farther than some other for every part of the node. A node left with one entry is
+  squared distances below and above, in integers; a node of entries goes where
+  its lower bound exceeds another's upper bound, since then each of its entries is
+  farther than some other for every part of the node. Single entries also go where another is
+  nearer at every corner of the node's box. A node left with one entry is
   assigned whole, by its cached sum and count; only parts of leaves with several
   entries left are compared one by one, again in integers. So nothing is
   approximate and ties go to the lower index.
@@ -46,9 +47,9 @@ from .common import cut, drop_cut, table
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
 #: Vectors that share a tree, and the parts of a leaf (powers of two).
-BLOCK, LEAF = 2048, 8
+BLOCK, LEAF = 4096, 16
 #: Components below this leave room in 64 bits for squared distances of up to 128 components and their bounds.
-BOUND = 1 << 27
+BOUND = 1 << 26
 LONGEST = 2**63 - 1
 #: Labels up to which totals are broadcast, and shares into which a label's rows are dealt where there are more.
 BROADCAST_ROWS, SALTS = 100_000, 64
@@ -62,20 +63,20 @@ def kept(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
 
-def integers(vectors: list, width: int, scale: int, wide: bool) -> np.ndarray:
-    """floor(scale * x) as rows of `width` integers, filled up with zeros."""
-    if wide:
-        out = np.zeros((len(vectors), width), dtype=object)
-        for i, v in enumerate(vectors):
-            # A float is a fraction whose denominator is a power of two, so this floor is exact.
-            out[i, : len(v)] = [n * scale // d for n, d in (float(x).as_integer_ratio() for x in v)]
-        return out
-    out = np.zeros((len(vectors), width), dtype=np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = np.floor(np.asarray(v, dtype=np.float64) * scale)
+def integers(lengths: np.ndarray, values: np.ndarray, width: int, scale: int, wide: bool) -> np.ndarray:
+    """floor(scale * x) of vectors, given by their lengths and all their components, as rows of `width` integers filled up with zeros."""
+    out = np.zeros((len(lengths), width), dtype=object if wide else np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # A float is a fraction whose denominator is a power of two, so Python's floor of it is exact at any size.
+    out[row, place] = [n * scale // d for n, d in (float(x).as_integer_ratio() for x in values)] if wide else np.floor(values * scale).astype(np.int64)
     return out
 
 
+def of_lists(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(v) for v in vectors]), np.array([x for v in vectors for x in v], dtype=np.float64)
+
+
 def squared(x: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=-1)
 
@@ -131,6 +132,17 @@ def entry_levels(entries: np.ndarray) -> list[list[np.ndarray]]:
     return levels
 
 
+def beaten(low: np.ndarray, high: np.ndarray, entries: np.ndarray, rival: np.ndarray) -> np.ndarray:
+    """(node, entry): whether the node's rival entry is nearer than the entry all over the node's box.
+
+    The difference of two squared distances is linear in the part, so its largest value over a box is at a corner.
+    """
+    own = entries[rival]
+    away = entries - own[:, None, :]
+    corner = np.where(away > 0, high[:, None, :], low[:, None, :])
+    return squared(own)[:, None] - squared(entries) + 2 * (away * corner).sum(axis=-1) < 0
+
+
 def walk(tree: PartTree, entries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(level, nodes, alive): nodes of the tree and which entries they may belong to.
 
@@ -161,11 +173,12 @@ def walk(tree: PartTree, entries: np.ndarray) -> Iterator[tuple[int, np.ndarray,
             index = np.array([e[0] for e in at])
             full = np.zeros((len(nodes), len(entries)), dtype=bool)
             full[:, index] = alive
+            full &= ~beaten(tree.low[level][nodes], tree.high[level][nodes], entries, index[np.where(alive, most, most.max()).argmin(axis=1)])
             sure = full.sum(axis=1) == 1
             out = sure if level < tree.depth else np.ones(len(nodes), dtype=bool)
             if out.any():
                 yield level, nodes[out], full[out]
-            nodes, alive = nodes[~out], alive[~out]
+            nodes, alive = nodes[~out], full[~out][:, index]
         if level == tree.depth or not len(nodes):
             return
         nodes, alive = np.stack([2 * nodes, 2 * nodes + 1], axis=1).reshape(-1), np.repeat(alive, 2, axis=0)
@@ -173,7 +186,8 @@ def walk(tree: PartTree, entries: np.ndarray) -> Iterator[tuple[int, np.ndarray,
 
 def nearest(points: np.ndarray, alive: np.ndarray, entries: np.ndarray) -> np.ndarray:
     """The index of the nearest alive entry for each of points (node, place, component)."""
-    distance = squared(points[:, :, None, :] - entries)
+    # The squared distance without the part's own square, which all entries share.
+    distance = squared(entries) - 2 * (points @ entries.T)
     far = distance.max() + 1
     return np.where(alive[:, None, :], distance, far).argmin(axis=2)
 
@@ -211,22 +225,25 @@ def planter(width: int, parts: int, scale: int, wide: bool) -> Callable:
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("vec_ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.string())), ("vectors", pa.binary()), ("orders", pa.binary())])
 
-        def block(rows: list) -> pa.RecordBatch:
-            whole = integers([r[2] for r in rows], width, scale, wide)
+        def block(rows: list, whole: np.ndarray) -> pa.RecordBatch:
             orders = [PartTree(p).order.astype(np.int32) for p in np.split(whole, parts, axis=1)]
+            ids, labels = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.string())), pa.array([pack(whole, wide)], pa.binary()), pa.array([np.stack(orders).tobytes()], pa.binary())],
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([labels], pa.list_(pa.string())), pa.array([pack(whole, wide)], pa.binary()), pa.array([np.stack(orders).tobytes()], pa.binary())],
                 schema=schema,
             )
 
-        held = []
+        rows, held = [], np.zeros((0, width), dtype=object if wide else np.int64)
         for batch in batches:
-            held += zip(batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), batch.column("vector").to_pylist(), strict=True)
-            while len(held) >= BLOCK:
-                yield block(held[:BLOCK])
-                held = held[BLOCK:]
-        if held:
-            yield block(held)
+            vectors = batch.column("vector")
+            lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+            rows += zip(batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), strict=True)
+            held = np.concatenate([held, integers(lengths, vectors.flatten().to_numpy(zero_copy_only=False), width, scale, wide)])
+            while len(rows) >= BLOCK:
+                yield block(rows[:BLOCK], held[:BLOCK])
+                rows, held = rows[BLOCK:], held[BLOCK:]
+        if rows:
+            yield block(rows, held)
 
     return plant
 
@@ -324,7 +341,7 @@ def train(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
     width = max(1, -(-facts.width // parts)) * parts
     wide = (facts.most or 0.0) * scale >= BOUND or width // parts > 128
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(entries).collect()
-    start = integers([r.vector for r in first], width, scale, wide)
+    start = integers(*of_lists([r.vector for r in first]), width, scale, wide)
     books = [[[int(x) for x in e] for e in p] for p in np.split(start, parts, axis=1)]
     trees = cut(rows.select("vec_id", F.col("label").cast("string").alias("label"), "vector").mapInArrow(planter(width, parts, scale, wide), TREES), "trees")
     for _ in range(rounds):
