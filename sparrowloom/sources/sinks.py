@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import settle
+from ..operators.packing import pack
+
 
 def write_documents(rows: DataFrame, path: str, by: list[str] | None = None, per_file: int = 10_000) -> None:
     """JSON documents, per_file to a file, in a folder for each value of the columns by."""
@@ -30,14 +33,8 @@ def append_metrics(rows: DataFrame, path: str) -> None:
 
 
 def shard_plan(parameters: DataFrame, order: str, size: str, most: int) -> DataFrame:
-    """parameters with shard: a new one begins where the running size passes another multiple of most.
-
-    A parameter belongs to the shard in which it begins; one larger than most
-    has its shard's rest for itself. The sizes of a model's parameters, not
-    their values, pass through this window.
-    """
-    before = F.coalesce(F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parameters.withColumn("shard", F.floor(before / F.lit(most)))
+    """parameters with shard: cut in order so that no shard is above most, unless it is one parameter (operators/packing)."""
+    return pack(parameters, [order], size, most)
 
 
 def write_snapshot(rows: DataFrame, path: str, step: int) -> str:
@@ -48,12 +45,12 @@ def write_snapshot(rows: DataFrame, path: str, step: int) -> str:
 
 
 def write_shards(parameters: DataFrame, path: str, order: str, size: str, most: int) -> DataFrame:
-    """A snapshot in shards of at most about `most` by size, and its index: (name, file) for each row, as JSON under index.
+    """A snapshot in shards of at most `most` by size, and its index: (name, file) for each row, as JSON under index.
 
     One job writes all shards, a task for each; their numbers are in the names.
     What an earlier snapshot left in the folder goes.
     """
-    planned = shard_plan(parameters, order, size, most)
+    planned = settle(shard_plan(parameters, order, size, most))
     count = planned.agg(F.coalesce(F.max("shard") + 1, F.lit(0)).cast("bigint").alias("_count"))
     named = planned.join(F.broadcast(count)).withColumn("file", F.format_string("model-%05d-of-%05d", F.col("shard") + 1, "_count"))
     named.drop("shard", "_count").repartition("file").write.mode("overwrite").partitionBy("file").parquet(path)

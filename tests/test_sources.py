@@ -63,14 +63,14 @@ def test_sinks(spark, tmp_path):
         manifest_row(rows, "set", F.col("id").cast("string"), most=9)
     assert spark.read.parquet(sinks.write_snapshot(rows, str(tmp_path), 5)).count() == 10
     plan = sinks.shard_plan(spark.createDataFrame([(i, 40) for i in range(5)], "i int, size int"), "i", "size", 100)
-    assert [r.shard for r in plan.orderBy("i").collect()] == [0, 0, 0, 1, 1]
+    assert [r.shard for r in plan.orderBy("i").collect()] == [0, 0, 1, 1, 2]
 
 
 def test_shards_index_and_retention(spark, tmp_path):
     path = str(tmp_path / "m")
     rows = spark.createDataFrame([(f"p{i}", 40, i) for i in range(7)], "name string, size int, v int")
     first = {r.name: r.file for r in sinks.write_shards(rows, path, "name", "size", 100).collect()}
-    assert set(first.values()) == {f"file=model-0000{i}-of-00003" for i in (1, 2, 3)}
+    assert set(first.values()) == {f"file=model-0000{i}-of-00004" for i in (1, 2, 3, 4)}
     index = {r.name: r.file for r in sinks.write_shards(rows.where("v < 4"), path, "name", "size", 100).collect()}
     assert sorted(p.name for p in (tmp_path / "m").iterdir() if p.is_dir()) == ["file=model-00001-of-00002", "file=model-00002-of-00002", "index"]
     assert {r.name: r.file for r in spark.read.json(f"{path}/index").collect()} == index
