@@ -69,10 +69,10 @@ def round_robin(spark: SparkSession, loaders: list[str], per_step: int, steps: i
     return place.withColumn("loader", F.element_at(F.array(*map(F.lit, loaders)), (F.pmod(draw, F.lit(len(loaders))) + 1).cast("int")))
 
 
-def weighted_draws(spark: SparkSession, weights: dict[str, float], steps: int, salt: str) -> DataFrame:
-    """(step, loader, ordinal): a loader for each step by weight, and how often it was drawn before."""
+def pick_loader(step: Column, weights: dict[str, float], salt: str) -> Column:
+    """A loader for a step by weight, by hash."""
     total = sum(weights.values())
-    u = uniform(F.col("step"), salt)
+    u = uniform(step, salt)
     pick, upto = F.lit(list(weights)[-1]), 0.0
     bounds = []
     for name, w in weights.items():
@@ -80,7 +80,12 @@ def weighted_draws(spark: SparkSession, weights: dict[str, float], steps: int, s
         bounds.append((name, upto))
     for name, bound in reversed(bounds[:-1]):
         pick = F.when(u <= bound, F.lit(name)).otherwise(pick)
-    drawn = spark.range(steps).withColumnRenamed("id", "step").withColumn("loader", pick)
+    return pick
+
+
+def weighted_draws(spark: SparkSession, weights: dict[str, float], steps: int, salt: str) -> DataFrame:
+    """(step, loader, ordinal): a loader for each step by weight, and how often it was drawn before."""
+    drawn = spark.range(steps).withColumnRenamed("id", "step").withColumn("loader", pick_loader(F.col("step"), weights, salt))
     return global_ordinal(drawn, ["loader"], [F.col("step")], F.floor(F.col("step") / 65536))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import choice, uniform, uniform_sql
 from ..operators import mixing as X
+from ..operators import resume as R
 from ..session import table
 from .registry import query
 
@@ -197,3 +198,25 @@ def story_window(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     start = F.floor(uniform(F.col("conv_id"), "window") * F.greatest(F.lit(1), F.size("turns") - 2)).cast("int")
     return c.select("conv_id", F.array_join(F.transform(F.slice("turns", start + 1, F.lit(2)), lambda t: t.cast("string")), " ").alias("kept"))
+
+
+@query(f"""
+WITH e AS (SELECT event_type AS loader, event_id, floor({uniform_sql('event_id', 'block')} * 256)::INT AS block FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+n AS (SELECT loader, count(*) AS size FROM e GROUP BY loader), total AS (SELECT sum(size)::BIGINT AS n FROM n),
+w AS (SELECT step, {_draw_sql(list(_MIX), list(_MIX.values()))} AS loader FROM (SELECT step, {uniform_sql('step', 'resumed')} AS u FROM (SELECT unnest(range(0, (SELECT 2 * n FROM total))) AS step))),
+d AS (SELECT step, loader, row_number() OVER (PARTITION BY loader ORDER BY step) - 1 AS k FROM w),
+z AS (SELECT step, d.loader, k // size AS epoch, k % size AS place FROM d JOIN n USING (loader)),
+o AS (
+  SELECT loader, epoch, event_id, row_number() OVER (PARTITION BY loader, epoch ORDER BY
+    {uniform_sql("loader || ':' || block || ':' || epoch", 'resumed')}, block, {uniform_sql("event_id || ':' || epoch", 'resumed')}, event_id) - 1 AS place
+  FROM e JOIN (SELECT DISTINCT loader, epoch FROM z) USING (loader)
+)
+SELECT step, loader, epoch, event_id FROM z JOIN o USING (loader, epoch, place), total WHERE step % 3 = 1 AND step // 3 >= n // 3
+""")
+def mix_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Worker 1 of 3 goes on after a third of all rows' number of its steps, to twice all rows' number of steps in total."""
+    rows = table(spark, d, "events").select("event_type", "event_id")
+    mix = R.mix_of(rows, "event_type", "event_id", _MIX, "resumed")
+    total = rows.where(F.col("event_type").isin(*_MIX)).count()
+    first = total // 3
+    return R.read_from(mix, 1, 3, first, max(0, (2 * total - 1 - 1) // 3 + 1 - first)).select("step", "loader", "epoch", "event_id")
