@@ -15,6 +15,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.driver.memory", os.environ.get("SPARROWLOOM_MEMORY", memory))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
