@@ -4,26 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .mixing import BLOCKS, global_ordinal
 
 
-def settle(rows: DataFrame) -> DataFrame:
-    """rows from a checkpoint in the cluster's shared folder (spark.checkpoint.dir), which lost executors don't take along.
-
-    Only a local session without that setting gets a temporary folder.
-    """
-    spark = rows.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only in a local session without that setting."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="sparrowloom-")
+    set_dir = context._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (set_dir.get() if set_dir.isDefined() else None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sparrowloom-")
+    if not set_dir.isDefined():
         context.setCheckpointDir(found)
+    return found
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """rows from a checkpoint in the shared folder, which lost executors don't take along."""
+    shared_dir(rows.sparkSession)
     return rows.checkpoint()
 
 
