@@ -7,6 +7,11 @@ every candidate place. The regex library's bounded-error matching then verifies
 the candidates, counts the edits and gives the spans. Notices with k = 0 are
 their own only piece.
 
+A few edits make another phrase of a short notice ("omit license", "bad
+license"), so an edited match of a notice of up to SHORT words only counts if it
+has as many words, each with the notice's first letter, and keeps all letters of words of up to
+three letters, in order, and three quarters of longer ones (kept()).
+
 The work is one narrow map over the scan: no shuffle, no state between rows.
 
 Defined results: a null or empty text has no words and no hits; a long text is
@@ -66,6 +71,9 @@ NOTICES = (
     Notice("all rights reserved", "reserved", 1),
 )
 
+#: Words of a notice up to which edits must leave its words as they are to be told.
+SHORT = 4
+
 HIT_TYPE = "array<struct<label:string,start_word:bigint,end_word:bigint,start:bigint,end:bigint,edits:int,base:boolean,fit:double>>"
 OUT = pa.schema(
     [
@@ -138,19 +146,47 @@ def find_notices(normal: str, notices: tuple[Notice, ...]) -> list[tuple[int, in
     return sorted(found)
 
 
+def distance(a: str, b: str) -> int:
+    """Insertions, deletions and replacements that make b of a."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(left + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def kept(notice: str, found: str) -> bool:
+    """Whether an edited match still reads as a short notice."""
+    words, own = notice.split(" "), found.split(" ")
+    if len(words) > SHORT:
+        return True
+
+    def same(word: str, other: str) -> bool:
+        if word[0] != other[0]:
+            return False
+        if len(word) <= 3:
+            rest = iter(other)
+            return all(c in rest for c in word)
+        return distance(word, other) <= len(word) // 4
+
+    return len(words) == len(own) and all(map(same, words, own))
+
+
 def scan_text(text: str | None, base: tuple[Notice, ...] = BASE, notices: tuple[Notice, ...] = NOTICES) -> tuple[int, list[dict]]:
     words = words_of(text)
     if not words:
         return 0, []
     normal = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
-    found = find_notices(normal, base + notices)
+    every = base + notices
+    found = [f for f in find_notices(normal, every) if not f[3] or kept(every[f[0]].text, normal[f[1] : f[2]])]
     if not found:
         return len(words), []
     spans = [m.span() for m in _WORD.finditer(text)]
     hits = []
     seen, upto = 0, 0
     for i, start, end, edits in sorted(found, key=lambda x: x[1]):
-        notice = (base + notices)[i]
+        notice = every[i]
         seen += normal.count(" ", upto, start)
         upto = start
         first = seen - 1

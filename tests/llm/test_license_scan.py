@@ -100,3 +100,24 @@ def test_clashing_columns_ties_and_long_texts(spark):
     rows = spark.createDataFrame([(1, long), (1, long), (2, "mit license mit license")], "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("hits", "n_words", "label", "score")})
     got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word) for r in L.digest(L.scan_licenses(rows)).collect())
     assert got == [(1, 300_003, 1, 300_000, 300_000)] * 2 + [(2, 4, 2, 0, 2)]
+
+
+def labels(text):
+    return {h["label"] for h in L.scan_text(text)[1]}
+
+
+def test_other_phrases_are_no_notices():
+    for text in ("please omit license text", "they emit license events", "the bad license plate", "an admit license", "a mat license", "mit licenses act of", "the mitlicense file", "a public mozilla license", "isa license", "ask license", "all nights reserved", "a mozilla panic license"):
+        assert labels(text) <= ({"mit"} if "licenses act" in text else set()), text
+    for text, label in (("Mitt License", "mit"), ("MIT licence", "mit"), ("bsd licens", "bsd"), ("apach license", "apache"), ("Mozila Public Licence", "mpl"), ("all rights reservd", "reserved"), ("gnu generel publc license", "gpl"), ("permission is here by granted, free of charge, to any person", "mit")):
+        assert label in labels(text), text
+    assert labels("omit license, MIT license") == {"mit"}
+
+
+def test_distance_by_the_whole_table():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(7))) for _ in range(2))
+        assert L.distance(a, b) == distance(a, b)
