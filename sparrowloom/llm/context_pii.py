@@ -1,14 +1,18 @@
 """PII: base patterns, and bootstrapped contextual extraction of further identifiers.
 
-Base patterns (email, ip, card, phone) give the seed entities. Every seed and
+Base patterns (email, ip, card, phone) give the seed entities, and so do secrets:
+tokens of SECRET_CHARS characters or more with letters and digits that are
+assigned to a word for one (`token = "..."`). Every seed and
 every other identifier-shaped token (a run of LEAST_TOKEN characters or more with
 a digit or an @, with the groups of digits after it) is an instance. Its lexical
-patterns are the word left of it, the two words left of it, and the word right of
-it. Pattern and instance nodes form a graph whose edges count occurrences. From
+patterns are the word left of it, the two words left of it, the word right of
+it, and its own shape (runs of letters and digits; the length, where it is hexadecimal).
+Shapes speak for emails and secrets alone: of the other kinds a shape tells no more than
+the base pattern, whose check (a card's last digit, an ip's parts) the instance failed. Pattern and instance nodes form a graph whose edges count occurrences. From
 the seeds on, round by round until nothing is added:
 
     pattern(p, kind)  = n with confident instances of the kind / (n with all + 1)
-    instance(i, kind) = the best over the three sides of the mean of its patterns' scores by n
+    instance(i, kind) = the best over the four sides of the mean of its patterns' scores by n
 
 A pattern counts with SUPPORT different confident instances and a score of
 CONFIDENT or more; an instance with a score of CONFIDENT or more is confident
@@ -46,6 +50,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 KINDS = ("email", "ip", "card", "phone")
+EVERY_KIND = (*KINDS, "secret")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -57,7 +62,12 @@ LEAST_TOKEN = 6
 SUPPORT = 3
 CONFIDENT = 0.7
 CONTEXT_CHARS, WORD_CHARS = 80, 32
-SIDES = ("left", "left2", "right")
+SIDES = ("left", "left2", "right", "shape")
+#: Kinds that shapes speak for.
+SHAPED = ("email", "secret")
+SECRET_CHARS = 16
+# Words to which secrets are assigned.
+SECRET_WORDS = r"(?:^|[^a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[^a-z0-9]*[=:][^a-z0-9]*$"
 BROADCAST_ROWS = 1_000_000
 
 MAYBE = "text is not null and (contains(text, '@') or text rlike '[0-9]')"
@@ -89,7 +99,7 @@ def valid(kind: Column, found: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, kind, start, end, start_octet, end_octet, found, left, left2, right) of base spans, and with kind "" of other tokens.
+    """(doc_id, body, kind, start, end, start_octet, end_octet, found, left, left2, right, shape, seed) of base spans, and with kind "" of other tokens; seed is the kind of a seed, else "".
 
     body is the text's hash: with doc_id it names a row up to repeats.
     """
@@ -113,6 +123,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
         (F.col("start") + F.length("found")).alias("end"),
         (F.col("start_octet") + F.octet_length("found")).alias("end_octet"),
     )
+    token = F.col("found")
+    both = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A")
+    shape = F.when(both & token.rlike(r"^[0-9A-Fa-f]{16,}+\z"), F.concat(F.lit("x"), F.length(token).cast("string"))).otherwise(F.left(runs, F.lit(CONTEXT_CHARS)))
+    assigned = F.lower("tail").rlike(SECRET_WORDS)
+    seed = F.when(F.col("kind") != "", F.col("kind")).when(both & (F.length(token) >= SECRET_CHARS) & assigned & ~F.contains(token, F.lit("@")), "secret").otherwise("")
+    kept = kept.withColumns({"shape": shape, "seed": seed})
     # A token that overlaps a base span is that span's, not a candidate.
     before = (Window.unboundedPreceding, -1)
     seen = Window.partitionBy("doc_id", "body").orderBy("start", F.col("kind") == "").rowsBetween(*before)
@@ -125,7 +142,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def discover(found: DataFrame) -> DataFrame:
     """(instance, kind): tokens outside the base patterns that confident patterns point to."""
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("word")) for s in SIDES])
-    nodes = found.select(F.lower("found").alias("instance"), "kind", F.explode(sides).alias("p")).select("p.side", "p.word", "instance", "kind").where("word <> ''")
+    nodes = found.select(F.lower("found").alias("instance"), F.col("seed").alias("kind"), F.explode(sides).alias("p")).select("p.side", "p.word", "instance", "kind").where("word <> ''")
     # Edges between patterns and instances, with the kind where the instance is a seed.
     edges = cut(nodes.groupBy("side", "word", "instance", "kind").agg(F.count("*").alias("n")), "pii-edges")
     totals = cut(edges.groupBy("side", "word").agg(F.sum("n").alias("word_n")), "pii-words")
@@ -139,7 +156,7 @@ def discover(found: DataFrame) -> DataFrame:
             mass = seeds.unionByName(unseen.join(known.select("instance", "kind"), "instance").groupBy("side", "word", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("many")))
         summed = mass.groupBy("side", "word", "kind").agg(F.sum("n").alias("n"), F.sum("many").alias("many")).where(F.col("many") >= SUPPORT)
         scored = summed.join(totals, ["side", "word"]).select("side", "word", "kind", (F.col("n") / (F.col("word_n") + 1)).alias("pattern"))
-        patterns = cut(scored.where(F.col("pattern") >= CONFIDENT), "pii-patterns")
+        patterns = cut(scored.where((F.col("pattern") >= CONFIDENT) & ((F.col("side") != "shape") | F.col("kind").isin(*SHAPED))), "pii-patterns")
         few = patterns.count() <= BROADCAST_ROWS
         passed = unseen.join(F.broadcast(patterns) if few else patterns, ["side", "word"]).groupBy("instance", "side", "kind").agg(F.sum(F.col("n") * F.col("pattern")).alias("s"))
         of_side = unseen.join(passed.select("instance").distinct(), "instance", "left_semi").groupBy("instance", "side").agg(F.sum("n").alias("side_n"))
@@ -158,13 +175,14 @@ def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, body, kind, start, end, start_octet, end_octet, base) of all rows with spans; rows of equal id and text once."""
     found = cut(occurrences(docs), "pii")
     base = found.where("kind <> ''").select("doc_id", "body", "kind", "start", "end", "start_octet", "end_octet", F.lit(True).alias("base"))
-    tokens = found.where("kind = ''").select("doc_id", "body", "start", "end", "start_octet", "end_octet", F.lower("found").alias("instance"))
-    more = tokens.join(discover(found), "instance").select("doc_id", "body", "kind", "start", "end", "start_octet", "end_octet", F.lit(False).alias("base"))
-    return base.unionByName(more)
+    tokens = found.where("kind = ''").select("doc_id", "body", "start", "end", "start_octet", "end_octet", "seed", F.lower("found").alias("instance"))
+    secrets = tokens.where("seed <> ''").select("doc_id", "body", F.col("seed").alias("kind"), "start", "end", "start_octet", "end_octet", F.lit(False).alias("base"))
+    more = tokens.where("seed = ''").join(discover(found), "instance").select("doc_id", "body", "kind", "start", "end", "start_octet", "end_octet", F.lit(False).alias("base"))
+    return base.unionByName(secrets).unionByName(more)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    place = F.array_position(F.array(*map(F.lit, EVERY_KIND)), F.col("kind"))
     listed = lambda hits: F.array_join(F.transform(hits, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     grouped = spans(docs).groupBy("doc_id", "body").agg(
         F.array_sort(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind", "base"))).alias("hits"),

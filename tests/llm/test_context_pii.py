@@ -74,7 +74,7 @@ def brute_discovery(found):
     for r in found.collect():
         for side in P.SIDES:
             if r[side]:
-                key = (side, r[side], r.found.lower(), r.kind)
+                key = (side, r[side], r.found.lower(), r.seed)
                 edges[key] = edges.get(key, 0) + 1
     kind_of, rounds = {}, 0
     confident = {(i, k): (0, 1.0) for _, _, i, k in edges if k}
@@ -83,14 +83,16 @@ def brute_discovery(found):
         pattern = {}
         for p in {(s, w) for s, w, _, _ in edges}:
             own = [(i, k, n) for (s, w, i, k), n in edges.items() if (s, w) == p]
-            for kind in P.KINDS:
+            for kind in P.EVERY_KIND:
+                if p[0] == "shape" and kind not in P.SHAPED:
+                    continue
                 good = [(i, n) for i, k, n in own if k == kind or k == "" and kind_of.get((i, kind))]
                 score = sum(n for _, n in good) / (sum(n for _, _, n in own) + 1)
                 if len(good) >= P.SUPPORT and score >= P.CONFIDENT:
                     pattern[p, kind] = score
         added = {}
         for i in {i for _, _, i, k in edges if k == ""}:
-            for kind in P.KINDS:
+            for kind in P.EVERY_KIND:
                 sides = []
                 for side in P.SIDES:
                     own = [((s, w), n) for (s, w, x, k), n in edges.items() if (s, x, k) == (side, i, "")]
@@ -141,3 +143,32 @@ def test_redact(spark, odd, empty):
                 end = b
         assert left[doc] == "".join(out) + text[end:]
     assert P.redact(odd).count() == odd.count() and P.redact(empty).count() == 0 == P.digest(empty.select("doc_id", "text")).count()
+
+
+def test_secrets_by_assignment_context_and_shape(spark):
+    """Assigned tokens are seeds; their shape finds others elsewhere, their left word those of another shape."""
+    rng = random.Random(9)
+    key = lambda n, letters: rng.choice("0123456789") + rng.choice(letters[10:]) + "".join(rng.choice(letters) for _ in range(n - 2))
+    low, plain = "0123456789abcdef", "0123456789ghijkl"
+    own = [key(40, low) for _ in range(14)]
+    texts = [f'so token = "{k}" it' for k in own[:10]] + [f"api_key: {key(24, plain)} ok" for _ in range(4)]
+    texts += [f"elsewhere {own[12].upper()} stands", f"and {own[13]}, too", f"commit {key(20, low)} is short", "version = 12345678901234567890", f"mytoken = {key(30, plain)}"]
+    found = P.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {(r.instance, r.kind) for r in P.discover(found).collect()}
+    assert got == brute_discovery(found) and {(own[12], "secret"), (own[13], "secret")} <= got
+    spans = {r.doc_id: (r.spans, r.base_sha256) for r in P.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [spans[i][0] for i in (0, 10, 14, 15, 16, 17)] == ["secret:12:52", "secret:9:33", "secret:10:50", "secret:4:44", "", ""]
+    assert all(sha == hashlib.sha256(b"").hexdigest() for _, sha in spans.values())
+    assert [r.text for r in P.redact(spark.createDataFrame([(1, texts[0])], "doc_id bigint, text string")).collect()] == ['so token = "[SECRET]" it']
+
+
+def test_masked_seeds_are_found_again(spark):
+    """A fourth of the seeds, told as plain tokens: those of a shape or context that the others teach come back."""
+    found = P.occurrences(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"))
+    share = F.pmod(F.xxhash64(F.lower("found")), F.lit(4)) == 0
+    masked = found.withColumns({"seed": F.when(share, "").otherwise(F.col("seed")), "kind": F.when(share, "").otherwise(F.col("kind"))})
+    hidden = {(r.instance, r.seed) for r in found.where(share & (F.col("seed") != "")).select(F.lower("found").alias("instance"), "seed").collect()}
+    got = {(r.instance, r.kind) for r in P.discover(masked).collect()}
+    own = [h for h in hidden if h[1] in P.SHAPED]
+    assert len(own) >= 20 and sum(h in got for h in own) >= 0.9 * len(own)
+    assert len(got - hidden) <= 0.1 * len(got)
