@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class _Number(str):
+    """A number as it was written."""
+
+
+def leaves(text: str | None) -> Iterator[tuple[str, str | None, str]]:
+    """(path, value, kind) of a JSON text's leaves, in its order; kind is string, number, boolean or null."""
+    if text is None:
+        yield "", None, "null"
+        return
+    try:
+        tree = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
+    except (ValueError, RecursionError):
+        yield "", text, "string"
+        return
+    todo = [("", tree)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, dict | list):
+            entries = node.items() if isinstance(node, dict) else enumerate(node)
+            todo += reversed([(f"{path}.{k}" if path else str(k), v) for k, v in entries])
+        elif isinstance(node, bool):
+            yield path, str(node).lower(), "boolean"
+        else:
+            yield path, node, "null" if node is None else "number" if isinstance(node, _Number) else "string"
+
+
 def flatten_json(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """(keys, path, value) for every leaf of a JSON object of any depth.
+    """(keys, path, value, kind) for every leaf of a JSON document of any depth.
 
     Arrays count as objects with their indices as keys. Objects and arrays
-    without entries have no leaf; a string that is itself JSON counts as such.
-    Each level is one generator over the last one's rows, in which leaves pass as
-    they are, so nothing is parsed twice or shuffled; whether a level is left is
-    asked by a job that ends with the first object found.
+    without entries have no leaf. A string stays a leaf, whatever it looks like;
+    numbers are as they were written. A text that is no JSON is one string, a null one a null.
+    One map over the rows: nothing is shuffled, and no job runs while the plan is made.
     """
-    kind = F.substring(F.ltrim(F.col("value")), 1, 1)
-    joined = lambda key: F.concat_ws(".", F.nullif(F.col("path"), F.lit("")), key)
-    entry = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
-    entries = (
-        F.when(kind == "{", F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: entry(joined(e["key"]), e["value"])))
-        .when(kind == "[", F.transform(F.from_json("value", "array<string>"), lambda v, i: entry(joined(i.cast("string")), v)))
-        .otherwise(F.array(entry(F.col("path"), F.col("value"))))
-    )
-    level = rows.select(*keys, F.lit("").alias("path"), F.col(column).alias("value"))
-    while not level.where(kind.isin("{", "[")).isEmpty():
-        level = level.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.path", "_e.value")
-    return level
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *leaf) for i, text in enumerate(batch.column(len(keys)).to_pylist()) for leaf in leaves(text)]
+            at, *made = zip(*found, strict=True) if found else ([], [], [], [])
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(place) for i in range(len(keys))), *(pa.array(m, pa.string()) for m in made)], names=[*keys, "path", "value", "kind"])
+
+    return rows.select(*keys, F.col(column).alias("_document")).mapInArrow(flat, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "path string", "value string", "kind string"]))
 
 
 def sorted_state(state):
@@ -40,11 +67,19 @@ def merge(base, override):
     return F.map_concat(kept, override)
 
 
-def resolve(value, settings, most: int = 8):
-    """value with each ${key} replaced by its setting; unknown ones stay. A few rounds, for settings that name others."""
+REFERENCE = r"\$\{([^{}]+)\}"
+
+
+def resolve(value, settings):
+    """value with every ${key} replaced by its setting, and those in the settings' values too; unknown ones stay, settings that name each other in a circle fail."""
+    known = lambda text: F.exists(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda n: F.map_contains_key(settings, n))
+
     def once(text, _):
-        name = F.regexp_extract(text, r"\$\{([^{}]+)\}", 1)
-        found = F.element_at(settings, name)
-        return F.when((name != "") & found.isNotNull(), F.replace(text, F.concat(F.lit("${"), name, F.lit("}")), found)).otherwise(text)
+        names = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+        found = lambda n: F.when(F.map_contains_key(settings, n), F.coalesce(F.element_at(settings, n), F.lit(""))).otherwise(F.concat(F.lit("${"), n, F.lit("}")))
+        parts = F.zip_with(F.split(text, REFERENCE, -1), names, lambda part, n: F.concat(part, F.when(n.isNull(), F.lit("")).otherwise(found(n))))
+        return F.when(known(text), F.array_join(parts, "")).otherwise(text)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), value, once)
+    # A chain names each setting once at most.
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(settings), F.lit(1))), value, once)
+    return F.when(known(done), F.raise_error(F.concat(F.lit("settings refer to each other in a circle: "), value))).otherwise(done)

@@ -222,7 +222,29 @@ def config_flatten(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.config import flatten_json
 
     deep = F.format_string('{"props": %s, "a": ["%s", {"b": {"c": {"d": {"e": [%d, "x"]}}}}], "n": %d}', F.coalesce("props", F.lit("null")), "event_type", "event_id", "user_id")
-    return flatten_json(table(spark, d, "events").select("event_id", deep.alias("tree")), "tree", ["event_id"]).where("value is not null")
+    return flatten_json(table(spark, d, "events").select("event_id", deep.alias("tree")), "tree", ["event_id"]).where("value is not null").select("event_id", "path", "value")
+
+
+@query("""
+SELECT event_id, unnest(['a', 'b', 'c', 'd.0', 'd.1', 'd.2.e']) AS path, unnest(['[x] not json', '{oops', '[' || event_id || ',2]', 'true', NULL, user_id || '.50']) AS value, unnest(['string', 'string', 'string', 'boolean', 'null', 'number']) AS kind FROM events
+""")
+def config_typed_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Strings that look like trees stay strings; numbers, truths and nulls keep their kind."""
+    from ..operators.config import flatten_json
+
+    tree = F.format_string('{"a": "[x] not json", "b": "{oops", "c": "[%d,2]", "d": [true, null, {"e": %d.50, "f": {}, "g": []}]}', "event_id", "user_id")
+    return flatten_json(table(spark, d, "events").select("event_id", tree.alias("tree")), "tree", ["event_id"])
+
+
+@query("""
+SELECT event_id, event_type || '/' || event_id || '/' || user_id || '/' || event_type || '-${unknown}-' || event_type || event_type || event_type || event_type || event_type || event_type || event_type || event_type || event_type || event_type AS resolved FROM events
+""")
+def config_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Many references in one value, some to settings that refer on."""
+    from ..operators.config import resolve
+
+    settings = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("id"), F.concat(F.lit("${kind}/"), F.col("event_id").cast("string")), F.lit("path"), F.concat(F.lit("${id}/"), F.col("user_id").cast("string"), F.lit("/${kind}")))
+    return table(spark, d, "events").select("event_id", resolve(F.lit("${path}-${unknown}-" + "${kind}" * 10), settings).alias("resolved"))
 
 
 @query("SELECT o_orderkey, (o_orderkey % 8 + 1) * 12 * 8 AS batch, floor(o_totalprice * 0.03)::BIGINT AS warmup, ceil(o_totalprice / ((o_orderkey % 8 + 1) * 12))::BIGINT AS updates FROM orders")

@@ -94,3 +94,20 @@ def test_config(spark):
     maps = spark.range(1).select(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("${a}/x")).alias("base"), F.create_map(F.lit("a"), F.lit("9")).alias("cli"))
     merged = maps.select(merge(F.col("base"), F.col("cli")).alias("m"))
     assert merged.select(resolve(F.col("m")["b"], F.col("m")).alias("v")).first().v == "9/x"
+
+
+def test_config_leaves_and_references(spark):
+    texts = ['{"a": "[x] not json", "b": "{oops", "c": "[1,2]"}', "not json", "[1.50, true, [], {}, null]", '"text"', "7", '{"x.y": {"": "e"}}', "[" * 5000 + "]" * 5000]
+    got = {}
+    for r in flatten_json(spark.createDataFrame(list(enumerate(texts)), "id int, j string"), "j", ["id"]).collect():
+        got.setdefault(r.id, []).append((r.path, r.value, r.kind))
+    assert got[0] == [("a", "[x] not json", "string"), ("b", "{oops", "string"), ("c", "[1,2]", "string")]
+    assert got[1] == [("", "not json", "string")] and got[2] == [("0", "1.50", "number"), ("1", "true", "boolean"), ("4", None, "null")]
+    assert got[3] == [("", "text", "string")] and got[4] == [("", "7", "number")] and got[5] == [("x.y.", "e", "string")]
+    settings = F.create_map(*[F.lit(x) for i in range(12) for x in (f"k{i}", str(i))], F.lit("deep"), F.lit("<${k1}${deeper}>"), F.lit("deeper"), F.lit("${k2}"), F.lit("odd"), F.lit("$1 \\ x"))
+    of = lambda text, m=settings: spark.range(1).select(resolve(F.lit(text), m).alias("v")).first().v
+    assert of("".join(f"${{k{i}}}" for i in range(12))) == "01234567891011"
+    assert of("a ${deep} ${no} ${odd} b") == "a <12> ${no} $1 \\ x b" and of("plain") == "plain" and of("") == ""
+    circle = F.create_map(F.lit("a"), F.lit("${b}"), F.lit("b"), F.lit("x${a}"))
+    with pytest.raises(Exception, match="in a circle"):
+        of("${a}", circle)
