@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import bound
+
 
 class _Number(str):
     """A number as it was written."""
@@ -72,14 +74,20 @@ REFERENCE = r"\$\{([^{}]+)\}"
 
 def resolve(value, settings):
     """value with every ${key} replaced by its setting, and those in the settings' values too; unknown ones stay, settings that name each other in a circle fail."""
-    known = lambda text: F.exists(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda n: F.map_contains_key(settings, n))
 
-    def once(text, _):
-        names = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
-        found = lambda n: F.when(F.map_contains_key(settings, n), F.coalesce(F.element_at(settings, n), F.lit(""))).otherwise(F.concat(F.lit("${"), n, F.lit("}")))
-        parts = F.zip_with(F.split(text, REFERENCE, -1), names, lambda part, n: F.concat(part, F.when(n.isNull(), F.lit("")).otherwise(found(n))))
-        return F.when(known(text), F.array_join(parts, "")).otherwise(text)
+    def of(own):
+        known = lambda names: F.exists(names, lambda n: F.map_contains_key(own, n))
+        names_in = lambda text: F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+        found = lambda n: F.when(F.map_contains_key(own, n), F.coalesce(F.element_at(own, n), F.lit(""))).otherwise(F.concat(F.lit("${"), n, F.lit("}")))
+
+        def once(text, _):
+            filled = lambda names: F.array_join(F.zip_with(F.split(text, REFERENCE, -1), names, lambda part, n: F.concat(part, F.when(n.isNull(), F.lit("")).otherwise(found(n)))), "")
+            return bound(names_in(text), lambda names: F.when(known(names), filled(names)).otherwise(text))
+
+        # A chain names each setting once at most.
+        done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))), value, once)
+        circle = F.raise_error(F.concat(F.lit("settings refer to each other in a circle: "), value))
+        return bound(done, lambda text: F.when(known(names_in(text)), circle).otherwise(text))
 
-    # A chain names each setting once at most.
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(settings), F.lit(1))), value, once)
-    return F.when(known(done), F.raise_error(F.concat(F.lit("settings refer to each other in a circle: "), value))).otherwise(done)
+    # Made once for each row, whatever expression the settings are.
+    return bound(settings, of)

@@ -108,12 +108,12 @@ def suite_bundles(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, v, HORIZONS[k]) for k, v in SUITES.items()], "bundle string, suites array<string>, horizon int").select("bundle", F.explode("suites").alias("suite"), "horizon")
 
 
-@query("SELECT doc_id, [255, 0, 0, 128, 255, 0, 255, 0, 255, 75, 255, 128, 148, 255, 240, 0][doc_id % 16 + 1]::INT AS red, [0, 255, 0, 0, 165, 240, 0, 255, 105, 0, 215, 128, 0, 127, 230, 255][doc_id % 16 + 1]::INT AS green, [0, 0, 255, 128, 0, 240, 255, 128, 180, 130, 0, 0, 211, 80, 140, NULL][doc_id % 16 + 1]::INT AS blue FROM documents WHERE doc_id % 16 < 15")
+@query("SELECT doc_id, [255, 0, 0, 128, 255, 0, 255, 0, 255, 75, 255, 128, 148, 255, 240, 0][doc_id % 15 + 1]::INT AS red, [0, 255, 0, 0, 165, 240, 0, 255, 105, 0, 215, 128, 0, 127, 230, 255][doc_id % 15 + 1]::INT AS green, [0, 0, 255, 128, 0, 240, 255, 128, 180, 130, 0, 0, 211, 80, 140, NULL][doc_id % 15 + 1]::INT AS blue FROM documents")
 def color_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Colours by name from a small broadcast table."""
     names = ("red", "green", "blue", "purple", "orange", "cyan", "magenta", "lime", "pink", "indigo", "gold", "olive", "violet", "coral", "khaki")
     colors = spark.createDataFrame([(k, *v) for k, v in MASK_COLORS.items()], "name string, red int, green int, blue int")
-    rows = table(spark, d, "documents").where("doc_id % 16 < 15").select("doc_id", F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 16 + 1).cast("int")).alias("name"))
+    rows = table(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 15 + 1).cast("int")).alias("name"))
     return rows.join(F.broadcast(colors), "name").select("doc_id", "red", "green", "blue")
 
 
