@@ -18,10 +18,14 @@ through that form, at most 65 fingerprints a form; the join then leaves out
 pairs already united, so dense groups of near copies do not emit all pairs.
 Components come from alternating star steps, in the shared folder.
 
-keep_one() goes on from there with the sets of five-word shingles, since it is to
-catch every copy of 0.8 similarity: two such sets share one of their first fifth
-of shingles in any common order, so a join on those misses none. The exact
-likeness decides, on what the fingerprints propose as well.
+keep_one() is to catch every copy of 0.8 similarity in five-word shingles. Four
+bits of 64 miss most of those, so its fingerprint is the set of shingles itself,
+a bit for each hash. The same embedding counts the bits of 256 segments, and the
+Manhattan distance of the counts never exceeds the number of shingles that two
+sets do not share. A grid on the counts would join texts of like length, so the
+candidates come from a join on shingles: two sets of that likeness share one of
+their first fifth in any common order, and none is missed. The distance bounds
+the candidates, the exact likeness decides.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; a long text is taken whole; a bit set in exactly half of the values is 0;
@@ -51,6 +55,9 @@ SET_SHINGLE = 5
 SIMILAR = (4, 5)
 #: What only decides the order of shingles, hence the time: those met COMMON_LEAST times in one of COMMON_PART parts of the texts.
 COMMON, COMMON_LEAST, COMMON_PART = 100_000, 4, 4
+#: For keep_one(): segments in which a set's shingles are counted, by their leading bits, and pairs that a set has before its pairs are dealt to several tasks.
+SET_SEGMENTS = 256
+HOT_PAIRS = 1_000
 HELD_NODES = 200_000
 BROADCAST_ROWS = 1_000_000
 
@@ -239,32 +246,38 @@ def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndar
     return hashes[np.lexsort((hashes, rank))][: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1]
 
 
+def set_counts(hashes: np.ndarray) -> bytes:
+    """The shingles in each of SET_SEGMENTS segments, a byte each, 255 at most."""
+    segments = (hashes >> np.uint64(64 - SET_SEGMENTS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(segments, minlength=SET_SEGMENTS), 255).astype(np.uint8).tobytes()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, fp, node, n, forms): body is the text's hash, node names its set of n shingles, forms is the set's prefix.
+    """(doc_id, body, node, n, counts, forms): body is the text's hash, node names its set of n shingles, forms is the set's prefix.
 
-    The prefix is left out where the task has just given it for the same set.
+    Counts and prefix are left out where the task has just given them for the same set.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            fps, nodes, sizes, prefixes = [], [], [], []
+            nodes, sizes, counts, prefixes = [], [], [], []
             for t in batch.column(2):
-                words = words_of(t.as_py())
-                hashes = shingle_set(words)
+                hashes = shingle_set(words_of(t.as_py()))
                 node = node_of(hashes)
-                fps.append(fingerprint_of(words))
+                new = node not in seen and len(hashes) > 0
                 nodes.append(node)
                 sizes.append(len(hashes))
-                prefixes.append(prefix(hashes, *common.value).view(np.int64) if node not in seen and len(hashes) else None)
+                counts.append(set_counts(hashes) if new else None)
+                prefixes.append(prefix(hashes, *common.value).view(np.int64) if new else None)
                 if len(seen) >= HELD_NODES:
                     seen.clear()
                 seen.add(node)
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(fps), signed(nodes), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "body", "fp", "node", "n", "forms"])
+            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "body", "node", "n", "counts", "forms"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text")).mapInArrow(run, "doc_id bigint, body bigint, fp bigint, node bigint, n int, forms array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text")).mapInArrow(run, "doc_id bigint, body bigint, node bigint, n int, counts binary, forms array<bigint>")
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -307,10 +320,44 @@ def may_be_near(x: str, y: str) -> Column:
     return F.lit(SIMILAR[0] + SIMILAR[1]) * left >= F.lit(SIMILAR[0]) * (F.col(f"{x}.n").cast("bigint") + F.col(f"{y}.n"))
 
 
-def alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets have a Jaccard likeness of SIMILAR or more; rows (node, body): a text for each node."""
-    pairs = cut(pairs.distinct(), "candidates")
-    wanted = cut(rows.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("body").distinct(), "wanted")
+def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hot, pairs): pairs (a, b) with part, and the parts of each set a that has HOT_SHARE of all pairs or more, of which there are 1 / HOT_SHARE at most."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("met"))
+    share = F.greatest(F.lit(float(HOT_PAIRS)), HOT_SHARE * F.col("total"))
+    hot = counts.join(F.broadcast(counts.agg(F.sum("met").alias("total")))).where(F.col("met") >= share)
+    hot = cut(hot.select("a", F.ceil(F.col("met") / share).cast("int").alias("parts")), "hot")
+    own = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    return hot, pairs.join(F.broadcast(hot), "a", "left").select("a", "b", own.alias("part"))
+
+
+def in_parts(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """sets (a, ...) once for each of a's parts."""
+    return sets.join(F.broadcast(hot), "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
+def within_bound(nodes: DataFrame, hot: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, part) whose counts are no further apart than sets of SIMILAR likeness can be; nodes (node, n, counts)."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("counts").alias(f"{x}_counts"))
+    both = pairs.join(side("b"), "b").join(in_parts(side("a"), hot), ["a", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(3).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SET_SEGMENTS).astype(np.int16) for i in (5, 6))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            # At a likeness of p / q the sets differ in at most (q - p) / (q + p) of the sum of their sizes.
+            keep = (SIMILAR[0] + SIMILAR[1]) * apart <= (SIMILAR[1] - SIMILAR[0]) * sizes
+            yield batch.select([0, 1, 2]).filter(pa.array(keep))
+
+    return both.select("a", "b", "part", "a_n", "b_n", "a_counts", "b_counts").mapInArrow(run, "a bigint, b bigint, part int")
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a Jaccard likeness of SIMILAR or more; nodes (node, body, n, counts): a text for each node."""
+    met = cut(pairs.distinct(), "candidates")
+    hot, parted = dealt(met)
+    pairs = cut(within_bound(nodes, hot, parted), "bounded")
+    wanted = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("body").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,16 +369,16 @@ def alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = docs.select("text", F.xxhash64("text").alias("body")).join(F.broadcast(wanted) if few else wanted, "body", "left_semi").dropDuplicates(["body"]).select("text")
     sets = cut(texts.mapInArrow(run, "node bigint, forms array<bigint>"), "sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("forms").alias(f"{name}_forms"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = pairs.join(side("b"), "b").join(in_parts(side("a"), hot), ["a", "part"])
     held, total = F.size(F.array_intersect("a_forms", "b_forms")).cast("bigint"), (F.size("a_forms") + F.size("b_forms")).cast("bigint")
     found = cut(both.where(F.lit(SIMILAR[0] + SIMILAR[1]) * held >= F.lit(SIMILAR[0]) * total).select("a", "b").distinct(), "alike")
-    for done in (sets, wanted, pairs):
+    for done in (sets, wanted, pairs, hot, met):
         drop_cut(done)
     return found
 
 
-def set_links(docs: DataFrame, rows: DataFrame, own: DataFrame, proposed: DataFrame) -> DataFrame:
-    """(a, b): pairs of alike sets that make the components which all such pairs would; proposed (a, b) are tried as well.
+def set_links(docs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): pairs of alike sets that make the components which all such pairs would.
 
     Sets of SIMILAR likeness share a shingle of their prefixes, so a join on
     those finds all of them. First a shingle's sets are only compared with the
@@ -345,7 +392,7 @@ def set_links(docs: DataFrame, rows: DataFrame, own: DataFrame, proposed: DataFr
     ranked = shared.withColumn("top", F.max(F.struct("fame", "node", "n", "at")).over(of_form))
     star = ranked.where(F.col("node") != F.col("top.node")).select(F.struct("n", "at").alias("x"), "top", "node", "fame")
     first = cut(star.where(may_be_near("x", "top")).select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.fame").alias("fame")).distinct(), "stars")
-    links = alike(docs, rows, first.select("a", "b").unionByName(proposed))
+    links = alike(docs, nodes, first.select("a", "b"))
     # Every set points to the most famous one that it is alike with, and from there on: pointers only go up, and stay in one group.
     up = cut(first.join(links, ["a", "b"], "left_semi").groupBy("b").agg(F.max(F.struct("fame", "a")).alias("best")).select(F.col("b").alias("own"), F.col("best.a").alias("group")), "up")
     further = up.select(F.col("own").alias("mid"), F.col("group").alias("next"))
@@ -355,29 +402,24 @@ def set_links(docs: DataFrame, rows: DataFrame, own: DataFrame, proposed: DataFr
     main = cut(main.select("form", "node", "n", "at", "comp", (F.col("comp") == F.col("top.comp")).alias("main")), "open")
     x, y = main.where("not main").alias("x"), main.alias("y")
     met = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node"))) & may_be_near("x", "y"))
-    return links.unionByName(alike(docs, rows, met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))))
+    # A main set, which many others meet, is the one that dealt() spreads.
+    found = links.unionByName(alike(docs, nodes, met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))))
+    for done in (shared, first, up, main):
+        drop_cut(done)
+    return found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the row with the smallest doc_id (of rows repeating it the one with the least text hash, once).
 
-    Groups are the components of all pairs that share SIMILAR of their five-word
-    shingles. Those that the 64-bit fingerprints propose are tried first: four
-    differing bits of 64 miss most near copies, and link some texts that are none.
+    Groups are the components of all pairs that share SIMILAR of their five-word shingles.
     """
     own = cut(sketches(bounded_batches(docs)), "sketches")
-    # Sets of one fingerprint meet its least one, and the least ones of linked fingerprints each other.
-    of_fp = cut(own.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "fps")
-    sure = cut(cleared_forms(of_fp), "forms")
-    linked = sure.unionByName(near_links(of_fp, nearest(sure)))
-    low = lambda name: of_fp.select(F.col("fp").alias(name), F.col("low").alias(f"{name}_low"))
-    across = linked.join(low("a"), "a").join(low("b"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
-    within = own.select("fp", "node").join(of_fp.where("low <> high"), "fp").select(F.col("low").alias("a"), F.col("node").alias("b"))
     # A row is known by its id and its text's hash; ids come before null.
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("first_row")
-    nodes = cut(own.groupBy("node").agg(first_row), "nodes")
-    rows = nodes.select("node", F.col("first_row.body").alias("body"))
-    groups = connected_components(set_links(docs, rows, own, across.unionByName(within).where("a <> b")))
+    nodes = cut(own.groupBy("node").agg(first_row, F.max("n").alias("n"), F.max("counts").alias("counts")), "nodes")
+    groups = connected_components(set_links(docs, nodes.select("node", "first_row.body", "n", "counts"), own))
+    drop_cut(own)
     grouped = nodes.alias("n").join(groups.alias("g"), F.expr("n.node = g.node"), "left").select("first_row", F.coalesce("g.comp", "n.node").alias("group"))
     first = grouped.groupBy("group").agg(F.min("first_row").alias("kept"))
     kept = first.select(F.xxhash64("kept.doc_id", "kept.body").alias("row_key"), F.col("kept.body").alias("row_body")).distinct()
@@ -388,14 +430,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return packed.join(kept, ["row_key", "row_body"], "left_semi").withColumn("place", F.row_number().over(again)).where("place = 1").select("row.*")
 
 
-def nearest(links: DataFrame) -> DataFrame:
-    """(node, comp): for each end of links (a, b) the least one met within two steps; equal ones are in one component."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    step = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "nearest")
-    further = step.select(F.col("node").alias("mid"), F.col("comp").alias("next"))
-    return step.join(further, F.col("comp") == F.col("mid")).select("node", F.col("next").alias("comp"))
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -186,3 +186,33 @@ def test_kept_by_true_likeness(spark):
     got = S.keep_one(docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))).collect()
     assert sorted(r.doc_id for r in got) == one_of_each_alike(rows + more)
     assert {d for d, _ in more} <= {r.doc_id for r in got}
+
+
+def test_counts_never_exceed_the_sets_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for n in (1, 40, 700, 90_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 64, n // 8, dtype=np.uint64)]))
+        x, y = (np.frombuffer(S.set_counts(s), np.uint8).astype(int) for s in (a, b))
+        assert len(x) == S.SET_SEGMENTS and abs(x - y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_pairs_of_a_famous_set_are_dealt(spark, monkeypatch):
+    """With low limits a set with many pairs is in several parts, and no pair is lost."""
+    monkeypatch.setattr(S, "HOT_PAIRS", 5)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        own = list(base)
+        own[rng.randrange(len(own))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(base[:40] + [f"y{i}x{k}" for k in range(80)])) for i in range(20)]
+    pairs = spark.createDataFrame([(1, b) for b in range(2, 40)] + [(2, 3)], "a bigint, b bigint")
+    hot, parted = S.dealt(pairs)
+    assert [(r.a, r.parts) for r in hot.collect()] == [(1, 8)] and parted.count() == 39
+    assert parted.where("a = 1").select("part").distinct().count() > 4 and [r.part for r in parted.where("a = 2").collect()] == [0]
+    got = S.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got) == one_of_each_alike(rows) == [0, *range(100, 120)]
