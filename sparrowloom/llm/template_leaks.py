@@ -57,9 +57,9 @@ SALTS = 16
 UNITS = "km m cm mm mi ft in kg g mg lb oz l ml s ms min h hours hour minutes minute seconds second days day weeks week months month years year meters metres miles feet inches pounds grams liters litres dollars euros cents percent degrees".split()
 
 _LETTERS = r"0-9A-Za-z\x{80}-\x{10FFFF}"
-_CAPITAL = rf"[A-ZÀ-Þ][a-zß-ÿ]++(?![{_LETTERS}])"
+_CAPITAL = rf"[\p{{Lu}}\p{{Lt}}][\p{{Ll}}\p{{M}}]++(?![{_LETTERS}])"
 #: A name begins with the blank before it, which no other word does.
-_NAME = rf"(?<=[a-zß-ÿ,;:]) {_CAPITAL}(?: {_CAPITAL})*+"
+_NAME = rf"(?<=[\p{{Ll}},;:]) {_CAPITAL}(?: {_CAPITAL})*+"
 _NUMBER = rf"[0-9]++(?:[.,][0-9]++)*+(?=(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})?(?![{_LETTERS}]))"
 _WORD = rf"{_NAME}|{_NUMBER}|[{_LETTERS}]++"
 #: What the placeholders look like among the words: no other word is a lone digit, since every number becomes 0.
