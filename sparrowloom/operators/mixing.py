@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 
-
 #: Blocks that are summed together before the next level's sums.
 BLOCKS = 65_536
+#: Sources, or entries of a table of weights, at most; more fail when they are read. What is broadcast has this bound.
+MOST_SOURCES = 100_000
+
+
+def at_most(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """rows, which fail when they are read if there are more than `most`; no job runs before."""
+    placed = rows.limit(most + 1).withColumn("_place", F.row_number().over(Window.orderBy(F.lit(0))))
+    checked = F.when(F.col("_place") > most, F.raise_error(F.lit(f"more than {most} {what}"))).otherwise(F.lit(True)).cast("boolean")
+    return placed.where(checked).drop("_place")
 
 
 def global_ordinal(rows: DataFrame, partition: list[str], order: list[Column], block: Column) -> DataFrame:
@@ -44,29 +52,44 @@ def sharded(rows: DataFrame, world: int, batch: int) -> DataFrame:
 
 
 def sizes(sources: DataFrame, source: str) -> DataFrame:
-    """(source, size): a row for each source."""
-    return sources.groupBy(source).agg(F.count("*").alias("size"))
+    """(source, size): a row for each source, MOST_SOURCES at most."""
+    return at_most(sources.groupBy(source).agg(F.count("*").alias("size")), MOST_SOURCES, "sources")
+
 
+def from_every_source(sources: DataFrame, source: str, steps: int | None = None, stop_at_shortest: bool = False) -> DataFrame:
+    """sources (ordinal, ...) with step: each step takes the next row of each source; short ones start again, or all stop with the shortest.
 
-def from_every_source(spark: SparkSession, sources: DataFrame, source: str, steps: int | None, stop_at_shortest: bool) -> DataFrame:
-    """Each step takes the next row of each source; short ones start again, or all stop with the shortest (steps None: nothing else stops them)."""
+    Without steps the longest source starts again once. A row knows from its
+    ordinal and its source's size at which steps it comes, so steps and rows are not joined.
+    """
     n = sizes(sources, source)
-    least = n.agg(F.min("size").alias("least"))
-    if stop_at_shortest and steps is None:
-        return sources.join(F.broadcast(least)).where("ordinal < least").drop("least").withColumn("step", F.col("ordinal"))
-    spine = spark.range(steps).withColumnRenamed("id", "step")
-    plan = spine.join(F.broadcast(n)).join(F.broadcast(least))
+    ends = n.agg(F.min("size").alias("_least"), (F.max("size") + 1).alias("_most"))
+    end = F.lit(steps).cast("bigint") if steps is not None else F.col("_most")
     if stop_at_shortest:
-        plan = plan.where("step < least")
-    plan = plan.select("step", F.col(source), F.pmod("step", "size").alias("ordinal"))
-    return plan.join(sources, [source, "ordinal"])
+        end = F.least(F.col("_least"), F.lit(steps).cast("bigint"))
+    sized = sources.join(F.broadcast(n), source).join(F.broadcast(ends))
+    at = F.when(F.col("ordinal") < end, F.sequence("ordinal", end - 1, F.col("size")))
+    return sized.withColumn("step", F.explode(at)).drop("size", "_least", "_most")
+
 
+def in_turn(sources: DataFrame, source: str, per_step: int, steps: int | None = None) -> DataFrame:
+    """sources (ordinal, ...) with step, place and epoch: each step makes per_step draws, each from the source after the last one's.
 
-def round_robin(spark: SparkSession, loaders: list[str], per_step: int, steps: int) -> DataFrame:
-    """(step, place, loader): the pointer moves on with each draw."""
-    place = spark.range(steps).select(F.col("id").alias("step"), F.explode(F.sequence(F.lit(0), F.lit(per_step - 1))).alias("place"))
-    draw = F.col("step") * per_step + F.col("place")
-    return place.withColumn("loader", F.element_at(F.array(*map(F.lit, loaders)), (F.pmod(draw, F.lit(len(loaders))) + 1).cast("int")))
+    Sources follow each other by name (null first), and the pointer goes on from
+    step to step; an exhausted source starts a new epoch. Without steps the
+    longest source starts again once. As in from_every_source() a row knows its draws.
+    """
+    n = sizes(sources, source)
+    every = Window.orderBy(source)
+    turns = n.select(F.col(source).alias("_name"), "size", (F.row_number().over(every) - 1).alias("_turn"), F.count("*").over(Window.partitionBy()).alias("_many"), F.max("size").over(Window.partitionBy()).alias("_most"))
+    draws = F.lit(steps * per_step).cast("bigint") if steps is not None else F.ceil(F.col("_many") * (F.col("_most") + 1) / per_step) * per_step
+    # The source's draws are those whose number is its turn, up to _many.
+    last = F.floor((draws - 1 - F.col("_turn")) / F.col("_many"))
+    sized = sources.join(F.broadcast(turns), F.col(source).eqNullSafe(F.col("_name")))
+    own = sized.withColumn("_k", F.explode(F.when(F.col("ordinal") <= last, F.sequence("ordinal", last, F.col("size")))))
+    draw = F.col("_k") * F.col("_many") + F.col("_turn")
+    told = own.withColumns({"step": F.floor(draw / per_step), "place": F.pmod(draw, F.lit(per_step)).cast("int"), "epoch": F.floor(F.col("_k") / F.col("size"))})
+    return told.drop("_name", "size", "_turn", "_many", "_most", "_k")
 
 
 def pick_loader(step: Column, weights: dict[str, float], salt: str) -> Column:

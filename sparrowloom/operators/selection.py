@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mixing import MOST_SOURCES, at_most
+
 
 def topk_keep(values: Column, k: int) -> Column:
     """The indices of values not below the k-th largest; ties with it stay. Within the row."""
@@ -76,11 +78,11 @@ def until_stop(tokens: Column, stops: list[int], most: int) -> Column:
 def weighted_choice(draws: DataFrame, weights: DataFrame, u: str, name: str, weight: str) -> DataFrame:
     """For each draw the first name whose cumulative weight reaches u (weights normalised first, ordered by name).
 
-    The weights are a small parameter table; draws see it as one row with an
-    ordered array, so nothing is joined by range.
+    The weights are a parameter table of MOST_SOURCES names at most (more fail);
+    draws see it as one row with an ordered array, so nothing is joined by range.
     """
     total = F.sum(weight).over(Window.partitionBy(F.lit(0)))
-    cumulated = weights.select(name, (F.sum(weight).over(Window.orderBy(name)) / total).alias("cum"))
+    cumulated = at_most(weights.select(name, weight), MOST_SOURCES, "weights").select(name, (F.sum(weight).over(Window.orderBy(name)) / total).alias("cum"))
     listed = cumulated.agg(F.array_sort(F.collect_list(F.struct("cum", name))).alias("table"))
     pick = F.coalesce(F.element_at(F.filter("table", lambda s: s["cum"] >= F.col(u)), 1)[name], F.element_at("table", -1)[name])
     return draws.join(F.broadcast(listed)).withColumn(name, pick).drop("table")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mixing import BLOCKS
+
 
 def _order(series: list[str], order: list[str]):
     return Window.partitionBy(*series).orderBy(*order)
@@ -117,14 +119,17 @@ def future_index(index: Column, horizon_rows: int, length: Column) -> Column:
 def substitute_rejected(rows: DataFrame, ok: Column, order: str, columns: list[str], block_rows: int = 100_000) -> DataFrame:
     """Every rejected row takes the columns of the next acceptable row; rejected rows after the last one go.
 
-    Rows are dealt to blocks by order / block_rows; each block's first acceptable
-    row is all that the blocks before it need to know.
+    Rows are dealt to blocks by order / block_rows, blocks to groups of BLOCKS;
+    the first acceptable row of a block, and of a group, is all that those before it need to know.
     """
     block = F.floor(F.col(order) / block_rows)
     marked = rows.select(order, block.alias("_block"), F.when(ok, F.struct(F.col(order).alias("source"), *columns)).alias("_own"))
-    firsts = marked.groupBy("_block").agg(F.min("_own").alias("_first"))
-    later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = firsts.withColumn("_next", F.last("_first", ignorenulls=True).over(later)).select("_block", "_next")
+    later = lambda keys, by: Window.partitionBy(*keys).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = marked.groupBy("_block").agg(F.min("_own").alias("_first")).withColumn("_group", F.floor(F.col("_block") / BLOCKS))
+    groups = firsts.groupBy("_group").agg(F.min("_first").alias("_of_group"))
+    groups = groups.select("_group", F.last("_of_group", ignorenulls=True).over(later([], "_group")).alias("_after"))
+    inside = firsts.withColumn("_inside", F.last("_first", ignorenulls=True).over(later(["_group"], "_block")))
+    nexts = inside.join(groups, "_group").select("_block", F.coalesce("_inside", "_after").alias("_next"))
     within = Window.partitionBy("_block").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     filled = marked.withColumn("_near", F.last("_own", ignorenulls=True).over(within)).join(nexts, "_block").withColumn("_taken", F.coalesce("_near", "_next"))
     return filled.where("_taken is not null").select(order, "_taken.*")

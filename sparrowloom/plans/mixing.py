@@ -80,20 +80,21 @@ _S = "WITH s AS (SELECT event_type AS loader, event_id, row_number() OVER (PARTI
 @query(_S + ", t AS (SELECT unnest(range(0, (SELECT max(size) + 1 FROM n))) AS step) SELECT t.step, loader, event_id FROM t, n JOIN s USING (loader) WHERE s.ordinal = t.step % n.size")
 def mix_concat_cycle(spark: SparkSession, d: str) -> DataFrame:
     """So many steps that the longest loader starts again."""
-    sources = _sources(spark, d)
-    longest = X.sizes(sources, "loader").agg(F.max("size")).first()[0] or 0
-    return X.from_every_source(spark, sources, "loader", longest + 1, False).select("step", "loader", "event_id")
+    return X.from_every_source(_sources(spark, d), "loader").select("step", "loader", "event_id")
 
 
 @query(_S + " SELECT s.ordinal AS step, loader, event_id FROM s WHERE s.ordinal < (SELECT min(size) FROM n)")
 def mix_concat_min(spark: SparkSession, d: str) -> DataFrame:
     """All steps of the shortest loader."""
-    return X.from_every_source(spark, _sources(spark, d), "loader", None, True).select("step", "loader", "event_id")
+    return X.from_every_source(_sources(spark, d), "loader", stop_at_shortest=True).select("step", "loader", "event_id")
 
 
-@query("SELECT step, place::INT AS place, ['a', 'b', 'c'][(step * 2 + place) % 3 + 1] AS loader FROM range(0, 500) t(step), range(0, 2) p(place)")
+@query(_S + """, l AS (SELECT loader, size, row_number() OVER (ORDER BY loader) - 1 AS turn, count(*) OVER () AS many, max(size) OVER () AS most FROM n),
+t AS (SELECT unnest(range(0, (SELECT (ceil(max(many * (most + 1)) / 2.0) * 2)::BIGINT FROM l))) AS draw)
+SELECT draw // 2 AS step, (draw % 2)::INT AS place, loader, (draw // many) // size AS epoch, event_id FROM t, l JOIN s USING (loader) WHERE l.turn = draw % many AND s.ordinal = (draw // many) % size""")
 def mix_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    return X.round_robin(spark, ["a", "b", "c"], 2, 500)
+    """Two draws a step, each from the next loader; short loaders start again until the longest has."""
+    return X.in_turn(_sources(spark, d), "loader", 2).select("step", "place", "loader", "epoch", "event_id")
 
 
 def _draw_sql(types: list[str], weights: list[float]) -> str:
