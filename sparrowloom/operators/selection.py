@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import choice
 from .mixing import MOST_SOURCES, at_most
 
 
@@ -63,6 +64,17 @@ def sampled_frames(n: Column, rate: Column, per_second: float, most: int, force:
     return even if force else F.when(F.size(strided) > most, even).otherwise(strided)
 
 
+def substituted(rows: DataFrame, others: DataFrame, name: str, key: str, values: str, draw: Column, salt: str) -> DataFrame:
+    """rows whose name is replaced by one of the values of its key, drawn anew for each row; a name without a key stays.
+
+    others is a parameter table (more than MOST_SOURCES keys fail) of distinct keys.
+    """
+    table = F.broadcast(at_most(others.select(F.col(key).alias("_key"), F.col(values).alias("_values")), MOST_SOURCES, "substitutes"))
+    pick = F.get("_values", choice(draw, salt, F.size("_values")))
+    found = rows.join(table, F.col(name) == F.col("_key"), "left")
+    return found.withColumn(name, F.when(F.col("_key").isNull() | (F.size("_values") == 0), F.col(name)).otherwise(pick)).drop("_key", "_values")
+
+
 def last_real_token(tokens: Column, pad: int) -> Column:
     """The index of the last token that is no pad; 0 if all are."""
     at = F.filter(F.transform(tokens, lambda t, i: F.when(t != pad, i)), lambda i: i.isNotNull())

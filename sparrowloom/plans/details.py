@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as V
 from ..functions import flow as L
+from ..functions import samples as S
 from ..functions.hashing import uniform, uniform_sql
+from ..operators import series as R
 from ..session import table
 from .registry import query
 
@@ -55,22 +56,20 @@ _V = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
 def image_modes(spark: SparkSession, d: str) -> DataFrame:
     """Images of at least a size, by mode: transparent ones flattened, grey ones repeated, unknown modes rejected."""
     rows = table(spark, d, "part").select("p_partkey", F.element_at(F.array(*[F.lit(m) for m in ("RGBA", "P", "RGB", "L", "CMYK")]), (F.col("p_size") % 5 + 1).cast("int")).alias("mode"), (F.col("p_size") * 20).alias("height"), (F.col("p_partkey") % 700).alias("width"))
-    action = F.when(F.col("mode").isin("RGBA", "P"), "flatten").when(F.col("mode") == "RGB", "keep").when(F.col("mode") == "L", "repeat")
-    return rows.where("height >= 256 and width >= 100").select("p_partkey", action.alias("action")).where("action is not null")
+    large = rows.where(S.large_enough(F.col("height"), F.col("width"), 256, 100))
+    return large.select("p_partkey", S.mode_action(F.col("mode")).alias("action")).where("action is not null")
 
 
 @query("WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS j, count(*) OVER (PARTITION BY user_id) AS n, value FROM events) SELECT event_id, CASE WHEN j = n - 1 THEN value ELSE 0 END AS velocity, CASE WHEN j = n - 1 THEN 0.25 ELSE 1.0 END::DOUBLE AS time FROM n")
 def keep_only_last(spark: SparkSession, d: str) -> DataFrame:
     """Velocities of all images of a series but the last are zero, and their times are 1."""
-    w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = F.row_number().over(w) == 1
-    return table(spark, d, "events").select("event_id", F.when(last, F.col("value")).otherwise(0.0).alias("velocity"), F.when(last, 0.25).otherwise(1.0).alias("time"))
+    rows = R.only_last(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], {"velocity": F.col("value")}, "time", F.lit(0.25))
+    return rows.select("event_id", "velocity", "time")
 
 
 @query("WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, event_type FROM events) SELECT event_id, idx - 1 AS idx FROM e WHERE idx >= 1")
 def drop_first_frame(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return table(spark, d, "events").select("event_id", (place - 1).cast("bigint").alias("idx")).where("idx >= 0")
+    return R.without_first(R.placed(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]), "idx").select("event_id", "idx")
 
 
 @query(_V + " SELECT vec_id, round(list_avg([(e[i] - e[i + 32]) ** 2 FOR i IN range(1, 33)]), 6) AS loss FROM v")
@@ -90,13 +89,12 @@ def mask_union(spark: SparkSession, d: str) -> DataFrame:
 def multinomial_draw(spark: SparkSession, d: str) -> DataFrame:
     """One token for each row by inverse cumulative probability, within the row."""
     p = _vectors(spark, d).select("vec_id", V.softmax(F.slice("e", 1, 8)).alias("p"))
-    drawn = F.aggregate("p", F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("token")), lambda a, x: F.struct((a["cum"] + x).alias("cum"), F.when(a["cum"] + x < uniform(F.col("vec_id"), "draw"), a["token"] + 1).otherwise(a["token"]).alias("token")), lambda a: F.least(a["token"], F.lit(7)))
-    return p.select("vec_id", drawn.alias("token"))
+    return p.select("vec_id", S.multinomial(F.col("p"), uniform(F.col("vec_id"), "draw")).alias("token"))
 
 
 @query("SELECT conv_id, (conv_id % 20)::INT AS state, 7 + conv_id + 100 AS seed FROM (SELECT DISTINCT conv_id FROM conversations)")
 def cyclic_states(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", (F.col("conv_id") % 20).cast("int").alias("state"), (F.lit(7) + F.col("conv_id") + 100).alias("seed"))
+    return table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", S.cyclic_state(F.col("conv_id"), 20).alias("state"), (F.lit(7) + F.col("conv_id") + 100).alias("seed"))
 
 
 @query("""
@@ -126,7 +124,7 @@ def sampled_moments(spark: SparkSession, d: str) -> DataFrame:
 def noisy_actions(spark: SparkSession, d: str) -> DataFrame:
     """Actions blended with given noise (the gripper is zero), and stratified times."""
     e, t = F.col("e"), (F.col("vec_id") % 97 + 1) / F.lit(99.0)
-    blended = F.transform(F.array(e[0], e[2]), lambda a, i: F.when(i == 1, F.lit(0.0)).otherwise(e[1] * t + a * (1 - t)))
+    blended = S.noisy(F.array(e[0], e[2]), F.array(e[1], e[1]), t, (1,))
     return _vectors(spark, d).select("vec_id", F.round(blended[0], 6).alias("noisy"), blended[1].alias("grip"), F.round(L.stratified_time(t, F.col("vec_id") % 16, 16), 6).alias("drawn"))
 
 
@@ -134,9 +132,9 @@ def noisy_actions(spark: SparkSession, d: str) -> DataFrame:
 def normalised_rows(spark: SparkSession, d: str) -> DataFrame:
     """Root-mean-square norm with scale and shift, and latents by channel mean and deviation."""
     e = F.col("e")
-    rms = F.sqrt(V.dot(e, e) / F.size(e) + 1e-6)
-    modulated = F.transform(F.zip_with(e, F.array_repeat(rms, 64), lambda x, r: x / r * 1.5 + 0.25), lambda x, i: x * (i + 1))
-    latent = F.transform(F.slice(e, 1, 16), lambda x, i: (x - i * 0.1) / (i + 1.0))
+    modulated = F.transform(S.rms_modulated(e, 0.5, 0.25), lambda x, i: x * (i + 1))
+    channels = F.sequence(F.lit(0), F.lit(15))
+    latent = S.standardised(F.slice(e, 1, 16), F.transform(channels, lambda i: i * 0.1), F.transform(channels, lambda i: i + 1.0))
     return _vectors(spark, d).select("vec_id", F.round(V.total(modulated), 5).alias("modulated"), F.round(V.total(latent), 5).alias("latent"))
 
 
@@ -164,15 +162,13 @@ def group_scaling(spark: SparkSession, d: str) -> DataFrame:
 @query(_V + ", s AS (SELECT vec_id, unnest(range(0, 6)) AS j, unnest(e[1:6]) AS x, unnest(e[7:12]) AS z FROM v) SELECT vec_id, j::INT AS j, CASE WHEN j < 2 THEN x ELSE z END AS latent, CASE WHEN j < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS time FROM s")
 def initial_latents(spark: SparkSession, d: str) -> DataFrame:
     """Observed latents are kept at time 1, future ones start from noise at time 0."""
-    rows = _vectors(spark, d).select("vec_id", F.posexplode(F.arrays_zip(F.slice("e", 1, 6).alias("x"), F.slice("e", 7, 6).alias("z"))).alias("j", "s"))
-    return rows.select("vec_id", "j", F.when(F.col("j") < 2, F.col("s.x")).otherwise(F.col("s.z")).alias("latent"), F.when(F.col("j") < 2, 1.0).otherwise(0.0).alias("time"))
+    rows = _vectors(spark, d).select("vec_id", F.posexplode(S.initial_latents(F.slice("e", 1, 6), F.slice("e", 7, 6), 2)).alias("j", "s"))
+    return rows.select("vec_id", "j", "s.latent", "s.time")
 
 
 @query(_V + ", w AS (SELECT vec_id, label + 5 AS n, e FROM v), g AS (SELECT vec_id, n, e, unnest(range(0, 9)) AS k FROM w), f AS (SELECT *, k * (n - 1) / 8.0::DOUBLE AS pos FROM g) SELECT vec_id, k::INT AS k, round(e[floor(pos)::INT + 1] + (e[ceil(pos)::INT + 1] - e[floor(pos)::INT + 1]) * (pos - floor(pos)), 6) AS value FROM f")
 def resample_slice(spark: SparkSession, d: str) -> DataFrame:
     """A slice of a row's series resampled to nine points at equal distances."""
-    n = F.col("label") + 5
-    at = F.col("k") * (n - 1) / F.lit(8.0)
-    lo, hi = F.element_at("e", F.floor(at).cast("int") + 1), F.element_at("e", F.ceil(at).cast("int") + 1)
+    at = F.col("k") * (F.col("label") + 4) / F.lit(8.0)
     rows = _vectors(spark, d).select("vec_id", "label", "e", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
-    return rows.select("vec_id", "k", F.round(lo + (hi - lo) * (at - F.floor(at)), 6).alias("value"))
+    return rows.select("vec_id", "k", F.round(S.sampled_at(F.col("e"), at), 6).alias("value"))

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as V
 from ..functions import flow as L
 from ..functions import geometry as G
 from ..functions import masks as K
+from ..functions import samples as P
 from ..functions import text as X
-from ..functions.hashing import choice, uniform, uniform_sql
+from ..functions.hashing import uniform, uniform_sql
 from ..operators import metrics as M
 from ..operators import mixing as U
 from ..operators import selection as S
+from ..operators import series as R
 from ..session import table
 from .registry import query
 
@@ -185,31 +186,27 @@ def augmentation_map(spark: SparkSession, d: str) -> DataFrame:
     """An instruction with an entry in the map becomes one of its others; one without stays."""
     others = spark.createDataFrame([("user", ["ask it", "say it", "put it"]), ("system", ["be brief"])], "key string, others array<string>")
     rows = table(spark, d, "conversations").where("turn is not null").select("conv_id", "turn", "role")
-    found = rows.join(F.broadcast(others), F.col("role") == F.col("key"), "left")
-    pick = F.element_at("others", choice(F.col("conv_id") * 1000 + F.col("turn"), "words", F.size("others")) + 1)
-    return found.select("conv_id", "turn", F.when(F.col("key").isNull(), F.col("role")).otherwise(pick).alias("instruction"))
+    return S.substituted(rows, others, "role", "key", "others", F.col("conv_id") * 1000 + F.col("turn"), "words").select("conv_id", "turn", F.col("role").alias("instruction"))
 
 
 _W = "WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", "user_id", (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("idx"), F.count("*").over(W.partitionBy("user_id")).alias("n"))
+    return R.placed(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], n="n").select("event_id", "user_id", "idx", "n")
 
 
 @query(_W + f" SELECT event_id, CASE WHEN idx > 3 AND {uniform_sql('event_id', 'late')} < idx / n::DOUBLE THEN 'close and start it.' ELSE 'open it' END AS instruction, least(5, n - idx) AS upto FROM e")
 def late_switch(spark: SparkSession, d: str) -> DataFrame:
     """An instruction that changes after a fixed row (the bound is a parameter), and the length of a window cut at the segment's end."""
-    late = (F.col("idx") > 3) & (uniform(F.col("event_id"), "late") < F.col("idx") / F.col("n"))
-    return _places(spark, d).select("event_id", F.when(late, "close and start it.").otherwise("open it").alias("instruction"), F.least(F.lit(5), F.col("n") - F.col("idx")).alias("upto"))
+    said = P.late_instruction(F.col("idx"), F.col("n"), F.lit(3), uniform(F.col("event_id"), "late"), "open it", "close and start it.")
+    return _places(spark, d).select("event_id", said.alias("instruction"), F.least(F.lit(5), F.col("n") - F.col("idx")).alias("upto"))
 
 
 @query(_W + ", t AS (SELECT event_id, user_id, idx, n, unnest([0, 1]) AS half FROM e) SELECT event_id, (2 * idx + half) AS frame, idx >= (idx // 4) * 4 + 2 OR idx >= n - 2 AS carried FROM t")
 def temporal_interleave(spark: SparkSession, d: str) -> DataFrame:
     """Each frame of two channel halves becomes two; the last two frames of a chunk of four are carried to the next."""
-    rows = _places(spark, d).select("event_id", "idx", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
-    carried = (F.col("idx") >= F.expr("(idx div 4) * 4 + 2")) | (F.col("idx") >= F.col("n") - 2)
-    return rows.select("event_id", (F.col("idx") * 2 + F.col("half")).cast("bigint").alias("frame"), carried.alias("carried"))
+    return R.halved(_places(spark, d), "idx", "n", 4).select("event_id", "frame", "carried")
 
 
 @query(f"WITH a AS (SELECT event_id, {uniform_sql('event_id', 'epoch0')} AS u FROM events), b AS (SELECT event_id, {uniform_sql('event_id', 'epoch1')} AS u FROM events) SELECT 0 AS epoch, event_id, row_number() OVER (ORDER BY u, event_id) - 1 AS ordinal FROM a UNION ALL SELECT 1, event_id, row_number() OVER (ORDER BY u, event_id) - 1 FROM b")
@@ -238,23 +235,19 @@ def modules_to_save(spark: SparkSession, d: str) -> DataFrame:
 def missing_images(spark: SparkSession, d: str) -> DataFrame:
     """A turn without an image keeps its row, with a blank one."""
     turns = table(spark, d, "conversations").where("turn is not null").select("conv_id", "turn", (F.col("conv_id") * 3 + F.col("turn")).alias("page_id"))
-    found = turns.join(table(spark, d, "pages").select("page_id", "url"), "page_id", "left")
-    return found.select("conv_id", "turn", F.coalesce("url", F.lit("blank")).alias("image"), F.col("url").isNull().alias("missing"))
+    return R.with_default(turns, table(spark, d, "pages"), "page_id", "url", "blank", "image").select("conv_id", "turn", "image", "missing")
 
 
 @query("SELECT conv_id, count(*) FILTER (WHERE turn % 3 = 2) AS n_images FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE turn % 3 = 2) > 0")
 def stories_with_images(spark: SparkSession, d: str) -> DataFrame:
     """Stories whose list of images is not empty."""
-    stories = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.when(F.col("turn") % 3 == 2, F.col("turn"))).alias("images"))
-    return stories.where("size(images) > 0").select("conv_id", F.size("images").cast("bigint").alias("n_images"))
+    return R.with_any(table(spark, d, "conversations"), ["conv_id"], F.col("turn") % 3 == 2).withColumnRenamed("n", "n_images")
 
 
 @query(_W + " SELECT event_id, CASE WHEN idx % ((n + 1) // 2) = (n + 1) // 2 - 1 OR idx = n - 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS last_of_half, CASE WHEN idx = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS after_first FROM e")
 def keep_last_of_halves(spark: SparkSession, d: str) -> DataFrame:
     """Weights that keep the last image of the conditional and of the unconditional half, and all frames but the first."""
-    half = F.expr("(n + 1) div 2")
-    last = (F.col("idx") % half == half - 1) | (F.col("idx") == F.col("n") - 1)
-    return _places(spark, d).select("event_id", F.when(last, 1.0).otherwise(0.0).alias("last_of_half"), F.when(F.col("idx") == 0, 0.0).otherwise(1.0).alias("after_first"))
+    return _places(spark, d).select("event_id", P.last_of_halves(F.col("idx"), F.col("n")).alias("last_of_half"), F.when(F.col("idx") == 0, 0.0).otherwise(1.0).alias("after_first"))
 
 
 @query("SELECT l_orderkey, string_agg(l_linenumber || ': ' || q, chr(10) ORDER BY l_linenumber::VARCHAR) AS state FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
@@ -274,7 +267,4 @@ def state_merge(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit(".weight"), F.lit(".gate"), F.lit(".expert")), (F.col("p_partkey") % 3 + 1).cast("int"))
     own = part.select("p_partkey", F.concat(F.lit("layers."), F.col("p_partkey").cast("string"), kind).alias("name"))
     loaded = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("layers."), F.col("p_partkey").cast("string"), F.lit(".weight")).alias("name"), F.col("p_retailprice").alias("v"))
-    merged = own.join(loaded, "name", "left").withColumn("fresh", F.col("v").isNull())
-    allowed = F.col("name").rlike("gate|expert")
-    checked = F.when(~F.col("fresh") | allowed, F.col("fresh")).otherwise(F.raise_error(F.concat(F.lit("no value for "), F.col("name"))).cast("boolean"))
-    return merged.select("p_partkey", "name", F.col("v").alias("value"), checked.alias("fresh"))
+    return R.merged_state(own, loaded, "name", "v", "gate|expert").select("p_partkey", "name", F.col("v").alias("value"), "fresh")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions import samples as P
 from ..functions import text as X
 from ..functions.hashing import uniform, uniform_sql
 from ..operators import conversations as C
+from ..operators import series as R
 from ..session import table
 from .registry import query
 
@@ -133,7 +135,7 @@ def seq_interleaved_offsets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, CASE WHEN {uniform_sql('doc_id', 'drop')} < 0.1 THEN '' ELSE md5(text) END AS prompt, {uniform_sql('doc_id', 'flip')} < 0.3 AS flipped FROM documents")
 def condition_dropout(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("doc_id")
-    return table(spark, d, "documents").select("doc_id", F.when(uniform(key, "drop") < 0.1, "").otherwise(F.md5(F.col("text").cast("binary"))).alias("prompt"), (uniform(key, "flip") < 0.3).alias("flipped"))
+    return table(spark, d, "documents").select("doc_id", P.dropped_condition(F.md5(F.col("text").cast("binary")), uniform(key, "drop"), 0.1).alias("prompt"), (uniform(key, "flip") < 0.3).alias("flipped"))
 
 
 @query("""
@@ -153,8 +155,6 @@ WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORD
 SELECT event_id, CASE WHEN idx > n / 2 AND """ + uniform_sql("event_id", "switch") + """ < idx / n::DOUBLE THEN 'put it back' ELSE 'pick it up' END AS instruction FROM e
 """)
 def instruction_switch(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    e = table(spark, d, "events").select("event_id", "user_id", (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("idx"), F.count("*").over(W.partitionBy("user_id")).alias("n"))
-    late = (F.col("idx") > F.col("n") / 2) & (uniform(F.col("event_id"), "switch") < F.col("idx") / F.col("n"))
-    return e.select("event_id", F.when(late, "put it back").otherwise("pick it up").alias("instruction"))
+    e = R.placed(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], n="n")
+    said = P.late_instruction(F.col("idx"), F.col("n"), F.col("n") / 2, uniform(F.col("event_id"), "switch"), "pick it up", "put it back")
+    return e.select("event_id", said.alias("instruction"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import series as R
 from ..operators import trajectories as T
 from ..session import table
 from .registry import query
@@ -93,8 +94,7 @@ def traj_static_skip(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_E + ", n AS (SELECT *, lead(value) OVER (PARTITION BY user_id ORDER BY idx) AS ahead FROM e) SELECT event_id, coalesce(abs(ahead - value) < 0.5, false) AS still FROM n")
 def traj_near_static(spark: SparkSession, d: str) -> DataFrame:
-    ahead = F.lead("value").over(W.partitionBy(*KEY).orderBy("idx"))
-    return _events(spark, d).select("event_id", F.coalesce(F.abs(ahead - F.col("value")) < 0.5, F.lit(False)).alias("still"))
+    return _events(spark, d).select("event_id", R.near_static(["value"], KEY, ["idx"], 0.5).alias("still"))
 
 
 @query(_E + ", n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM e) SELECT event_id, user_id, idx FROM n WHERE idx < n - 10 AND idx % 2 = 0")
@@ -135,13 +135,13 @@ def traj_rollout_stop(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_E + ", s AS (SELECT user_id, arg_max(event_type, idx) = 'purchase' AS done FROM e GROUP BY user_id) SELECT user_id FROM s WHERE done")
 def traj_success_only(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).groupBy("user_id").agg((F.max_by("event_type", "idx") == "purchase").alias("done")).where("done").select("user_id")
+    return R.successful(_events(spark, d), ["user_id"], "idx", "event_type", "purchase")
 
 
 @query(_E + ", n AS (SELECT event_id, user_id, idx, count(*) OVER (PARTITION BY user_id) AS n FROM e) SELECT event_id, CASE WHEN idx = 0 THEN 0 ELSE 1 + (idx - 1) // 4 END AS chunk FROM n WHERE idx <= 4 * ((n - 1) // 4)")
 def vae_chunks(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).withColumn("n", F.count("*").over(W.partitionBy(*KEY)))
-    return e.where("idx <= 4 * ((n - 1) div 4)").select("event_id", F.expr("case when idx = 0 then 0 else 1 + (idx - 1) div 4 end").alias("chunk"))
+    return R.in_chunks(e, "idx", "n", 4).select("event_id", "chunk")
 
 
 @query(_E + "SELECT event_id, idx // 8 AS plan, (idx % 8)::INT AS step FROM e")
