@@ -98,3 +98,18 @@ def weighted_choice(draws: DataFrame, weights: DataFrame, u: str, name: str, wei
     listed = cumulated.agg(F.array_sort(F.collect_list(F.struct("cum", name))).alias("table"))
     pick = F.coalesce(F.element_at(F.filter("table", lambda s: s["cum"] >= F.col(u)), 1)[name], F.element_at("table", -1)[name])
     return draws.join(F.broadcast(listed)).withColumn(name, pick).drop("table")
+
+
+def combined(routes: DataFrame, experts: DataFrame, row: str, expert: str, weight: str, gain: str) -> DataFrame:
+    """(row, output): the gains of a row's experts, summed by weight. experts is a parameter table (more than MOST_SOURCES fail)."""
+    known = F.broadcast(at_most(experts.select(expert, gain), MOST_SOURCES, "experts"))
+    return routes.join(known, expert).groupBy(row).agg(F.sum(F.col(weight) * F.col(gain)).alias("output"))
+
+
+def scattered(spans: Column, length: int) -> Column:
+    """(q, span, place) for the positions below `length` that spans (offset, length) cover, within the row.
+
+    span counts from 1, place from the span's start; of overlapping spans the later one wins.
+    """
+    at = lambda q: F.filter(F.transform(spans, lambda s, i: F.when((q >= s["offset"]) & (q < s["offset"] + s["length"]), F.struct(q.alias("q"), (i + 1).alias("span"), (q - s["offset"]).alias("place")))), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda q: F.try_element_at(at(q), F.lit(-1))), lambda x: x.isNotNull())

@@ -9,6 +9,7 @@ from ..functions import arrays as V
 from ..functions import flow as L
 from ..functions import samples as S
 from ..functions.hashing import uniform, uniform_sql
+from ..operators import parameters as N
 from ..operators import series as R
 from ..session import table
 from .registry import query
@@ -156,7 +157,7 @@ def group_scaling(spark: SparkSession, d: str) -> DataFrame:
     """Learning rate and weight decay of parameter groups."""
     grp = F.when(F.col("p_partkey") % 3 == 0, "action").when(F.col("p_partkey") % 3 == 1, "gate").otherwise("base")
     groups = table(spark, d, "part").groupBy(grp.alias("grp")).agg(F.count("*").alias("n"))
-    return groups.select("grp", "n", F.when(F.col("grp") == "action", F.lit(1e-4) * 0.3).otherwise(1e-4).alias("rate"), F.when(F.col("grp") == "gate", F.lit(0.01) * 3.0).otherwise(0.01).alias("decay"))
+    return N.scaled(groups, "grp", 1e-4, 0.01, {"action": 0.3}, {"gate": 3.0})
 
 
 @query(_V + ", s AS (SELECT vec_id, unnest(range(0, 6)) AS j, unnest(e[1:6]) AS x, unnest(e[7:12]) AS z FROM v) SELECT vec_id, j::INT AS j, CASE WHEN j < 2 THEN x ELSE z END AS latent, CASE WHEN j < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS time FROM s")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as V
 from ..functions import flow as L
 from ..functions import geometry as G
+from ..operators import parameters as N
 from ..session import table
 from .registry import query
 
@@ -193,25 +194,18 @@ def _parameters(spark: SparkSession, d: str) -> DataFrame:
 @query(_NAMES + ", g AS (SELECT p_partkey, unnest(list_filter(['action', 'head', 'norm'], lambda s: contains(name, s))) AS grp FROM p) SELECT p_partkey, grp, CASE grp WHEN 'action' THEN 3e-4 ELSE 1e-3 END::DOUBLE AS rate FROM g")
 def param_groups(spark: SparkSession, d: str) -> DataFrame:
     """A parameter belongs to every group whose substring its name holds; one group has a lower rate."""
-    groups = F.array(*[F.lit(g) for g in ("action", "head", "norm")])
-    rows = _parameters(spark, d).select("p_partkey", F.explode(F.filter(groups, lambda g: F.contains(F.col("name"), g))).alias("grp"))
-    return rows.withColumn("rate", F.when(F.col("grp") == "action", 3e-4).otherwise(1e-3))
+    return N.grouped(_parameters(spark, d), "name", {"action": 3e-4, "head": 1e-3, "norm": 1e-3}).select("p_partkey", "grp", "rate")
 
 
 @query(_NAMES + " SELECT contains(name, 'norm') OR contains(name, 'gate') AS frozen, sum(a * b)::BIGINT AS parameters, count(*) AS n FROM p GROUP BY 1")
 def param_counts(spark: SparkSession, d: str) -> DataFrame:
-    frozen = F.exists(F.array(F.lit("norm"), F.lit("gate")), lambda s: F.contains(F.col("name"), s))
-    size = F.aggregate("shape", F.lit(1).cast("bigint"), lambda a, x: a * x)
-    return _parameters(spark, d).groupBy(frozen.alias("frozen")).agg(F.sum(size).alias("parameters"), F.count("*").alias("n"))
+    return N.counted(_parameters(spark, d), "name", "shape", ["norm", "gate"])
 
 
 @query(_NAMES + " SELECT p_partkey, 'layers.' || (split_part(name, '.', 3)::INT - 12) || substr(name, length('model.layers.') + length(split_part(name, '.', 3)) + 1) AS renamed FROM p WHERE starts_with(name, 'model.layers.') AND split_part(name, '.', 3)::INT >= 12 AND NOT contains(name, 'gate')")
 def param_rename(spark: SparkSession, d: str) -> DataFrame:
     """Keys by prefix, without a blacklisted part, their layers numbered anew."""
-    parts = F.split("name", r"\.")
-    layer = F.element_at(parts, 3).cast("int")
-    kept = _parameters(spark, d).where(F.startswith("name", F.lit("model.layers.")) & (layer >= 12) & ~F.contains("name", F.lit("gate")))
-    return kept.select("p_partkey", F.concat_ws(".", F.lit("layers"), (layer - 12).cast("string"), F.slice(parts, F.lit(4), F.size(parts))).alias("renamed"))
+    return N.renumbered(_parameters(spark, d), "name", "model.layers", "layers", 12, ["gate"]).select("p_partkey", "renamed")
 
 
 @query("""

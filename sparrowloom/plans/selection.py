@@ -59,7 +59,7 @@ def moe_combine(spark: SparkSession, d: str) -> DataFrame:
     """Tokens joined with their experts' parameters, and the weighted outputs summed."""
     experts = spark.range(8).select(F.col("id").cast("int").alias("expert"), ((F.col("id") + 1) * 0.5).alias("gain"))
     routes = _routed(spark, d).select("vec_id", F.explode("routes").alias("r")).select("vec_id", "r.expert", "r.weight")
-    return routes.join(F.broadcast(experts), "expert").groupBy("vec_id").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("output"))
+    return S.combined(routes, experts, "vec_id", "expert", "weight", "gain").select("vec_id", F.round("output", 6).alias("output"))
 
 
 @query(_V + ", w AS (SELECT label, [0.1 * (label + i) FOR i IN range(0, 64)] AS w, label * 0.5 AS b FROM (SELECT DISTINCT label FROM v)) SELECT vec_id, round(list_dot_product(x, w::DOUBLE[]) + b, 6) AS y FROM v JOIN w USING (label)")
@@ -224,9 +224,7 @@ def mask_causal(spark: SparkSession, d: str) -> DataFrame:
 @query(_SPANS + " SELECT vec_id, q::INT AS q, CASE WHEN q BETWEEN b AND b + m - 1 THEN 2 WHEN q BETWEEN a AND a + n - 1 THEN 1 END AS span, CASE WHEN q BETWEEN b AND b + m - 1 THEN q - b WHEN q BETWEEN a AND a + n - 1 THEN q - a END::INT AS place FROM q WHERE q BETWEEN a AND a + n - 1 OR q BETWEEN b AND b + m - 1")
 def span_scatter(spark: SparkSession, d: str) -> DataFrame:
     """Span values written to their positions; of overlapping spans the later one wins."""
-    cells = _spans(spark, d).select("vec_id", F.posexplode("spans").alias("j", "s")).select("vec_id", (F.col("j") + 1).alias("span"), F.col("s.offset").alias("offset"), F.explode(F.sequence(F.lit(0), F.col("s.length") - 1)).alias("place"))
-    placed = cells.withColumn("q", F.col("offset") + F.col("place")).where("q < 48")
-    return placed.groupBy("vec_id", "q").agg(F.max_by("place", "span").alias("place"), F.max("span").alias("span"))
+    return _spans(spark, d).select("vec_id", F.explode(S.scattered(F.col("spans"), 48)).alias("s")).select("vec_id", "s.q", "s.span", "s.place")
 
 
 @query("SELECT l.doc_id, count(*) AS n FROM labels l JOIN documents USING (doc_id) GROUP BY 1 HAVING count(*) >= 1")
