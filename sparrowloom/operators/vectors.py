@@ -38,9 +38,12 @@ def interpolate(samples: DataFrame, points: DataFrame, series: list[str], arms:
     for arm, time in arms.items():
         held = [F.struct(F.col(time).cast("double").alias("t"), F.col(arm).alias("v")).alias(f"_{a}") if a == arm else empty[a] for a in arms]
         both = both.unionByName(samples.where(F.col(time).isNotNull() & F.col(arm).isNotNull()).select(*series, F.col(time).cast("double").alias("at"), *rest, F.lit(False).alias("_asked"), *held))
+    # Under a key of its own: rows that lie by series already would stay in tasks sized for what they were made of,
+    # and here are several for each, with vectors. A shuffle of them lets Spark size the tasks by what these sort.
+    both = both.withColumn("_series", F.struct(*series))
     # At equal times samples come first in both directions.
-    upto = Window.partitionBy(*series).orderBy("at", "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    since = Window.partitionBy(*series).orderBy(F.desc("at"), "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("_series").orderBy("at", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("_series").orderBy(F.desc("at"), "_asked").rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumns({f"{side}{a}": F.last(f"_{a}", ignorenulls=True).over(w) for a in arms for side, w in (("_lo_", upto), ("_hi_", since))})
     return near.where("_asked").select(*own, *[between(F.col(f"_lo_{a}"), F.col(f"_hi_{a}"), F.col("at")).alias(a) for a in arms])
 

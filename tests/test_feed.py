@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparrowloom.operators import feed as E
@@ -88,3 +89,13 @@ def test_slices_and_stillness(spark):
     assert r.proprio == [1.0, 2.0] and r.action == [[3.0, 2.000001]]
     with pytest.raises(Exception, match="two vectors"):
         one.select(V.action_slice(F.col("short"), F.array(F.lit(0)))).collect()
+
+
+def test_points_are_dealt_by_their_own_size(spark):
+    """Points and samples that lie by series already are shuffled once more, so that tasks are sized by what they sort."""
+    samples = spark.range(60).select((F.col("id") % 3).alias("ep"), F.col("id").cast("double").alias("t"), F.array(F.col("id").cast("double")).alias("v")).repartition("ep")
+    points = V.look_ahead(samples.withColumn("last", F.max("t").over(Window.partitionBy("ep"))), ["ep"], "t", F.lit(1.5), F.col("last"), 2)
+    found = V.interpolate(samples, points, ["ep"], {"v": "t"})
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert "Exchange" in plan and found.columns == [*points.columns, "v"]
+    assert all(abs(r.v[0] - min(r["at"], 57.0 + r.ep)) < 1e-9 for r in found.collect())
