@@ -19,13 +19,20 @@ pairs already united, so dense groups of near copies do not emit all pairs.
 Components come from alternating star steps, in the shared folder.
 
 keep_one() is to catch every copy of 0.8 similarity in five-word shingles. Four
-bits of 64 miss most of those, so its fingerprint is the set of shingles itself,
-a bit for each hash. The same embedding counts the bits of 256 segments, and the
-Manhattan distance of the counts never exceeds the number of shingles that two
-sets do not share. A grid on the counts would join texts of like length, so the
-candidates come from a join on shingles: two sets of that likeness share one of
-their first fifth in any common order, and none is missed. The distance bounds
-the candidates, the exact likeness decides.
+bits of 64 for a whole text miss most of those, so a text has a fingerprint for
+each piece of its set of shingles: the hashes are cut into ranges, as many as
+suit sets of that size, and those of a range make 64 bits as above. Each of them
+is embedded as its segment counts. A shingle that only one of two sets has
+spoils one piece, and alike sets differ in few, so some piece is the same in
+both: there the range of the grid join is 0, and the grid deals a set to its own
+cell alone, by piece. Of a set's cells in any common order the first few are
+enough, one more than can be spoilt. Pieces of which each shingle is in very many
+texts are left out, since their cells would be dense; a set that has too few
+others is dealt by pieces of one shingle too, the rarest first, and meets others
+of the kind there. So none is missed. Candidates are the sets that meet in a cell. The shingles in 256
+segments are counted too, and the Manhattan distance of those counts, which
+never exceeds the number of shingles that two sets do not share, bounds the
+candidates; the exact likeness decides.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; a long text is taken whole; a bit set in exactly half of the values is 0;
@@ -55,6 +62,12 @@ SET_SHINGLE = 5
 SIMILAR = (4, 5)
 #: What only decides the order of shingles, hence the time: those met COMMON_LEAST times in one of COMMON_PART parts of the texts.
 COMMON, COMMON_LEAST, COMMON_PART = 100_000, 4, 4
+#: Shingles met that often in the part are dense: pieces of them alone make no cells.
+DENSE = 64
+#: For keep_one(): shingles in a piece, on average over the largest sets of a class, which holds the sizes from one power of two to the next.
+PIECE = 3
+#: In place of the class, for pieces of one shingle; and pieces whose bits are counted at once.
+ALONE, HELD_PIECES = 63, 16384
 #: For keep_one(): segments in which a set's shingles are counted, by their leading bits, and pairs that a set has before its pairs are dealt to several tasks.
 SET_SEGMENTS = 256
 HOT_PAIRS = 1_000
@@ -232,18 +245,74 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes())
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, of which two sets of SIMILAR likeness share one whatever the order is.
+def most_apart(n: int, m: int) -> int:
+    """The shingles that are in only one of two sets of these sizes, at most, if they have SIMILAR likeness."""
+    return (SIMILAR[1] - SIMILAR[0]) * (n + m) // (SIMILAR[0] + SIMILAR[1])
 
-    Here common shingles (sorted; ranks: their places) come last. That only
-    spares pairs that would fail: the order does not change what is found.
+
+def piece_fingerprints(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """majority() of every piece: the hashes from one of starts to the next."""
+    ends = np.append(starts[1:], len(hashes))
+    found = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), HELD_PIECES):
+        first, last = starts[a : a + HELD_PIECES], ends[a : a + HELD_PIECES]
+        bits = np.unpackbits(hashes[first[0] : last[-1]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        if (last - first).max() < 256:  # eight counts of a byte are added as one number
+            counts = np.add.reduceat(bits.view(np.uint64), first - first[0], axis=0).view(np.uint8).astype(np.uint16)
+        else:
+            counts = np.add.reduceat(bits, first - first[0], axis=0, dtype=np.uint32)
+        found[a : a + HELD_PIECES] = np.packbits(2 * counts > (last - first)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return found
+
+
+def cells_of_pieces(fps: np.ndarray, piece: np.ndarray, level: int) -> np.ndarray:
+    """The lattice points of pieces' fingerprints, told apart by the piece's number and the class."""
+    told = ((piece << np.uint64(6)) + np.uint64(level + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    told = (told ^ (told >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return unary(fps) ^ told ^ (told >> np.uint64(29))
+
+
+def set_cells(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, places): the cells that a set of shingles (sorted, not empty) is dealt to, of which two sets of SIMILAR likeness share one.
+
+    They meet in the class of the smaller set, so a set that may be alike with
+    smaller ones of the class below is dealt to cells of that class too. Each of
+    the differing shingles spoils at most one piece of the class: of a set's
+    cells in a common order (places: the place in it) one more than that are
+    taken. Pieces that only have common shingles (sorted; ranks: their places)
+    come last, and those of rank dense or more are no cells. So a set with
+    enough cells shares one of those taken with any set that it is alike with.
+    Sets that have too few are dealt by single shingles too (places: -1 and
+    below), common ones last, where two of them share one of their first fifth.
     """
-    n = len(hashes)
+    n, (p, q) = len(hashes), SIMILAR
     rank = np.zeros(n, np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         rank = np.where(common[at] == hashes, ranks[at], 0)
-    return hashes[np.lexsort((hashes, rank))][: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1]
+    level = n.bit_length() - 1
+    least = 1 << level
+    classes = [(level, most_apart(n, q * n // p))]
+    if q * (least - 1) >= p * n:
+        classes.append((level - 1, most_apart(n, least - 1)))
+    taken, all_found = [], True
+    for own, most in classes:
+        pieces = -(-(2 << own) // PIECE)
+        piece = ((hashes >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        cells, rarest = cells_of_pieces(piece_fingerprints(hashes, starts), piece[starts], own), np.minimum.reduceat(rank, starts)
+        cells, rarest = cells[rarest < dense], rarest[rarest < dense]
+        taken.append(cells[np.lexsort((cells, rarest))][: most + 1])
+        all_found &= len(cells) > most
+    places = [np.arange(len(x), dtype=np.int32) for x in taken]
+    if not all_found:
+        cells = cells_of_pieces(hashes, np.zeros(n, np.uint64), ALONE)
+        cells = cells[np.lexsort((cells, rank))][: n - -(-p * n // q) + 1]
+        # Of shingles at one lattice point the first place counts.
+        first = np.sort(np.unique(cells, return_index=True)[1])
+        taken.append(cells[first])
+        places.append(-1 - first.astype(np.int32))
+    return np.concatenate(taken), np.concatenate(places)
 
 
 def set_counts(hashes: np.ndarray) -> bytes:
@@ -253,16 +322,16 @@ def set_counts(hashes: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, node, n, counts, forms): body is the text's hash, node names its set of n shingles, forms is the set's prefix.
+    """(doc_id, body, node, n, counts, cells, places): body is the text's hash, node names its set of n shingles, see set_cells() and set_counts().
 
-    Counts and prefix are left out where the task has just given them for the same set.
+    Counts and cells are left out where the task has just given them for the same set.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, counts, prefixes = [], [], [], []
+            nodes, sizes, counts, cells, places = [], [], [], [], []
             for t in batch.column(2):
                 hashes = shingle_set(words_of(t.as_py()))
                 node = node_of(hashes)
@@ -270,18 +339,20 @@ def sketches(docs: DataFrame) -> DataFrame:
                 nodes.append(node)
                 sizes.append(len(hashes))
                 counts.append(set_counts(hashes) if new else None)
-                prefixes.append(prefix(hashes, *common.value).view(np.int64) if new else None)
+                own, at = set_cells(hashes, *common.value) if new else (None, None)
+                cells.append(own.view(np.int64) if new else None)
+                places.append(at)
                 if len(seen) >= HELD_NODES:
                     seen.clear()
                 seen.add(node)
-            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "body", "node", "n", "counts", "forms"])
+            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "body", "node", "n", "counts", "cells", "places"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text")).mapInArrow(run, "doc_id bigint, body bigint, node bigint, n int, counts binary, forms array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text")).mapInArrow(run, "doc_id bigint, body bigint, node bigint, n int, counts binary, cells array<bigint>, places array<int>")
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles met often in a part of the texts, sorted, and their ranks from the rarest: at most COMMON of them."""
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles met often in a part of the texts, sorted, and their ranks from the rarest: at most COMMON of them; and the first rank of the dense."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,28 +367,31 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(forms)
     ranks = np.empty(len(forms), np.int64)
     ranks[np.lexsort((forms, n))] = np.arange(1, len(forms) + 1)
-    return forms[order], ranks[order]
+    return forms[order], ranks[order], int((n < DENSE).sum()) + 1
 
 
-def shared_prefixes(own: DataFrame) -> DataFrame:
-    """(form, node, n, at, fame): the shingles in the prefixes of two sets or more, with the sets' sizes and the places in them.
+def shared_cells(own: DataFrame) -> DataFrame:
+    """(cell, node, n, at, fame): the cells of two sets or more, with the sets' sizes and the cells' places in them.
 
-    A set's fame is the number of rows that its shingles have: the text that
-    many others were copied from shares all of its shingles with some of them,
-    a copy that was changed does not.
+    A set's fame is the number of rows that its cells have: the text that many
+    others were copied from shares all of its cells with some of them, a copy
+    that was changed does not.
     """
-    rows = own.where("forms is not null").select("node", "n", F.posexplode("forms").alias("at", "form"))
-    of_form = Window.partitionBy("form")
-    met = rows.withColumns({"low": F.min("node").over(of_form), "high": F.max("node").over(of_form), "many": F.count("*").over(of_form)}).where("low <> high")
-    shared = cut(met.select("form", "node", "n", "at", "many").dropDuplicates(["form", "node"]), "prefixes")
+    rows = own.where("cells is not null").select("node", "n", F.inline(F.arrays_zip("cells", "places")).alias("cell", "at"))
+    of_cell = Window.partitionBy("cell")
+    met = rows.withColumns({"low": F.min("node").over(of_cell), "high": F.max("node").over(of_cell), "many": F.count("*").over(of_cell)}).where("low <> high")
+    shared = cut(met.select("cell", "node", "n", "at", "many").dropDuplicates(["cell", "node"]), "cells")
     fame = shared.groupBy(F.col("node").alias("of")).agg(F.sum("many").alias("fame"))
-    return shared.join(fame, F.col("node") == F.col("of")).select("form", "node", "n", "at", "fame")
+    return shared.join(fame, F.col("node") == F.col("of")).select("cell", "node", "n", "at", "fame")
 
 
 def may_be_near(x: str, y: str) -> Column:
-    """Whether sets of these sizes that have their first common shingle at these places can be alike."""
-    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at")).cast("bigint")
-    return F.lit(SIMILAR[0] + SIMILAR[1]) * left >= F.lit(SIMILAR[0]) * (F.col(f"{x}.n").cast("bigint") + F.col(f"{y}.n"))
+    """Whether sets of these sizes that have their first common cell at these places can be alike: every cell before it is spoilt by a shingle of its own."""
+    (p, q), n, m, at, to = SIMILAR, *(F.col(f"{side}.{name}").cast("bigint") for name in ("n", "at") for side in (x, y))
+    pieces = F.lit(p + q) * F.greatest(at, to) <= F.lit(q - p) * (n + m)
+    # Of single shingles those before the place are in one set only.
+    alone = F.lit(p + q) * F.least(n + at + 1, m + to + 1) >= F.lit(p) * (n + m)
+    return (F.lit(q) * F.least(n, m) >= F.lit(p) * F.greatest(n, m)) & F.when(at < 0, alone).otherwise(pieces)
 
 
 def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -380,16 +454,15 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def set_links(docs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b): pairs of alike sets that make the components which all such pairs would.
 
-    Sets of SIMILAR likeness share a shingle of their prefixes, so a join on
-    those finds all of them. First a shingle's sets are only compared with the
-    one of most fame, which unites most of every dense group. The join then
-    leaves out pairs already united, and lets only those sets search that are
-    not united with their shingle's main one, so that a group neither emits nor
-    compares all its pairs.
+    Sets of SIMILAR likeness share a cell, so the grid join finds all of them.
+    First a cell's sets are only compared with the one of most fame, which
+    unites most of every dense group. The join then leaves out pairs already
+    united, and lets only those sets search that are not united with their
+    cell's main one, so that a group neither emits nor compares all its pairs.
     """
-    shared = cut(shared_prefixes(own), "shared")
-    of_form = Window.partitionBy("form")
-    ranked = shared.withColumn("top", F.max(F.struct("fame", "node", "n", "at")).over(of_form))
+    shared = cut(shared_cells(own), "shared")
+    of_cell = Window.partitionBy("cell")
+    ranked = shared.withColumn("top", F.max(F.struct("fame", "node", "n", "at")).over(of_cell))
     star = ranked.where(F.col("node") != F.col("top.node")).select(F.struct("n", "at").alias("x"), "top", "node", "fame")
     first = cut(star.where(may_be_near("x", "top")).select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.fame").alias("fame")).distinct(), "stars")
     links = alike(docs, nodes, first.select("a", "b"))
@@ -397,11 +470,11 @@ def set_links(docs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
     up = cut(first.join(links, ["a", "b"], "left_semi").groupBy("b").agg(F.max(F.struct("fame", "a")).alias("best")).select(F.col("b").alias("own"), F.col("best.a").alias("group")), "up")
     further = up.select(F.col("own").alias("mid"), F.col("group").alias("next"))
     united = up.join(further, F.col("group") == F.col("mid"), "left").select("own", F.coalesce("next", "group").alias("group"))
-    labelled = shared.join(united, F.col("node") == F.col("own"), "left").select("form", "node", "n", "at", "fame", F.coalesce("group", "node").alias("comp"))
-    main = labelled.withColumns({"top": F.max(F.struct("fame", "node", "comp")).over(of_form), "low": F.min("comp").over(of_form), "high": F.max("comp").over(of_form)}).where("low <> high")
-    main = cut(main.select("form", "node", "n", "at", "comp", (F.col("comp") == F.col("top.comp")).alias("main")), "open")
+    labelled = shared.join(united, F.col("node") == F.col("own"), "left").select("cell", "node", "n", "at", "fame", F.coalesce("group", "node").alias("comp"))
+    main = labelled.withColumns({"top": F.max(F.struct("fame", "node", "comp")).over(of_cell), "low": F.min("comp").over(of_cell), "high": F.max("comp").over(of_cell)}).where("low <> high")
+    main = cut(main.select("cell", "node", "n", "at", "comp", (F.col("comp") == F.col("top.comp")).alias("main")), "open")
     x, y = main.where("not main").alias("x"), main.alias("y")
-    met = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node"))) & may_be_near("x", "y"))
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node"))) & may_be_near("x", "y"))
     # A main set, which many others meet, is the one that dealt() spreads.
     found = links.unionByName(alike(docs, nodes, met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))))
     for done in (shared, first, up, main):

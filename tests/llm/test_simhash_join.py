@@ -216,3 +216,91 @@ def test_pairs_of_a_famous_set_are_dealt(spark, monkeypatch):
     assert parted.where("a = 1").select("part").distinct().count() > 4 and [r.part for r in parted.where("a = 2").collect()] == [0]
     got = S.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(r.doc_id for r in got) == one_of_each_alike(rows) == [0, *range(100, 120)]
+
+
+def plain_cells(hashes, level, pieces):
+    """From the definition: each piece's fingerprint, counted by segments, on the lattice."""
+    held = {}
+    for h in hashes:
+        held.setdefault((h >> 32) * pieces >> 32, []).append(h)
+    cells = set()
+    for piece, own in held.items():
+        fp = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+        point = sum(((0, 1, 3)[(fp >> 2 * i & 3).bit_count()]) << 2 * i for i in range(32))
+        told = ((piece << 6) + level + 1) * 0x9E3779B97F4A7C15 % 2**64
+        told = (told ^ told >> 32) * 0xD6E8FEB86659FD93 % 2**64
+        cells.add(point ^ told ^ told >> 29)
+    return cells
+
+
+def test_sets_are_dealt_by_fingerprints_of_pieces(spark):
+    """Cells are the lattice points of SimHash fingerprints, as many as alike sets can differ in and one more."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n + 4)) for n in (1, 5, 9, 45, 61, 130, 700)] + ["a b", "", None]
+    got = {r.doc_id: r for r in S.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for doc, text in enumerate(texts):
+        hashes = S.shingle_set(S.words_of(text)).tolist()
+        n = len(hashes)
+        if not n:
+            assert got[doc].n == 0 and got[doc].cells is None
+            continue
+        level = n.bit_length() - 1
+        classes = [(level, n // 4)] + [(level - 1, (n + 2**level - 1) // 9)] * (5 * (2**level - 1) >= 4 * n)
+        want = []
+        for own, most in classes:
+            cells = plain_cells(hashes, own, -(-(2 ** (own + 1)) // 3))
+            assert len(cells) > most
+            want += sorted(cells)[: most + 1]
+        assert [c % 2**64 for c in got[doc].cells] == want
+        assert got[doc].places == [i for _, most in classes for i in range(most + 1)]
+
+
+def test_every_alike_pair_of_sets_shares_a_cell():
+    """Sets that share just 0.8 or more, of all sizes around the classes' bounds, their hashes anywhere or all in one piece, some common."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    met = few = 0
+    for trial in range(6000):
+        n = int(rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 31, 32, 63, 64, 65, 127, 128, 129, 500]))
+        pool = rng.permutation(np.unique(rng.integers(0, 1 << (20 if trial % 4 == 0 else 64), 2 * n + 8, dtype=np.uint64)))
+        apart = int(rng.integers(0, n // 4 + 1)) if trial % 3 else n // 4
+        left = int(rng.integers(0, apart + 1))
+        a, b = np.sort(np.append(pool[:n], pool[n : n + left])), np.sort(np.append(pool[:n], pool[n + left : n + apart]))
+        common = np.sort(pool[rng.random(len(pool)) < 0.5])
+        ranks = rng.permutation(len(common)).astype(np.int64) + 1
+        dense = int(rng.choice([1, len(common) // 2 + 1, len(common) + 1]))
+        x, y = (dict(zip(*(v.tolist() for v in S.set_cells(s, common, ranks, dense)), strict=True)) for s in (a, b))
+        # As may_be_near(), which must let one of the shared cells pass.
+        near = lambda i, j: 9 * max(i, j) <= len(a) + len(b) if i >= 0 else 9 * min(len(a) + i + 1, len(b) + j + 1) >= 4 * (len(a) + len(b))  # noqa: B023, E731
+        assert any(near(x[c], y[c]) for c in x.keys() & y.keys())
+        met += 1
+        few += min(x.values()) < 0
+    assert met == 6000 and few > 500
+
+
+def test_large_pieces_have_the_majority_of_their_hashes():
+    import numpy as np
+
+    hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 2000, dtype=np.uint64))
+    for starts in ([0, 1, 3, 6, 10, 250, 500, 750, 1000, 1250, 1500, 1750], [0, 255, 511, 1200], [0]):
+        got = S.piece_fingerprints(hashes, np.array(starts))
+        assert got.tolist() == [S.majority(h) for h in np.split(hashes, starts[1:])]
+
+
+def test_near_copies_are_found_by_the_grid_alone(spark, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + ["end"])), (3, " ".join(words))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [1]
+    shared = S.shared_cells
+    monkeypatch.setattr(S, "shared_cells", lambda own: shared(own).limit(0))
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [1, 2]
+
+
+def test_a_common_passage_makes_no_dense_cell(spark):
+    """Texts of which half is one passage do not meet in it."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10**7)}" for _ in range(45))) for i in range(600)]
+    met = S.shared_cells(S.sketches(spark.createDataFrame(rows, "doc_id bigint, text string"))).groupBy("cell").count()
+    assert max((r["count"] for r in met.collect()), default=0) < 20
